@@ -75,7 +75,7 @@ def record_text(date: str) -> Column:
     )
 
 
-def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", per_file: int = 4096) -> None:
+def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", per_file: int = 1024) -> None:
     """Write resolved records as gzip WARC files of at most ``per_file`` records."""
     records.select(record_text(date).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
@@ -121,18 +121,17 @@ def _inflate(data: memoryview, step: int = 1 << 20) -> Iterator[bytes]:
     if bytes(data[:2]) != b"\x1f\x8b":
         yield from (bytes(data[i : i + step]) for i in range(0, len(data), step))
         return
-    pos, d = 0, zlib.decompressobj(31)
-    while pos < len(data):
-        piece = bytes(data[pos : pos + step])
-        pos += len(piece)
-        while piece:
-            out = d.decompress(piece)
-            if out:
-                yield out
-            piece = d.unused_data
-            if d.eof:
-                d = zlib.decompressobj(31)
-                piece = piece.lstrip(b"\x00")
+    pos, d, piece = 0, zlib.decompressobj(31), b""
+    while piece or pos < len(data):
+        if not piece:
+            piece = bytes(data[pos : pos + step])
+            pos += len(piece)
+        out = d.decompress(piece, step)
+        piece = d.unconsumed_tail
+        if d.eof:
+            piece, d = d.unused_data.lstrip(b"\x00"), zlib.decompressobj(31)
+        if out:
+            yield out
 
 
 def _urn(value: str | None) -> str | None:
