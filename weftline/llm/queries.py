@@ -7,25 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import mixing, quality, url_rules, warc
+from weftline.llm import decontam, line_templates, mixing, ngram_join, paragraph_dedup, pii, quality, toxicity, url_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 1, 2, 3."""
     out = mixing.mix(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to deduplicated archives and read back."""
     out = warc.archive(spark, _table(spark, sf_dir, "pages"))
     return out.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under Jaccard 0.85 of 4-word shingles."""
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
+def op6_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs of every document: how many it loses, their spans and the documents that keep them."""
+    out = paragraph_dedup.find(_table(spark, sf_dir, "documents"))
+    removed = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", "n_paragraphs", "n_removed", removed.alias("removed"), "kept_in")
+
+
 URL_RULES = [
     url_rules.HostRule("allow", "com", "/"),
     url_rules.HostRule("block", "example.com", "/en/"),
@@ -40,14 +62,32 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of recurring templates."""
+    out = line_templates.drop_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
+
+
 def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged by weak supervision."""
     return quality.judge(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a fifth of the ids is held out of training."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.train(docs, labels.filter(~held_out))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name and query."""
-    found = [op2_mix_sources, op4_warc_revisits, op7_url_rules, op9_quality_votes]
+    found = [
+        op1_bootstrapped_pii, op2_mix_sources, op3_prefix_decontamination, op4_warc_revisits, op5_ngram_jaccard,
+        op6_paragraph_minhash, op7_url_rules, op8_line_templates, op9_quality_votes, op10_counterfactual_toxicity,
+    ]
     return {f.__name__: f for f in found}
 
 
