@@ -158,5 +158,6 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     out = rows.select("id", "h", "base").join(new, F.col("h") == F.col("k"), "left")
     slim = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     every = F.array_sort(F.concat(slim, F.coalesce("new", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"))))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return out.select(F.col("id").alias(id_col), *counts, F.sha2(render(slim), 256).alias("base_sha256"), render(every).alias("spans"), F.coalesce(F.when(F.col("new").isNotNull(), F.size("new")), F.lit(0)).cast("long").alias("n_discovered"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 10_000
 BUCKETS = 1 << 22
 PREFIXES = (4, 5)
-MIN_TEXTS, MIN_LOG_ODDS, RIDGE, FAIRNESS, STEPS = 5, 1.0, 0.5, 4.0, 300
+MIN_TEXTS, MIN_LOG_ODDS, MIN_Z, RIDGE, FAIRNESS, STEPS = 5, 1.0, 3.0, 0.1, 4.0, 300
 #: Identity terms by group. Fixed values.
 IDENTITY_GROUPS = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
@@ -95,7 +95,9 @@ def fit(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int],
     count = np.bincount(feature, minlength=BUCKETS)
     toxic = np.bincount(feature, weights=y[row], minlength=BUCKETS)
     odds = np.log((toxic + 0.5) / (positive + 1)) - np.log((count - toxic + 0.5) / (n - positive + 1))
-    used = np.flatnonzero((count >= MIN_TEXTS) & (odds >= MIN_LOG_ODDS))
+    # features whose odds may well be chance would add up in long texts
+    sure = odds >= MIN_Z * np.sqrt(1 / (toxic + 0.5) + 1 / (count - toxic + 0.5))
+    used = np.flatnonzero((count >= MIN_TEXTS) & (odds >= MIN_LOG_ODDS) & sure)
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
     keep = place[feature] >= 0
