@@ -1,15 +1,312 @@
-"""The registered queries of the code-graph engine."""
+"""The registered queries of the code-graph engine, each with an independent DuckDB formulation where SQL can say it.
+
+The graph and the corpus are derived from the star-schema tables (``fixtures``); the queries are the operators themselves.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from weftline.fixtures import VIEWS, view
+from weftline.functions import predicates as P
+from weftline.operators import graph as G
+from weftline.operators import text as T
+from weftline.operators import traverse as V
+from weftline.plans import hybrid as H
+from weftline.sources import events as E
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+SYMBOL = "red_plate"
+
+
+class Tables:
+    """The derived tables of one folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark = spark
+        self.get = lambda name: view(spark, sf_dir, name)
+        self.raw = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self.get("g_nodes")
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.get("g_edges")
+
+    @property
+    def lines(self) -> DataFrame:
+        return self.get("c_lines")
+
+    @property
+    def prose(self) -> DataFrame:
+        """The documents as a line corpus: accented text and long lines."""
+        docs = self.raw("documents").select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), F.col("text").alias("content"))
+        return T.scan_lines(docs)
+
+    @property
+    def symbol_ids(self) -> DataFrame:
+        return self.nodes.filter((F.col("label") == "Symbol") & (F.col("name") == SYMBOL)).select("id")
+
+    @property
+    def seeds(self) -> DataFrame:
+        return self.nodes.filter((F.col("label") == "File") & F.col("path").rlike(r"/lib/s[1-9]\.ts$")).select("path")
+
+
+def query(name: str, sql: str | None = None, fixture: bool = True) -> Callable[[Callable[[Tables], DataFrame]], Callable]:
+    """Register a function of the tables under a name, with its DuckDB text (which the fixture views precede)."""
+
+    def add(f: Callable[[Tables], DataFrame]) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[name] = (f"WITH {VIEWS}, {sql.strip()[5:]}" if sql.strip().startswith("WITH ") else f"WITH {VIEWS} {sql}") if fixture else sql
+        return f
+
+    return add
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who calls a symbol, with the confidence of each call."""
+    return QUERIES["g14_callers"](spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    """Name and query."""
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    """Name and DuckDB text."""
+    return dict(ORACLES)
+
+
+# ---- graph lookups and counts ----------------------------------------------------------------------------------
+
+query("g1_search_code", """
+SELECT * FROM g_nodes WHERE concat_ws(chr(1), lower(id), lower(name), lower(path), lower(kind), lower(package_id), lower(label)) LIKE '%nation\\_7%' ESCAPE '\\'
+ORDER BY label NULLS LAST, coalesce(path, name, id) NULLS LAST, id LIMIT 21""")(lambda t: G.search_code(t.nodes, "NATION_7"))
+query("g2_find_symbol", "SELECT * FROM g_nodes WHERE label = 'Symbol' AND contains(lower(name), 'ring') ORDER BY name NULLS LAST, id LIMIT 21")(lambda t: G.find_symbol(t.nodes, "Ring"))
+query("g3_find_file", "SELECT * FROM g_nodes WHERE label = 'File' AND contains(lower(coalesce(path, id)), '.test.ts') ORDER BY path, id LIMIT 41")(lambda t: G.find_file(t.nodes, ".TEST.ts", 40))
+query("g4_node", "SELECT * FROM g_nodes WHERE id = 'package:@acme/nation_3'")(lambda t: G.node(t.nodes, "package:@acme/nation_3"))
+_CANDIDATES = """
+WITH c AS (SELECT *, lower(name) = '{low}' AS ex FROM g_nodes WHERE label = 'Symbol' AND (contains(lower(name), '{low}') OR contains(lower(id), '{low}')) AND {filt})
+SELECT id, label, name, path, kind, package_id, start_line, exported, CASE WHEN ex THEN 'exact' ELSE 'contains' END AS "match",
+       (SELECT count(*) FROM c WHERE ex) AS n_exact, (SELECT count(*) FROM c) AS n_all
+FROM c ORDER BY NOT ex, contains(name, '::'), NOT coalesce(exported, false), coalesce(path, id), name, id LIMIT 20"""
+query("g5_resolve_symbol", _CANDIDATES.format(low="red_plate", filt="true"))(lambda t: G.symbol_candidates(t.nodes, "Red_Plate"))
+query("g5_resolve_state", """
+WITH c AS (SELECT id, lower(name) = 'order_1' AS ex FROM g_nodes WHERE label = 'Symbol' AND (contains(lower(name), 'order_1') OR contains(lower(id), 'order_1'))),
+k AS (SELECT count(*) FILTER (ex) AS n_exact, count(*) AS n_all, max(id) FILTER (ex) AS one, max(id) AS sole FROM c)
+SELECT n_exact, n_all, n_exact > 1 OR (n_exact = 0 AND n_all > 1) AS ambiguous, CASE WHEN n_exact = 1 THEN one WHEN n_exact = 0 AND n_all = 1 THEN sole END AS selected FROM k""")(lambda t: G.resolve_state(G.symbol_candidates(t.nodes, "order_1", 100)))
+query("g6_resolve_filtered", _CANDIDATES.format(low="red_plate", filt="contains(lower(path), 'brand#1')"))(lambda t: G.symbol_candidates(t.nodes, "red_plate", package="brand#1"))
+query("g7_matches_filters", "SELECT id FROM g_nodes WHERE package_id = 'package:@acme/nation_4' AND (path = 'packages/nation_4' OR path LIKE 'packages/nation\\_4/%' ESCAPE '\\')")(lambda t: t.nodes.filter(P.matches_filters(F.col("package_id"), F.col("path"), package_exact="@acme/nation_4", prefix="packages/nation_4/") & (F.col("package_id") == "package:@acme/nation_4")).select("id"))
+query("g8_package_scope", "SELECT id FROM g_nodes WHERE contains(lower(coalesce(package_id, '')), '@acme/nation_5') OR contains(lower(coalesce(path, '')), '/nation_5/') OR starts_with(lower(coalesce(path, '')), 'nation_5/')")(lambda t: t.nodes.filter(P.package_scope(F.col("package_id"), F.col("path"), "package:@acme/nation_5")).select("id"))
+query("g10_node_lean", "SELECT id, label, name, coalesce(path, CASE WHEN id LIKE 'file:%' THEN substr(id, 6) END) AS path, kind, package_id FROM g_nodes")(lambda t: G.node_lean(t.nodes))
+query("g10_edge_lean", "SELECT type, src AS source_from, dst AS source_to, source_file, start_line, coalesce(confidence, 1.0) AS confidence FROM g_edges")(lambda t: G.edge_lean(t.edges))
+query("g14_definitions", f"SELECT * FROM g_nodes WHERE label = 'Symbol' AND name = '{SYMBOL}'")(lambda t: G.symbol_definitions(t.nodes, t.symbol_ids))
+query("g14_callers", f"""
+SELECT coalesce(e.source_file, c.path) AS path, e.type AS kind, c.name AS owner, e.start_line AS line, coalesce(e.confidence, 1.0) AS confidence, e.dst AS target, e.src
+FROM g_edges e, g_nodes c, g_nodes s WHERE e.src = c.id AND e.dst = s.id AND s.label = 'Symbol' AND s.name = '{SYMBOL}'
+  AND e.type IN ('CALLS', 'RENDERS', 'INSTANTIATES') AND coalesce(e.confidence, 1.0) >= 0.6""")(lambda t: G.callers(t.nodes, t.edges, t.symbol_ids))
+query("g14_callers_top", f"""
+SELECT coalesce(e.source_file, c.path) AS path, e.type AS kind, c.name AS owner, e.start_line AS line, coalesce(e.confidence, 1.0) AS confidence, e.dst AS target, e.src
+FROM g_edges e JOIN g_nodes c ON e.src = c.id WHERE e.dst IN (SELECT id FROM g_nodes WHERE label = 'Symbol' AND name = '{SYMBOL}')
+  AND e.type IN ('CALLS', 'RENDERS', 'INSTANTIATES') AND coalesce(e.confidence, 1.0) >= 0.9
+ORDER BY path, coalesce(line, 0), src, target, kind, confidence LIMIT 41""")(lambda t: G.callers(t.nodes, t.edges, t.symbol_ids, 0.9, 40))
+query("g14_importers", f"""
+SELECT coalesce(e.source_file, f.path) AS path, e.start_line AS line, e.dst AS target FROM g_edges e JOIN g_nodes f ON f.id = e.src
+WHERE e.type = 'IMPORTS_SYMBOL' AND coalesce(e.confidence, 1.0) >= 0.6 AND EXISTS (SELECT 1 FROM g_nodes s WHERE s.id = e.dst AND s.label = 'Symbol' AND s.name = '{SYMBOL}')""")(lambda t: G.importers(t.nodes, t.edges, t.symbol_ids))
+_SEEDS = "SELECT id, path FROM g_nodes WHERE label = 'File' AND regexp_matches(path, '/lib/s[1-9]\\.ts$')"
+query("g15_dependents", f"""
+WITH s AS ({_SEEDS}) SELECT DISTINCT coalesce(o.path, o.id) AS path, e.type AS rel, coalesce(o.package_id, '') AS package_id, coalesce(o.label, '') AS label
+FROM s JOIN g_edges e ON e.dst = s.id JOIN g_nodes o ON o.id = e.src WHERE e.type IN ('IMPORTS_FILE', 'RE_EXPORTS_FILE', 'DYNAMIC_IMPORTS_FILE', 'TESTS_FILE') AND coalesce(e.confidence, 1.0) >= 0.5""")(lambda t: G.path_neighbours(t.nodes, t.edges, t.seeds, True))
+query("g15_dependencies", f"""
+WITH s AS ({_SEEDS.replace("s[1-9]", "s[0-9]+")}) SELECT DISTINCT coalesce(o.path, o.id) AS path, e.type AS rel, coalesce(o.package_id, '') AS package_id, coalesce(o.label, '') AS label
+FROM s JOIN g_edges e ON e.src = s.id JOIN g_nodes o ON o.id = e.dst WHERE e.type IN ('IMPORTS_FILE', 'RE_EXPORTS_FILE', 'DYNAMIC_IMPORTS_FILE') AND coalesce(e.confidence, 1.0) >= 0.5""")(lambda t: G.path_neighbours(t.nodes, t.edges, t.nodes.filter("label = 'File' AND path RLIKE '/lib/s[0-9]+.ts$'").select("path"), False))
+query("g16_file_relations", f"""
+WITH s AS ({_SEEDS}),
+i AS (SELECT DISTINCT s.path AS sp, n.id, coalesce(n.path, n.name, n.id) AS shown FROM s JOIN g_edges e ON e.dst = s.id JOIN g_nodes n ON n.id = e.src),
+o AS (SELECT DISTINCT s.path AS sp, n.id, coalesce(n.path, n.name, n.id) AS shown FROM s JOIN g_edges e ON e.src = s.id JOIN g_nodes n ON n.id = e.dst)
+SELECT s.path, (SELECT count(*) FROM i WHERE sp = s.path) AS inbound_count, coalesce((SELECT list_slice(list_sort(list(DISTINCT shown)), 1, 5) FROM i WHERE sp = s.path), []) AS inbound_examples,
+       (SELECT count(*) FROM o WHERE sp = s.path) AS outbound_count, coalesce((SELECT list_slice(list_sort(list(DISTINCT shown)), 1, 5) FROM o WHERE sp = s.path), []) AS outbound_examples FROM s""")(lambda t: G.file_relations(t.nodes, t.edges, t.seeds))
+query("a2_types", """
+SELECT 'node' AS family, coalesce(label, 'Unknown') AS name, count(*) AS n FROM g_nodes GROUP BY ALL UNION ALL SELECT 'edge', type, count(*) FROM g_edges GROUP BY ALL""")(lambda t: G.type_counts(t.nodes, t.edges))
+query("a3_count_relationships", "SELECT count(*) FILTER (type IN ('CALLS', 'RENDERS')) AS n FROM g_edges")(lambda t: G.count_relationships(t.edges, ("CALLS", "RENDERS")))
+query("a3_count_default", "SELECT count(*) FILTER (type = 'CALLS') AS n FROM g_edges")(lambda t: G.count_relationships(t.edges))
+query("a4_status", "SELECT (SELECT count(*) FROM g_nodes) AS nodes, (SELECT count(*) FROM g_edges) AS edges")(lambda t: G.status(t.nodes, t.edges))
+query("a7_category_counts", """
+SELECT CASE WHEN contains(path, '.test.') THEN 'test' WHEN path LIKE '%.md' THEN 'docs' WHEN path LIKE 'scripts/%' THEN 'script' WHEN path LIKE '%.json' THEN 'config' ELSE 'runtime' END AS category,
+       count(DISTINCT path) AS files, count(*) AS lines FROM c_lines WHERE contains(text, 'assertAllowed') GROUP BY 1""")(lambda t: T.category_counts(t.lines, "assertAllowed"))
+query("a8_first_seen", """
+WITH f AS (SELECT path, text, min(line_no) AS pos FROM c_lines WHERE contains(text, 'KEY_') GROUP BY ALL) SELECT path, list(text ORDER BY pos, text) AS texts FROM f GROUP BY path""")(lambda t: T.first_seen(t.lines.filter("contains(text, 'KEY_')"), "path", "text", F.col("line_no")))
+
+# ---- traversal -------------------------------------------------------------------------------------------------
+
+_EDGE = "concat_ws('|', type, src, dst, coalesce(source_file, ''), coalesce(CAST(start_line AS VARCHAR), ''))"
+_MOVES = f"m AS (SELECT DISTINCT src, dst, {_EDGE} AS e FROM g_edges WHERE coalesce(confidence, 1.0) >= 0.6)"
+
+
+def _trail_sql(start: str, depth: int, both: bool) -> str:
+    step = "SELECT src AS a, dst AS b, e FROM m" + (" UNION ALL SELECT dst, src, e FROM m WHERE src <> dst" if both else "")
+    return f"""
+WITH {_MOVES}, s AS ({step}),
+r AS (SELECT 1 AS depth, a AS start, [a, b] AS nodes, [e] AS edges, b AS here FROM s WHERE a IN ({start})),
+r2 AS (SELECT 2 AS depth, r.start, list_append(r.nodes, s.b) AS nodes, list_append(r.edges, s.e) AS edges, s.b AS here FROM r JOIN s ON r.here = s.a WHERE NOT list_contains(r.edges, s.e)),
+r3 AS (SELECT 3 AS depth, r.start, list_append(r.nodes, s.b) AS nodes, list_append(r.edges, s.e) AS edges, s.b AS here FROM r2 r JOIN s ON r.here = s.a WHERE NOT list_contains(r.edges, s.e))
+{" UNION ALL ".join(f"SELECT start, depth, nodes, edges FROM {x}" for x in ("r", "r2", "r3")[:depth])}"""
+
+
+query("g12_trails_forward", _trail_sql("SELECT id FROM g_nodes WHERE label = 'Project'", 2, False))(lambda t: V.trails(t.edges, t.nodes.filter("label = 'Project'"), 2, "forward"))
+query("g12_trails_both", _trail_sql("SELECT id FROM g_nodes WHERE label = 'Symbol' AND name IN ('order_1', 'order_2')", 2, True))(lambda t: V.trails(t.edges, t.nodes.filter("label = 'Symbol' AND name IN ('order_1', 'order_2')"), 2, "both"))
+query("g12_relations_top", _trail_sql("SELECT id FROM g_nodes WHERE label = 'Symbol' AND name = 'order_1'", 3, False) + " ORDER BY depth, edges, start LIMIT 51")(lambda t: V.relations(t.edges, t.nodes.filter("label = 'Symbol' AND name = 'order_1'"), depth=3, limit=50, direction="downstream"))
+
+
+@query("g13_shortest_path", f"""
+WITH {_MOVES}, s AS (SELECT src AS a, dst AS b, e FROM m UNION ALL SELECT dst, src, e FROM m),
+p AS (SELECT 'package:@acme/nation_1' AS x, (SELECT id FROM g_nodes WHERE id LIKE 'file:%/lib/s1.ts' LIMIT 1) AS y),
+q AS (SELECT [s1.a, s1.b] AS nodes, [s1.e] AS edges FROM p JOIN s s1 ON s1.a = p.x WHERE s1.b = p.y
+  UNION ALL SELECT [s1.a, s1.b, s2.b], [s1.e, s2.e] FROM p JOIN s s1 ON s1.a = p.x JOIN s s2 ON s2.a = s1.b WHERE s2.b = p.y AND s1.e <> s2.e
+  UNION ALL SELECT [s1.a, s1.b, s2.b, s3.b], [s1.e, s2.e, s3.e] FROM p JOIN s s1 ON s1.a = p.x JOIN s s2 ON s2.a = s1.b JOIN s s3 ON s3.a = s2.b WHERE s3.b = p.y AND s1.e <> s2.e AND s2.e <> s3.e AND s1.e <> s3.e)
+SELECT nodes, edges FROM q ORDER BY len(edges), edges LIMIT 1""")
+def g13(t: Tables) -> DataFrame:
+    """A path between a package and a file."""
+    target = t.nodes.filter("id LIKE 'file:%/lib/s1.ts'").select("id").first()["id"]
+    return V.shortest_path(t.spark, t.edges, "package:@acme/nation_1", target, 3)
+
+
+# ---- text ------------------------------------------------------------------------------------------------------
+
+_CATEGORY = "CASE WHEN contains(path, '.test.') THEN 'test' WHEN path LIKE '%.md' THEN 'docs' WHEN path LIKE 'scripts/%' THEN 'script' WHEN path LIKE '%.json' THEN 'config' ELSE 'runtime' END"
+query("t1_search_literal", f"""
+WITH h AS (SELECT path, line_no, trim(text, chr(9) || ' ') AS s, CASE WHEN contains(text, 'process.env.KEY_7') THEN 'runtime_env_read' WHEN contains(text, 'KEY_7=') THEN 'env_assignment' ELSE 'literal_reference' END AS kind,
+  row_number() OVER (PARTITION BY path ORDER BY line_no) AS r FROM c_lines WHERE contains(text, 'KEY_7')),
+f AS (SELECT path, {_CATEGORY} AS category, count(*) AS match_count, count(*) FILTER (kind = 'runtime_env_read') AS env_reads, count(*) FILTER (kind = 'env_assignment') AS assignments, count(*) FILTER (kind = 'literal_reference') AS "references",
+  list({{'line_no': line_no, 'snippet': s, 'kind': kind}} ORDER BY line_no) FILTER (r <= 3) AS matches FROM h GROUP BY path)
+SELECT path, category, match_count, env_reads, assignments, "references", list_transform(matches, lambda x: x.line_no) AS lines, (SELECT count(*) FROM f) AS n_files, (SELECT count(*) FROM f) >= 100 AS truncated FROM f ORDER BY path LIMIT 100""")(lambda t: T.search_literal(t.lines, "KEY_7").withColumn("lines", F.transform("matches", lambda x: x["line_no"])).drop("matches"))
+query("t1_search_prose", """
+WITH d AS (SELECT concat(source, '/', lang, '/', doc_id, '.md') AS path, unnest(string_split(text, chr(10))) AS line FROM documents),
+f AS (SELECT path, 'docs' AS category, count(*) AS match_count FROM d WHERE contains(line, 'é') GROUP BY path) SELECT * FROM f ORDER BY path LIMIT 40""", fixture=False)(lambda t: T.count_literal_files(t.prose, "é"))
+query("t2_count_files", f"SELECT path, {_CATEGORY} AS category, count(*) AS match_count FROM c_lines WHERE contains(text, '<red_') GROUP BY path ORDER BY path LIMIT 40")(lambda t: T.count_literal_files(t.lines, "<red_"))
+query("t3_env_usages", f"""
+SELECT path, {_CATEGORY} AS category, count(*) AS env_reads FROM c_lines WHERE contains(text, 'process.env.KEY_3') AND {_CATEGORY} IN ('runtime', 'script') GROUP BY path ORDER BY path LIMIT 40""")(lambda t: T.find_env_usages(t.lines, "KEY_3"))
+query("t4_classify_line", "SELECT CASE WHEN contains(text, 'process.env.KEY_1') THEN 'runtime_env_read' ELSE 'literal_reference' END AS kind, count(*) AS n FROM c_lines WHERE contains(text, 'KEY_1') GROUP BY 1")(lambda t: T.literal_matches(t.lines, "KEY_1").groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+query("t5_snippet", """
+WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS x FROM d)
+SELECT doc_id, CASE WHEN length(x) > 180 THEN left(x, 177) || '...' ELSE x END AS snippet FROM s""", fixture=False)(lambda t: t.raw("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", P.snippet(F.lit("a.md"), F.col("line")).alias("snippet")))
+query("t6_regex_boundaries", r"""
+WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS n FROM d WHERE regexp_matches(line, '\bre\b') GROUP BY doc_id""", fixture=False)(lambda t: t.raw("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(P.matches(F.col("line"), r"\bre\b")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+_KIND = rf"""CASE WHEN trim(text) LIKE '//%' THEN NULL
+  WHEN regexp_matches(text, '\b(function|class|interface|type|const|let|var)\s+{SYMBOL}\b|\b{SYMBOL}\s*[:=]\s*(async\s*)?(\([^)]*\)\s*=>|function\b)|\b{SYMBOL}\s*\([^)]*\)\s*\{{') THEN 'definition'
+  WHEN regexp_matches(text, '\bimport\b.*\b{SYMBOL}\b') THEN 'import' WHEN regexp_matches(text, '\.{SYMBOL}\s*\(') THEN 'method_call' WHEN regexp_matches(text, '\b{SYMBOL}\s*\(') THEN 'call'
+  WHEN regexp_matches(text, '<{SYMBOL}(\s|/|>)') THEN 'jsx' WHEN regexp_matches(text, '\b{SYMBOL}\b') THEN 'reference' END"""
+query("t7_symbol_kinds", f"SELECT {_KIND} AS kind, count(*) AS n FROM c_lines WHERE contains(text, '{SYMBOL}') AND {_KIND} IS NOT NULL GROUP BY 1")(lambda t: T.symbol_lines(t.lines, SYMBOL).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+_OWNER = r"""
+o AS (SELECT *, coalesce(nullif(regexp_extract(text, '^\s*(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)', 1), ''), nullif(regexp_extract(text, '^\s*export\s+(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=', 1), ''),
+  nullif(regexp_extract(text, '^\s*(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>', 1), ''), CASE WHEN regexp_matches(text, '^\s*(if|for|while|switch|catch|function)\b') THEN NULL ELSE nullif(regexp_extract(text, '^\s*(?:async\s+)?([A-Za-z_$][\w$]*)\s*\([^)]*\)\s*\{', 1), '') END, '') AS own,
+  length(text) - length(replace(text, '{', '')) - length(text) + length(replace(text, '}', '')) AS delta FROM c_lines WHERE NOT regexp_matches(text, '^\s*(//|\*|/\*)')),
+o2 AS (SELECT *, sum(CASE WHEN own <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) AS seg FROM o),
+o3 AS (SELECT *, sum(delta) OVER (PARTITION BY path, seg ORDER BY line_no) AS cum FROM o2),
+o4 AS (SELECT *, min(CASE WHEN seg > 0 AND cum <= 0 AND contains(text, '}') THEN line_no END) OVER (PARTITION BY path, seg) AS fin, first_value(own) OVER (PARTITION BY path, seg ORDER BY line_no) AS head FROM o3),
+ow AS (SELECT path, line_no, text, seg, coalesce(line_no > fin, false) AS after_end, CASE WHEN seg = 0 OR coalesce(line_no > fin, false) THEN '' ELSE head END AS owner FROM o4)"""
+query("w1_owner", f"WITH {_OWNER.strip()} SELECT path, line_no, CAST(seg AS BIGINT) AS seg, after_end, owner FROM ow")(lambda t: T.with_owner(t.lines).drop("text"))
+query("w3_first_k", "SELECT path, line_no FROM (SELECT path, line_no, row_number() OVER (PARTITION BY path ORDER BY line_no) AS r FROM c_lines WHERE contains(text, 'assertAllowed')) WHERE r <= 3")(lambda t: T.search_literal(t.lines, "assertAllowed", limit=10**6).select("path", F.explode("matches").alias("m")).select("path", "m.line_no"))
+query("t8_function_impact", f"""
+WITH {_OWNER.strip()}, k AS (SELECT *, {_KIND} AS kind FROM ow WHERE contains(text, '{SYMBOL}')),
+b AS (SELECT *, CASE WHEN kind IN ('definition', 'import', 'reference') THEN kind ELSE 'call' END AS bucket, {_CATEGORY} AS category FROM k WHERE kind IS NOT NULL),
+f AS (SELECT path, bucket, owner, min(line_no) AS pos FROM b WHERE owner <> '' GROUP BY ALL)
+SELECT path, bucket, any_value(category) AS category, count(*) AS hit_count, coalesce((SELECT list(owner ORDER BY pos) FROM f WHERE f.path = b.path AND f.bucket = b.bucket), []) AS owners,
+       count(*) FILTER (kind = 'definition') AS n_definition, count(*) FILTER (kind = 'import') AS n_import, count(*) FILTER (kind = 'method_call') AS n_method_call, count(*) FILTER (kind = 'call') AS n_call,
+       count(*) FILTER (kind = 'jsx') AS n_jsx, count(*) FILTER (kind = 'reference') AS n_reference, list_slice(list(line_no ORDER BY line_no), 1, 5) AS lines
+FROM b WHERE category NOT IN ('docs', 'config') GROUP BY path, bucket""")(lambda t: T.function_impact(t.lines, SYMBOL, docs=False, config=False))
+query("t9_callsites", rf"""
+WITH {_OWNER.strip()}, c AS (SELECT *, {_CATEGORY} AS category, regexp_matches(text, '(?:^|[^.\w$]){SYMBOL}\s*\(|\.{SYMBOL}\s*\(') AS calls, regexp_matches(text, '(?:^|[^.\w$])assertAllowed\s*\(') AS needs FROM ow),
+q AS (SELECT *, max(CASE WHEN needs AND NOT calls THEN line_no END) OVER (PARTITION BY path, seg, after_end ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS req FROM c)
+SELECT path, category, owner, line_no AS line, CAST(strpos(text, '{SYMBOL}') - 2 AS INT) AS at, req AS required_line, req IS NOT NULL AS has_required FROM q WHERE calls AND category NOT IN ('docs', 'config')""")(lambda t: T.callsites(t.lines, SYMBOL, "assertAllowed"))
+query("t13_rename_impact", f"""
+WITH f AS (SELECT path, {_CATEGORY} AS category, count(*) AS match_count, bool_or(contains(text, 'process.env.KEY_9')) AS env_read FROM c_lines WHERE contains(text, 'KEY_9') GROUP BY path),
+g AS (SELECT *, CASE category WHEN 'test' THEN 'tests' WHEN 'docs' THEN 'docs' WHEN 'config' THEN 'config' ELSE CASE WHEN env_read THEN 'runtimeReads' WHEN category = 'script' THEN 'scripts' ELSE 'other' END END AS bucket FROM f)
+SELECT *, CAST(row_number() OVER (PARTITION BY bucket ORDER BY path) AS INT) AS rank, row_number() OVER (PARTITION BY bucket ORDER BY path) <= 20 AS shown, true AS maybe_false_positive FROM g""")(lambda t: T.rename_impact(t.lines, "KEY_9"))
+query("t14_transitive_impact", rf"""
+WITH {_OWNER.strip()}, e AS (SELECT DISTINCT unnest(regexp_extract_all(text, '([A-Za-z_$][\w$]*)\s*\(', 1)) AS callee, owner FROM ow WHERE owner <> '')
+SELECT owner AS symbol, 1 AS depth FROM e WHERE callee = '{SYMBOL}' AND owner <> callee GROUP BY owner""")(lambda t: T.transitive_impact(t.lines, SYMBOL, 1))
+query("t15_related_tests", """
+WITH f AS (SELECT DISTINCT path FROM g_files), s AS (SELECT path, regexp_replace(path, '\\.[^./]*$', '') AS stem FROM f WHERE NOT contains(path, '.test.'))
+SELECT s.path AS seed, f.path FROM s JOIN f ON f.path IN (s.stem || '.test.ts', s.stem || '.test.tsx', s.stem || '.spec.ts')""")(lambda t: T.related_tests(t.get("g_files"), t.get("g_files").select("path").distinct().filter("NOT contains(path, '.test.')")))
+query("t16_import_terms", r"""
+WITH p AS (SELECT path, regexp_replace(path, '\.[^./]*$', '') AS bare FROM g_nodes WHERE label = 'File'),
+u AS (SELECT path AS seed, array_to_string(list_slice(string_split(bare, '/'), -2, -1), '/') AS term FROM p UNION SELECT path, regexp_extract(bare, '[^/]*$') FROM p WHERE length(regexp_extract(bare, '[^/]*$')) >= 3)
+SELECT * FROM u""")(lambda t: T.import_terms(t.nodes.filter("label = 'File'").select("path")))
+query("p1_classify_path", f"SELECT path, {_CATEGORY} AS category FROM g_nodes WHERE label = 'File'")(lambda t: t.nodes.filter("label = 'File'").select("path", P.classify_path(F.col("path")).alias("category")))
+query("p4_searchable", "SELECT path, NOT path LIKE '%.zip' AS ok FROM g_nodes WHERE label = 'File'")(lambda t: t.nodes.filter("label = 'File'").select("path", P.is_searchable(F.col("path")).alias("ok")))
+query("p5_path_in_scope", "SELECT path FROM g_nodes WHERE label = 'File' AND path LIKE 'packages/%' AND contains(path, '/nation_4/')")(lambda t: t.nodes.filter((F.col("label") == "File") & P.path_in_scope(F.col("path"), "packages/", "@acme/nation_4")).select("path"))
+query("x5_file_kind", """
+SELECT path, CASE WHEN contains(path, '.test.') THEN 'test' WHEN path LIKE '%.tsx' THEN 'component' ELSE 'source' END AS kind FROM g_nodes WHERE label = 'File'""")(lambda t: t.nodes.filter("label = 'File'").select("path", P.file_kind(F.col("path")).alias("kind")))
+query("s17_open_excerpt", """
+WITH p AS (SELECT path FROM c_lines GROUP BY path HAVING count(*) >= 6 ORDER BY path LIMIT 1) SELECT path, 2 AS start_line, 5 AS end_line, false AS truncated, string_agg(text, chr(10) ORDER BY line_no) AS text FROM c_lines WHERE path = (SELECT path FROM p) AND line_no BETWEEN 2 AND 5 GROUP BY path""")(lambda t: T.open_excerpt(t.lines, t.lines.groupBy("path").count().filter("count >= 6").orderBy("path").first()["path"], 2, 5))
+
+# ---- plans -----------------------------------------------------------------------------------------------------
+
+_TEXT_SIDE = f"tx AS (SELECT path, CASE WHEN kind IN ('definition', 'import', 'reference') THEN kind ELSE 'call' END AS bucket, count(*) AS n FROM (SELECT path, {_KIND} AS kind FROM c_lines WHERE contains(text, '{SYMBOL}')) WHERE kind IS NOT NULL GROUP BY ALL)"
+_GRAPH_SIDE = f"""
+si AS (SELECT id, path FROM g_nodes WHERE label = 'Symbol' AND name = '{SYMBOL}'),
+gx AS (SELECT e.source_file AS path, 'call' AS bucket FROM g_edges e WHERE e.dst IN (SELECT id FROM si) AND e.type IN ('CALLS', 'RENDERS', 'INSTANTIATES') AND coalesce(e.confidence, 1.0) >= 0.6
+  UNION ALL SELECT e.source_file, 'import' FROM g_edges e WHERE e.dst IN (SELECT id FROM si) AND e.type = 'IMPORTS_SYMBOL' UNION ALL SELECT path, 'definition' FROM si),
+gc AS (SELECT path, bucket, count(*) AS n FROM gx GROUP BY ALL)"""
+query("h1_merge_impact", f"""
+WITH {_TEXT_SIDE}, {_GRAPH_SIDE.strip()}
+SELECT coalesce(tx.path, gc.path) AS path, coalesce(tx.bucket, gc.bucket) AS bucket, coalesce(tx.n, 0) AS text_hits, coalesce(gc.n, 0) AS graph_hits, CASE WHEN tx.n IS NULL THEN 'graph' WHEN gc.n IS NULL THEN 'text' ELSE 'hybrid' END AS method
+FROM tx FULL JOIN gc ON tx.path = gc.path AND tx.bucket = gc.bucket""")(lambda t: H.function_impact(t.nodes, t.edges, t.lines, SYMBOL))
+query("h2_confidence", f"""
+WITH {_TEXT_SIDE}, {_GRAPH_SIDE.strip()}
+SELECT coalesce(tx.path, gc.path) AS path, coalesce(tx.bucket, gc.bucket) AS bucket, CASE WHEN gc.n IS NULL THEN 'medium' ELSE 'high' END AS confidence FROM tx FULL JOIN gc ON tx.path = gc.path AND tx.bucket = gc.bucket""")(
+    lambda t: H.function_impact(t.nodes, t.edges, t.lines, SYMBOL).select("path", "bucket", H.impact_confidence(F.col("method"), F.lit(True), F.lit(False), F.lit(False), F.lit(1)).alias("confidence")))
+query("a9_rollup", "SELECT CASE WHEN max(l_discount) > 1 THEN 'low' WHEN bool_or(l_returnflag = 'R') THEN 'high' ELSE 'medium' END AS confidence FROM lineitem", fixture=False)(lambda t: H.rollup_confidence(t.raw("lineitem").select(F.when(F.col("l_returnflag") == "R", "high").otherwise("medium").alias("confidence"))))
+query("h7_package_hint", "SELECT path, regexp_extract(path, '^((packages|apps)/[^/]+)/', 1) AS hint FROM g_nodes WHERE label = 'File'")(lambda t: t.nodes.filter("label = 'File'").select("path", P.package_hint(F.col("path")).alias("hint")))
+_TERMS = r"tm AS (SELECT DISTINCT unnest([regexp_extract(regexp_replace(path, '\.[^./]*$', ''), '[^/]+/[^/]+$')]) AS term FROM s)"
+query("h6_path_set_impact", f"""
+WITH s AS ({_SEEDS}), {_TERMS},
+dep AS (SELECT DISTINCT coalesce(o.path, o.id) AS path, 1 AS rank, 'dependent' AS role, 'graph' AS how FROM s JOIN g_edges e ON e.dst = s.id JOIN g_nodes o ON o.id = e.src WHERE e.type IN ('IMPORTS_FILE', 'RE_EXPORTS_FILE', 'DYNAMIC_IMPORTS_FILE', 'TESTS_FILE') AND coalesce(e.confidence, 1.0) >= 0.5),
+pro AS (SELECT DISTINCT coalesce(o.path, o.id) AS path, 4 AS rank, 'dependency' AS role, 'graph' AS how FROM s JOIN g_edges e ON e.src = s.id JOIN g_nodes o ON o.id = e.dst WHERE e.type IN ('IMPORTS_FILE', 'RE_EXPORTS_FILE', 'DYNAMIC_IMPORTS_FILE') AND coalesce(e.confidence, 1.0) >= 0.5),
+txt AS (SELECT DISTINCT path, CASE WHEN contains(path, '.test.') THEN 3 ELSE 2 END AS rank, CASE WHEN contains(path, '.test.') THEN 'test' ELSE 'importer' END AS role, 'text' AS how FROM c_lines, tm WHERE contains(text, term)),
+u AS (SELECT path, 0 AS rank, 'seed' AS role, 'given' AS how FROM s UNION ALL SELECT * FROM dep UNION ALL SELECT * FROM pro UNION ALL SELECT * FROM txt)
+SELECT path, arg_min(role, rank) AS role, CASE WHEN bool_or(how = 'graph') AND bool_or(how = 'text') THEN 'hybrid' WHEN bool_or(how = 'graph') THEN 'graph' WHEN bool_or(how = 'text') THEN 'text' ELSE 'none' END AS method,
+       regexp_extract(path, '^((packages|apps)/[^/]+)/', 1) AS package FROM u GROUP BY path""")(lambda t: H.path_set_impact(t.nodes, t.edges, t.lines, t.seeds))
+query("h8_change_plan")(lambda t: H.change_plan(t.nodes, t.edges, t.lines, [SYMBOL, "hot_gear"], t.seeds))
+query("h9_rename_plan", f"""
+WITH i(layer, ident) AS (VALUES ('path', 'assertAllowed'), ('ci', 'KEY_4'), ('name', 'red_plate'))
+SELECT path, layer, count(*) AS mentions, {_CATEGORY} AS bucket FROM c_lines JOIN i ON contains(text, ident) GROUP BY path, layer""")(lambda t: H.rename_plan(t.lines, [("path", "assertAllowed"), ("ci", "KEY_4"), ("name", "red_plate")]))
+query("h11_feature_context", f"""
+WITH a AS (SELECT path, 0 AS grp, count(*) AS match_count FROM c_lines WHERE contains(text, 'KEY_2') AND {_CATEGORY} NOT IN ('docs', 'config') GROUP BY path ORDER BY path LIMIT 25)
+SELECT path, grp, match_count, contains(path, '.test.') AS is_test FROM a ORDER BY grp, match_count DESC, path LIMIT 25""")(lambda t: H.feature_context(t.nodes, t.lines, "KEY_2"))
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+# ---- events ----------------------------------------------------------------------------------------------------
 
 
-def queries():
-    return {}
+def _event_rows(t: Tables) -> DataFrame:
+    """The events table as graph events: one node event an event, the type as its label's name."""
+    e = t.raw("events")
+    props = F.create_map(F.lit("name"), F.col("event_type"), F.lit("startLine"), F.get_json_object("props", "$.k"))
+    return e.select(
+        F.lit(E.PROTOCOL).alias("protocol"), F.when(F.col("event_id") % 50 == 0, "nonsense").otherwise("node").alias("type"), F.lit("Symbol").alias("label"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"),
+        F.lit(None).cast("string").alias("rel"), F.lit(None).cast("string").alias("from"), F.lit(None).cast("string").alias("to"), F.lit("events").alias("source"), F.lit(None).cast("string").alias("message"),
+        props.alias("props"), F.to_json(F.struct("event_id")).alias("raw"), F.col("event_id").alias("seq"),
+    )
 
 
-def oracle_sql():
-    return {}
+query("s2_validate", "SELECT coalesce(CASE WHEN event_id % 50 = 0 THEN 'unknown type' END, 'ok') AS error, count(*) AS n FROM events GROUP BY 1", fixture=False)(lambda t: _event_rows(t).select(F.coalesce(E.error(), F.lit("ok")).alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n")))
+query("s3_ordered", "SELECT user_id, min(event_id) AS seq FROM events WHERE event_id % 50 <> 0 GROUP BY user_id", fixture=False)(lambda t: E.ordered(_event_rows(t).filter("type = 'node'")).select(F.substr("id", F.lit(2)).cast("long").alias("user_id"), "seq"))
+query("s4_upsert_nodes", """
+SELECT 'ns:u' || user_id AS id, arg_max(event_type, event_id) AS name, arg_max(CAST(json_extract_string(props, '$.k') AS BIGINT), event_id) FILTER (json_extract_string(props, '$.k') IS NOT NULL) AS start_line FROM events WHERE event_id % 50 <> 0 GROUP BY user_id""", fixture=False)(lambda t: E.nodes_of(E.split_valid(_event_rows(t))[0], "ns").select("id", "name", F.col("startLine").alias("start_line")))
+query("s5_attached_edges", """
+SELECT e.type, e.src, e.dst, count(*) AS n FROM g_edges e WHERE e.src IN (SELECT id FROM g_nodes WHERE label = 'File') AND e.dst IN (SELECT id FROM g_nodes WHERE label = 'File') GROUP BY ALL""")(lambda t: E.attached(t.edges, t.nodes.filter("label = 'File'")).groupBy("type", "src", "dst").agg(F.count(F.lit(1)).alias("n")))
+query("s6_edge_identity", "SELECT count(DISTINCT (type, src, dst, coalesce(source_file, ''), coalesce(start_line, -1))) AS n FROM g_edges")(lambda t: t.edges.select(V.edge_id().alias("e")).agg(F.countDistinct("e").alias("n")))
+query("s7_scoped_id", "SELECT 'ns:' || id AS scoped, id AS back FROM g_nodes")(lambda t: t.nodes.select(E.scoped(F.lit("ns"), F.col("id")).alias("scoped")).select("scoped", E.unscoped(F.lit("ns"), F.col("scoped")).alias("back")))
+query("s12_duplicates", "SELECT id, count(*) AS n FROM g_nodes GROUP BY id HAVING count(*) > 1")(lambda t: E.duplicates(t.nodes))
+query("s20_export_nodes", "SELECT label, id, row_number() OVER (ORDER BY label, id) AS place FROM g_nodes ORDER BY label, id LIMIT 500")(lambda t: t.nodes.orderBy("label", "id").limit(500).select("label", "id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("label", "id")).cast("long").alias("place")))
