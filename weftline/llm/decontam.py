@@ -25,7 +25,9 @@ from pyspark.sql.window import Window
 from weftline.llm.scratch import keep
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What is no ASCII character but a-z and 0-9, written as the characters that count: that and the possessive repeat scan fast.
+WORD = r"[a-z0-9\x80-\x{10FFFF}]++"
+ANY_CASE = r"[A-Za-z0-9\x80-\x{10FFFF}]++"
 WINDOW, SHINGLE = 10, 3
 SLICE_ROWS, SLICE_BYTES = 200_000, 32 << 20
 
@@ -73,7 +75,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = base.select(F.md5("text").alias("h"), words_of(F.col("text")).alias("words"))
-    heads = base.select("id", F.md5("text").alias("h"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    heads = base.select("id", F.md5("text").alias("h"), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ANY_CASE), F.lit(0))).cast("long").alias("n_words"))
     windows = keep(spark, windows_of(items, item_col, item_text_col, window), "windows")
     distinct = windows.select("wtext", "words", "len").distinct().withColumn("size", F.least(F.lit(SHINGLE), F.col("len")))
     sizes = sorted(r[0] for r in distinct.select("size").distinct().collect())  # at most three numbers
