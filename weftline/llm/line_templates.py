@@ -24,19 +24,24 @@ VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 DEPTH, MIN_DOCS, MIN_CONSTANT_PERCENT = 3, 20, 60
 
 
-def tokens_of(line: Column) -> Column:
-    """The tokens of a line, those with digits generalised."""
-    return F.filter(F.split(F.regexp_replace(line, VARIABLE, "<*>"), r"\s+"), lambda t: t != "")
+def normal(text: Column) -> Column:
+    """A text with tokens that have a digit generalised and single spaces between the tokens of a line.
 
+    Whole texts are rewritten, and only those that need it: most have no digit or no odd white space.
+    """
+    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, VARIABLE, "<*>")).otherwise(text)
+    spaced = F.regexp_replace(F.regexp_replace(masked, r"[ \t\x0B\f\r]+", " "), r"(?:(?<=\n)|\A) | (?=\n|\z)", "")
+    odd = r"[\t\x0B\f\r]|  | \n|\n |\A | \z"
+    return F.when(text.rlike(odd), spaced).otherwise(masked)
 
-def _leaf(tokens: Column, depth: int) -> Column:
-    return F.xxhash64(F.size(tokens), F.array_join(F.slice(tokens, 1, depth), " "))
+
+def _leaf(line: Column, depth: int) -> Column:
+    return F.xxhash64(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))), F.substring_index(line, " ", depth))
 
 
 def line_keys(text: Column, depth: int = DEPTH) -> Column:
-    """For each line of a text the hash of its tokens (null without tokens) and its leaf."""
-    tokens = F.transform(F.split(text, "\n"), tokens_of)
-    return F.transform(tokens, lambda t: F.struct(F.when(F.size(t) > 0, F.xxhash64(F.array_join(t, " "))).alias("line"), _leaf(t, depth).alias("leaf")))
+    """For each line of a normal text its hash (null without tokens) and its leaf."""
+    return F.transform(F.split(text, "\n"), lambda x: F.struct(F.when(x != "", F.xxhash64(x)).alias("line"), _leaf(x, depth).alias("leaf")))
 
 
 def boilerplate(texts: DataFrame, once: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_constant: int = MIN_CONSTANT_PERCENT) -> DataFrame:
@@ -44,8 +49,8 @@ def boilerplate(texts: DataFrame, once: DataFrame, depth: int = DEPTH, min_docs:
     spark = texts.sparkSession
     seen = once.select(F.explode(F.array_distinct("lines")).alias("x")).select("x.leaf", "x.line").filter("line IS NOT NULL")
     seen = keep(spark, seen.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs")), "line-counts")
-    lines = texts.select(F.explode(F.transform(F.split("text", "\n"), tokens_of)).alias("t")).filter(F.size("t") > 0)
-    lines = lines.select(F.array_join("t", " ").alias("tokens"), _leaf(F.col("t"), depth).alias("leaf")).withColumn("line", F.xxhash64("tokens"))
+    lines = texts.select(F.explode(F.split(normal(F.col("text")), "\n")).alias("tokens")).filter("tokens <> ''")
+    lines = lines.select("tokens", _leaf(F.col("tokens"), depth).alias("leaf"), F.xxhash64("tokens").alias("line"))
     leaves = keep(spark, seen.groupBy("leaf").agg(F.sum("docs").alias("d")).filter(F.col("d") >= min_docs).select("leaf"), "leaves")
     full = lines.join(leaves, "leaf", "left_semi").select("leaf", "line", "tokens").dropDuplicates(["leaf", "line"])
     full = keep(spark, full.join(seen, ["leaf", "line"]), "leaf-lines")
@@ -68,7 +73,7 @@ def drop_lines(docs: DataFrame, text_col: str = "text", **parameters: int) -> Da
     key = F.md5(F.col(text_col))
     texts = docs.select(F.col(text_col).cast("string").alias("text")).filter("text <> ''")
     depth = parameters.get("depth", DEPTH)
-    once = texts.select(F.md5("text").alias("h"), line_keys(F.col("text"), depth).alias("lines")).groupBy("h").agg(F.first("lines").alias("lines"))
+    once = texts.select(F.md5("text").alias("h"), line_keys(normal(F.col("text")), depth).alias("lines")).groupBy("h").agg(F.first("lines").alias("lines"))
     once = keep(spark, once, "line-keys")
     drop = keep(spark, boilerplate(texts, once, **parameters).select("line").distinct(), "boilerplate")
     hit = once.select("h", F.posexplode("lines.line").alias("pos", "line")).join(drop, "line", "left_semi")
