@@ -20,64 +20,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.scratch import keep
-from weftline.llm.shingles import LOWER, STEP, Seen, Words, mix, set_key, shingle_set
+from weftline.llm.shingles import LOWER, STEP, Seen, Words, mix, set_key, shingles
 from weftline.llm.simjoin import similar_components
 
 BANDS, ROWS = 20, 5
-SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * STEP)
+_RANDOM = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * STEP)
+FACTORS, TERMS = (_RANDOM[: BANDS * ROWS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_RANDOM[BANDS * ROWS :] >> np.uint64(32)).astype(np.uint32)
 PLACES = mix(np.arange(101, 101 + BANDS, dtype=np.uint64) * STEP)
 
 
-def paragraphs(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """Position, start, end and words of each paragraph that is long enough."""
-    at = 0
+def paragraphs(text: str | None, size: int, min_words: int, memory: Words) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Position, start, end and shingle set of each paragraph that is long enough; the text is hashed in one go."""
+    at, found, words = 0, [], []
     for i, line in enumerate((text or "").split("\n")):
         if len(line) >= 2 * min_words - 1:
-            words = line.encode("utf-8", "surrogatepass").translate(LOWER).split()
-            if len(words) >= min_words:
-                yield i, at, at + len(line), words
+            own = line.encode("utf-8", "surrogatepass").translate(LOWER).split()
+            if len(own) >= min_words:
+                found.append((i, at, at + len(line), len(words), len(words) + len(own)))
+                words += own
         at += len(line) + 1
-
-
-def band_keys(items: np.ndarray) -> np.ndarray:
-    """One key a band."""
-    least = np.full(len(SALTS), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(items), 512):
-        least = np.minimum(least, mix(items[i : i + 512, None] ^ SALTS[None, :]).min(axis=0))
-    keys = PLACES.copy()
-    for r in range(ROWS):
-        keys = mix(keys * STEP + least[r::ROWS])
-    return keys
+    if found:
+        every = shingles(memory.numbers(words), min(size, min_words))
+        for i, a, b, lo, hi in found:
+            yield i, a, b, np.unique(every[lo : hi - min(size, min_words) + 1])
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of keys, one a band, for each set. The items are scrambled already, so 32 bits and a linear function each
+    make the permutations; sets are taken together up to a bounded number of items."""
+    out, at = [], 0
+    while at < len(sets):
+        to, held = at, 0
+        while to < len(sets) and (to == at or held + len(sets[to]) <= 4096):
+            held += len(sets[to])
+            to += 1
+        if held <= 4096:
+            x = (np.concatenate(sets[at:to]) >> np.uint64(32)).astype(np.uint32)
+            starts = np.cumsum([0, *(len(s) for s in sets[at : to - 1])])
+            least = np.minimum.reduceat(x[:, None] * FACTORS[None, :] + TERMS[None, :], starts, axis=0)
+        else:  # one set of many items, in steps
+            x = (sets[at] >> np.uint64(32)).astype(np.uint32)
+            steps = [(x[i : i + 4096, None] * FACTORS[None, :] + TERMS[None, :]).min(axis=0) for i in range(0, len(x), 4096)]
+            least = np.min(steps, axis=0)[None, :]
+        keys = np.repeat(PLACES[None, :], len(least), axis=0)
+        for r in range(ROWS):
+            keys = keys * STEP + least[:, r::ROWS]
+        out.append(mix(keys))
+        at = to
+    return np.concatenate(out)
 
 
 def _places(batches: Iterator[pa.RecordBatch], size: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    memory = Words()
+    """Every paragraph; its band keys too, unless this task has just given those of the same set."""
+    memory, seen = Words(), Seen()
     for batch in batches:
-        rows = []
+        rows, fresh, owner = [], [], []
         for k, t in enumerate(batch.column("text").to_pylist()):
-            for i, a, b, words in paragraphs(t, min_words):
-                rows.append((k, i, a, b, set_key(shingle_set(words, size, memory))))
+            for i, a, b, items in paragraphs(t, size, min_words, memory):
+                cls = set_key(items)
+                if not seen(cls):
+                    owner.append(len(rows))
+                    fresh.append(items)
+                rows.append((k, i, a, b, cls))
         if rows:
+            keys = [None] * len(rows)
+            for o, x in zip(owner, band_keys(fresh).view(np.int64) if fresh else (), strict=True):
+                keys[o] = x
             k, i, a, b, cls = zip(*rows, strict=True)
             at = pa.array(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("th").take(at), *(pa.array(x, pa.int64()) for x in (i, a, b, cls))], names=["id", "th", "pos", "start", "end", "cls"])
-
-
-def _keys(batches: Iterator[pa.RecordBatch], size: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    memory, seen = Words(), Seen()
-    for batch in batches:
-        keys, owners = [], []
-        for t in batch.column("text").to_pylist():
-            for *_, words in paragraphs(t, min_words):
-                items = shingle_set(words, size, memory)
-                if not seen(cls := set_key(items)):
-                    keys.append(band_keys(items))
-                    owners.append(cls)
-            if len(owners) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), BANDS))], names=["key", "cls"])
-                keys, owners = [], []
-        if owners:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), BANDS))], names=["key", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("th").take(at), *(pa.array(x, pa.int64()) for x in (i, a, b, cls)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "th", "pos", "start", "end", "cls", "keys"])
 
 
 def _items(batches: Iterator[pa.RecordBatch], size: int, min_words: int) -> Iterator[pa.RecordBatch]:
@@ -85,8 +96,7 @@ def _items(batches: Iterator[pa.RecordBatch], size: int, min_words: int) -> Iter
     for batch in batches:
         cls, rows = [], []
         for t in batch.column("text").to_pylist():
-            for *_, words in paragraphs(t, min_words):
-                items = shingle_set(words, size, memory)
+            for *_, items in paragraphs(t, size, min_words, memory):
                 if not seen(c := set_key(items)):
                     cls.append(c)
                     rows.append(items.view(np.int64))
@@ -102,8 +112,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    places = keep(spark, texts.mapInArrow(lambda it: _places(it, size, min_words), f"id {kind}, th long, pos long, start long, end long, cls long"), "places")
-    keys = texts.select("text").mapInArrow(lambda it: _keys(it, size, min_words), "key long, cls long")
+    places = keep(spark, texts.mapInArrow(lambda it: _places(it, size, min_words), f"id {kind}, th long, pos long, start long, end long, cls long, keys array<long>"), "places")
+    keys = places.filter("keys IS NOT NULL").select(F.explode("keys").alias("key"), "cls")
+    places = places.drop("keys")
 
     def fetch(wanted: DataFrame) -> DataFrame:
         th = places.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("th").alias("th")).select("th").distinct()

@@ -19,36 +19,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words:
+class Words(dict):
     """Numbers of words, remembered for the most recent ones."""
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = xxhash.xxh64_intdigest(word)
+        return n
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        out = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            n = known.get(w)
-            if n is None:
-                n = known[w] = xxhash.xxh64_intdigest(w)
-            out[i] = n
-        return out
+        """The numbers of some words, in order."""
+        if len(self) > CACHE:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def shingles(ids: np.ndarray, size: int) -> np.ndarray:
+    """The shingle that begins at each word: a polynomial of the words' numbers, scrambled once."""
+    n = len(ids) - size + 1
+    h = np.full(n, size, np.uint64)
+    for j in range(size):
+        h = h * STEP + ids[j : j + n]
+    return mix(h)
 
 
 def shingle_set(words: list[bytes], size: int, memory: Words) -> np.ndarray:
     """Sorted distinct shingles of ``size`` words; fewer words are one shingle; no words, none."""
     if not words:
         return np.empty(0, np.uint64)
-    size = min(size, len(words))
-    ids = memory.numbers(words)
-    n = len(ids) - size + 1
-    h = np.full(n, size, np.uint64)
-    for j in range(size):
-        h = mix(h * STEP + ids[j : j + n])
-    return np.unique(h)
+    return np.unique(shingles(memory.numbers(words), min(size, len(words))))
 
 
 def set_key(items: np.ndarray, seed: int = 0) -> int:
