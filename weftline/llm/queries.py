@@ -110,6 +110,45 @@ SELECT b.page_id, host, path, rule,
               OR regexp_matches(b.url, '/wp-login\.php') OR regexp_matches(b.url, '(?i)\.(exe|zip|iso|dmg|apk)([?#]|$)') THEN 'block'
             ELSE 'allow' END AS verdict
 FROM b LEFT JOIN best ON b.page_id = best.page_id AND b.url = best.url
+""",
+    "op3_prefix_decontamination": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bi AS (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[i:i + 9], ' ') AS t FROM bi),
+occ AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, ws FROM w, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n),
+hit AS (SELECT doc_id, i, o.n, item_id FROM (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS t FROM occ) o JOIN win ON o.t = win.t AND o.n = win.n),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN pos ON w.doc_id = pos.doc_id LEFT JOIN its ON w.doc_id = its.doc_id
+""",
+    "op5_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+wi AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(ws[i:i + 3], ' ')) AS g FROM wi),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * common >= 85 * (u.n + v.n - common)),
+e AS MATERIALIZED (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT a AS doc_id, a AS seen FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.seen = e.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce((SELECT min(seen) FROM r WHERE r.doc_id = w.doc_id), w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id
+""",
+    "op8_line_templates": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body, text FROM documents),
+x AS (SELECT doc_id, body, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM d WHERE body <> ''),
+k AS MATERIALIZED (SELECT *, array_to_string(list_transform(list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS norm FROM x),
+o AS (SELECT DISTINCT body, norm FROM k WHERE norm <> ''),
+c AS (SELECT norm, count(*) AS docs, string_split(norm, ' ') AS toks FROM o GROUP BY norm),
+f AS (SELECT norm, docs, toks, concat(len(toks), ':', array_to_string(toks[1:3], ' ')) AS leaf FROM c),
+g AS (SELECT leaf FROM f GROUP BY leaf HAVING sum(docs) >= 20),
+u AS (SELECT leaf, norm, docs, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM f WHERE leaf IN (SELECT leaf FROM g)),
+q AS (SELECT *, sum(docs) OVER (PARTITION BY leaf, pos, tok) >= 20 AS fixed FROM u),
+t AS (SELECT leaf, norm, docs, string_agg(CASE WHEN fixed THEN tok ELSE '<*>' END, ' ' ORDER BY pos) AS template, count(*) FILTER (fixed AND tok <> '<*>') AS kept, count(*) AS n FROM q GROUP BY leaf, norm, docs),
+v AS (SELECT leaf, template FROM t WHERE 100 * kept >= 60 * n GROUP BY leaf, template HAVING sum(docs) >= 20),
+b AS MATERIALIZED (SELECT norm FROM t SEMI JOIN v ON t.leaf = v.leaf AND t.template = v.template WHERE 100 * kept >= 60 * n),
+m AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (norm IN (SELECT norm FROM b)) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (norm NOT IN (SELECT norm FROM b)), '') AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(kept, d.text) AS text FROM d LEFT JOIN m ON m.doc_id = d.doc_id
 """,
     "op4_warc_revisits": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hexed FROM pages),
