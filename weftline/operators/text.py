@@ -176,10 +176,9 @@ def transitive_impact(lines: DataFrame, symbol: str, depth: int = 2) -> DataFram
 def related_tests(files: DataFrame, seeds: DataFrame) -> DataFrame:
     """Test files that naming conventions tie to the seeds (``path``) and that exist."""
     path = F.col("path")
-    folder = F.regexp_extract(path, r"^(.*/)?[^/]*$", 1)
-    ext = F.regexp_extract(path, r"(\.[^./]*)$", 1)
-    stem = F.regexp_replace(P.base_name(path), r"\.[^./]*$", "")
-    names = [F.concat(folder, F.lit(sub), stem, F.lit(f".{kind}"), e) for sub in ("", "__tests__/") for kind in ("test", "spec") for e in (ext, F.lit(".ts"), F.lit(".tsx"), F.lit(".js"), F.lit(".jsx"))]
+    parts = F.struct(F.regexp_extract(path, r"^(.*/)?[^/]*$", 1).alias("folder"), F.regexp_replace(P.base_name(path), r"\.[^./]*$", "").alias("stem"), F.regexp_extract(path, r"(\.[^./]*)$", 1).alias("ext"))
+    seeds = seeds.select(path, F.explode(F.array(parts)).alias("p"))  # evaluated once, not once for each name
+    names = [F.concat(F.col("p.folder"), F.lit(sub), F.col("p.stem"), F.lit(f".{kind}"), e) for sub in ("", "__tests__/") for kind in ("test", "spec") for e in (F.col("p.ext"), F.lit(".ts"), F.lit(".tsx"), F.lit(".js"), F.lit(".jsx"))]
     wanted = seeds.select(path.alias("seed"), F.explode(F.array_distinct(F.array(*names))).alias("path")).filter("seed <> path")
     return wanted.join(files.select("path").distinct(), "path").select("seed", "path")
 

@@ -99,8 +99,10 @@ def change_plan(nodes: DataFrame, edges: DataFrame, lines: DataFrame, symbols: l
     rows = rows.unionByName(impact.select("path", F.lit(1).alias("rank")))
     for s in symbols:
         found = function_impact(nodes, edges, lines, s)
-        rows = rows.unionByName(found.filter("bucket <> 'reference'").select("path", F.when(F.col("bucket") == "definition", 0).otherwise(1).alias("rank")))
-    out = rows.groupBy("path").agg(F.min("rank").alias("rank"))
+        # a filter on the bucket would be pushed into the scan and repeat its expressions there; a null rank is dropped below
+        rank = F.when(F.col("bucket") == "definition", 0).when(F.col("bucket") != "reference", 1)
+        rows = rows.unionByName(found.select("path", rank.alias("rank")))
+    out = rows.groupBy("path").agg(F.min("rank").alias("rank")).filter("rank IS NOT NULL")
     test = P.classify_path(F.col("path")) == "test"
     return out.select("path", F.when(F.col("rank") == 0, "edit").otherwise("verify").alias("action"), test.alias("is_test"), F.when(F.col("rank") == 0, 0).when(~test, 1).otherwise(2).alias("place"))
 

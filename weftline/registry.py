@@ -128,8 +128,8 @@ query("g15_dependents", f"""
 WITH s AS ({_SEEDS}) SELECT DISTINCT coalesce(o.path, o.id) AS path, e.type AS rel, coalesce(o.package_id, '') AS package_id, coalesce(o.label, '') AS label
 FROM s JOIN g_edges e ON e.dst = s.id JOIN g_nodes o ON o.id = e.src WHERE e.type IN ('IMPORTS_FILE', 'RE_EXPORTS_FILE', 'DYNAMIC_IMPORTS_FILE', 'TESTS_FILE') AND coalesce(e.confidence, 1.0) >= 0.5""")(lambda t: G.path_neighbours(t.nodes, t.edges, t.seeds, True))
 query("g15_dependencies", f"""
-WITH s AS ({_SEEDS.replace("s[1-9]", "s[0-9]+")}) SELECT DISTINCT coalesce(o.path, o.id) AS path, e.type AS rel, coalesce(o.package_id, '') AS package_id, coalesce(o.label, '') AS label
-FROM s JOIN g_edges e ON e.src = s.id JOIN g_nodes o ON o.id = e.dst WHERE e.type IN ('IMPORTS_FILE', 'RE_EXPORTS_FILE', 'DYNAMIC_IMPORTS_FILE') AND coalesce(e.confidence, 1.0) >= 0.5""")(lambda t: G.path_neighbours(t.nodes, t.edges, t.nodes.filter("label = 'File' AND path RLIKE '/lib/s[0-9]+.ts$'").select("path"), False))
+WITH s AS ({_SEEDS.replace("/lib/s[1-9]", "/src/c[0-9]*4")}) SELECT DISTINCT coalesce(o.path, o.id) AS path, e.type AS rel, coalesce(o.package_id, '') AS package_id, coalesce(o.label, '') AS label
+FROM s JOIN g_edges e ON e.src = s.id JOIN g_nodes o ON o.id = e.dst WHERE e.type IN ('IMPORTS_FILE', 'RE_EXPORTS_FILE', 'DYNAMIC_IMPORTS_FILE') AND coalesce(e.confidence, 1.0) >= 0.5""")(lambda t: G.path_neighbours(t.nodes, t.edges, t.nodes.filter("label = 'File' AND path RLIKE '/src/c[0-9]*4.ts$'").select("path"), False))
 query("g16_file_relations", f"""
 WITH s AS ({_SEEDS}),
 i AS (SELECT DISTINCT s.path AS sp, n.id, coalesce(n.path, n.name, n.id) AS shown FROM s JOIN g_edges e ON e.dst = s.id JOIN g_nodes n ON n.id = e.src),
@@ -270,15 +270,20 @@ SELECT coalesce(tx.path, gc.path) AS path, coalesce(tx.bucket, gc.bucket) AS buc
 query("a9_rollup", "SELECT CASE WHEN max(l_discount) > 1 THEN 'low' WHEN bool_or(l_returnflag = 'R') THEN 'high' ELSE 'medium' END AS confidence FROM lineitem", fixture=False)(lambda t: H.rollup_confidence(t.raw("lineitem").select(F.when(F.col("l_returnflag") == "R", "high").otherwise("medium").alias("confidence"))))
 query("h7_package_hint", "SELECT path, regexp_extract(path, '^((packages|apps)/[^/]+)/', 1) AS hint FROM g_nodes WHERE label = 'File'")(lambda t: t.nodes.filter("label = 'File'").select("path", P.package_hint(F.col("path")).alias("hint")))
 _TERMS = r"tm AS (SELECT DISTINCT unnest([regexp_extract(regexp_replace(path, '\.[^./]*$', ''), '[^/]+/[^/]+$')]) AS term FROM s)"
-query("h6_path_set_impact", f"""
-WITH s AS ({_SEEDS}), {_TERMS},
+_PATH_SET = f"""WITH s AS ({_SEEDS}), {_TERMS},
 dep AS (SELECT DISTINCT coalesce(o.path, o.id) AS path, 1 AS rank, 'dependent' AS role, 'graph' AS how FROM s JOIN g_edges e ON e.dst = s.id JOIN g_nodes o ON o.id = e.src WHERE e.type IN ('IMPORTS_FILE', 'RE_EXPORTS_FILE', 'DYNAMIC_IMPORTS_FILE', 'TESTS_FILE') AND coalesce(e.confidence, 1.0) >= 0.5),
 pro AS (SELECT DISTINCT coalesce(o.path, o.id) AS path, 4 AS rank, 'dependency' AS role, 'graph' AS how FROM s JOIN g_edges e ON e.src = s.id JOIN g_nodes o ON o.id = e.dst WHERE e.type IN ('IMPORTS_FILE', 'RE_EXPORTS_FILE', 'DYNAMIC_IMPORTS_FILE') AND coalesce(e.confidence, 1.0) >= 0.5),
 txt AS (SELECT DISTINCT path, CASE WHEN contains(path, '.test.') THEN 3 ELSE 2 END AS rank, CASE WHEN contains(path, '.test.') THEN 'test' ELSE 'importer' END AS role, 'text' AS how FROM c_lines, tm WHERE contains(text, term)),
-u AS (SELECT path, 0 AS rank, 'seed' AS role, 'given' AS how FROM s UNION ALL SELECT * FROM dep UNION ALL SELECT * FROM pro UNION ALL SELECT * FROM txt)
+u AS (SELECT path, 0 AS rank, 'seed' AS role, 'given' AS how FROM s UNION ALL SELECT * FROM dep UNION ALL SELECT * FROM pro UNION ALL SELECT * FROM txt)"""
+query("h6_path_set_impact", f"""{_PATH_SET}
 SELECT path, arg_min(role, rank) AS role, CASE WHEN bool_or(how = 'graph') AND bool_or(how = 'text') THEN 'hybrid' WHEN bool_or(how = 'graph') THEN 'graph' WHEN bool_or(how = 'text') THEN 'text' ELSE 'none' END AS method,
        regexp_extract(path, '^((packages|apps)/[^/]+)/', 1) AS package FROM u GROUP BY path""")(lambda t: H.path_set_impact(t.nodes, t.edges, t.lines, t.seeds))
-query("h8_change_plan")(lambda t: H.change_plan(t.nodes, t.edges, t.lines, [SYMBOL, "hot_gear"], t.seeds))
+_OTHER = lambda sql: sql.replace(SYMBOL, "hot_gear").replace("tx AS", "tx2 AS").replace("si AS", "si2 AS").replace("FROM si", "FROM si2").replace("gx AS", "gx2 AS").replace("FROM gx", "FROM gx2").replace("gc AS", "gc2 AS")
+query("h8_change_plan", f"""{_PATH_SET}, {_TEXT_SIDE}, {_GRAPH_SIDE.strip()}, {_OTHER(_TEXT_SIDE)}, {_OTHER(_GRAPH_SIDE.strip())},
+im AS (SELECT path, arg_min(role, rank) AS role FROM u GROUP BY path),
+al AS (SELECT path, 0 AS rank FROM s UNION ALL SELECT path, 1 FROM im WHERE role NOT IN ('seed', 'dependency')
+  UNION ALL SELECT path, CASE bucket WHEN 'definition' THEN 0 ELSE 1 END FROM (SELECT path, bucket FROM tx UNION ALL SELECT path, bucket FROM gc UNION ALL SELECT path, bucket FROM tx2 UNION ALL SELECT path, bucket FROM gc2) WHERE bucket <> 'reference')
+SELECT path, CASE min(rank) WHEN 0 THEN 'edit' ELSE 'verify' END AS action, contains(path, '.test.') AS is_test, CASE WHEN min(rank) = 0 THEN 0 WHEN contains(path, '.test.') THEN 2 ELSE 1 END AS place FROM al GROUP BY path""")(lambda t: H.change_plan(t.nodes, t.edges, t.lines, [SYMBOL, "hot_gear"], t.seeds))
 query("h9_rename_plan", f"""
 WITH i(layer, ident) AS (VALUES ('path', 'assertAllowed'), ('ci', 'KEY_4'), ('name', 'red_plate'))
 SELECT path, layer, count(*) AS mentions, {_CATEGORY} AS bucket FROM c_lines JOIN i ON contains(text, ident) GROUP BY path, layer""")(lambda t: H.rename_plan(t.lines, [("path", "assertAllowed"), ("ci", "KEY_4"), ("name", "red_plate")]))
