@@ -13,28 +13,33 @@ from weftline.llm.scratch import keep
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Each row as ``row`` beside its text, so that no column of the input clashes with an operator's."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.judge(docs, docs.columns).filter("kept").select(*docs.columns)
+    return quality.judge(_packed(docs), ["row"]).filter("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without boilerplate lines; ``n_chars`` follows the text. A document that loses all lines stays, empty."""
-    out = line_templates.drop_lines(docs)
+    out, new = line_templates.drop_lines(_packed(docs)), {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_dropped") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the one with the smallest id. A document without an id or words stays."""
     found = keep(spark, ngram_join.join(docs), "near-duplicates")
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    rest = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():
         return rest
-    same = F.col("doc_id").eqNullSafe(F.col("_again"))  # rows that repeat an id: equal rows are copies, so one stays
+    same = rest["doc_id"].eqNullSafe(again["_again"])  # rows that repeat an id: equal rows are copies, so one stays
     return rest.join(again, same, "left_anti").unionByName(rest.join(again, same, "left_semi").dropDuplicates())
 
 
@@ -42,14 +47,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold no window of a benchmark item."""
     found = decontam.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = found.filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with ``copies``, their size, their source's size and its target."""
-    out = mixing.mix(docs).filter("copies > 0")
-    side = out.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), "size", "source_size", "target", "copies", "taken").dropDuplicates(["_i", "_s"])
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_i", "_s")
+    """Documents that the mix takes, with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``; columns of these
+    names in the input give way."""
+    added = ["size", "source_size", "target", "copies", "taken"]
+    side = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), *added).dropDuplicates(["_i", "_s"])
+    rows = docs.drop(*added)
+    both = rows.join(side, rows["doc_id"].eqNullSafe(side["_i"]) & rows["source"].eqNullSafe(side["_s"]))
+    return both.select(*(rows[c] for c in rows.columns), *(side[c] for c in added))
 
 
 STAGES: list[tuple[str, Stage]] = [

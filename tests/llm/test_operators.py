@@ -269,6 +269,21 @@ def test_set_numbers():
     assert len(shingles.shingle_set(b"a b".split(), 4, memory)) == 1 and not len(shingles.shingle_set([], 4, memory))
 
 
+def test_stages_on_odd_input(spark, odd, empty):
+    """Each stage takes clashing columns, nulls, repeats and empty tables, and gives back the columns it got."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    clash = {c: F.lit(1) for c in ("_gone", "_again", "_h", "n_words", "kept", "row", "size", "copies", "_votes", "n_hit", "component_id", "line")}
+    for rows in (odd.withColumns(clash), empty.withColumns(clash)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, folder)
+            assert out.columns == rows.columns or name == corpus_pipeline.STAGES[-1][0]
+            assert out.count() <= rows.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -128,8 +129,7 @@ def _measured(batches: Iterator[pa.RecordBatch], carry: list[str], text_col: str
 def with_votes(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
     """The carried columns, the base counts and the votes of each row."""
     read = list(dict.fromkeys([*carry, text_col]))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    schema = ", ".join([kinds] * bool(kinds) + [f"{c} bigint" for c in BASE] + ["_votes int"])
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in carry), *(T.StructField(c, T.LongType()) for c in BASE), T.StructField("_votes", T.IntegerType())])
     return docs.select(*(F.col(c) for c in read)).mapInArrow(lambda it: _measured(it, carry, text_col), schema)
 
 
