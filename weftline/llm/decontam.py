@@ -114,7 +114,8 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     n_hit = spans.groupBy("h").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "before"))).cast("long").alias("n_hit"))
     named = hits.select("h", "wtext").distinct().join(windows.select("wtext", "item").distinct(), "wtext").select("h", "item").distinct()
     named = named.groupBy("h").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    side = n_hit.join(named, "h").withColumnRenamed("h", "k")
+    # a table of its own, so that the join with a hot text can be split
+    side = keep(spark, n_hit.join(named, "h").withColumnRenamed("h", "k"), "found")
     out = keep(spark, heads, "heads").join(side, F.col("h") == F.col("k"), "left")
     zero = F.lit(0).cast("long")
     return out.select(
