@@ -54,7 +54,8 @@ def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = rows.withColumn("digest", sha1_base32(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("long"))
     order = F.struct("id", "url")
     twice = rows.filter(F.col("bytes") >= at_least).groupBy("digest", "bytes").agg(F.max(order).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    one = twice.select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "first")
+    # a table of its own, so that the join with a hot digest can be split
+    one = keep(pages.sparkSession, twice.select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "first"), "repeated")
     out = rows.join(one, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
     revisits = F.col("first").isNotNull() & ~(F.col("first.id").eqNullSafe(F.col("id")) & F.col("first.url").eqNullSafe(F.col("url")))
     return out.select("id", "url", "payload", "digest", "bytes", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("first.id")).alias("refers_to"), F.when(revisits, F.col("first.url")).alias("refers_url"))
@@ -172,6 +173,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 def follow_revisits(records: DataFrame) -> DataFrame:
     """Give each revisit the length of the response that has its digest; headers alone are shuffled."""
     originals = records.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("found"))
+    originals = keep(records.sparkSession, originals, "originals")
     revisits = records.filter("record_type = 'revisit'").join(originals, "payload_digest", "left")
     revisits = revisits.withColumn("payload_bytes", F.col("found")).drop("found").select(*records.columns)
     return records.filter("record_type <> 'revisit'").unionByName(revisits)
