@@ -56,6 +56,7 @@ def boilerplate(texts: DataFrame, once: DataFrame, depth: int = DEPTH, min_docs:
     full = keep(spark, full.join(seen, ["leaf", "line"]), "leaf-lines")
     at = full.select("leaf", "line", "docs", F.posexplode(F.split("tokens", " ")).alias("pos", "token"))
     common = at.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("d")).filter(F.col("d") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("constant"))
+    common = keep(spark, common, "constants")
     # leaves that share tokens only up to their leading ones have templates that keep too little; they go here
     placed = at.join(common, ["leaf", "pos", "token"], "left")
     whole = placed.groupBy("leaf", "line", "docs").agg(
@@ -78,6 +79,7 @@ def drop_lines(docs: DataFrame, text_col: str = "text", **parameters: int) -> Da
     drop = keep(spark, boilerplate(texts, once, **parameters).select("line").distinct(), "boilerplate")
     hit = once.select("h", F.posexplode("lines.line").alias("pos", "line")).join(drop, "line", "left_semi")
     hit = hit.groupBy("h").agg(F.array_sort(F.collect_list("pos")).alias("_gone")).withColumnRenamed("h", "_h")
+    hit = keep(spark, hit, "gone")  # a table of its own, so that a join with a hot text can be split
     out = docs.join(hit, key == F.col("_h"), "left").drop("_h")
     lines = F.split(F.col(text_col), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
