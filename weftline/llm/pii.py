@@ -155,6 +155,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     places = places.select("h", "c.start", "c.end", F.coalesce(seed["found"], F.col("c.found")).alias("found"), seed["kind"].alias("kind"), _patterns(F.col("c.before"), F.col("c.after")).alias("patterns"))
     new = discover(keep(spark, places, "places"), rounds)
     new = new.groupBy(F.col("h").alias("k")).agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("new"))
+    new = keep(spark, new, "discovered")  # a table of its own, so that the join with a hot text can be split
     out = rows.select("id", "h", "base").join(new, F.col("h") == F.col("k"), "left")
     slim = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     every = F.array_sort(F.concat(slim, F.coalesce("new", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"))))
