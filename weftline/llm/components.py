@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.scratch import keep
+from weftline.llm.scratch import dealt_anew, keep
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
-    return both.filter("v > u").join(least, F.col("u") == F.col("w")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(dealt_anew(least, "w"), F.col("u") == F.col("w")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -24,6 +24,13 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _open(edges: DataFrame) -> DataFrame:
+    """Nodes that have two smaller ones or that are both ends: none where all edges are stars around smallest nodes."""
+    twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("u")
+    chain = edges.select("u").join(edges.select(F.col("v").alias("w")).distinct(), F.col("u") == F.col("w"), "left_semi")
+    return twice.unionByName(chain).limit(1)
+
+
 def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``component`` (its smallest reachable node) of every linked node that is not itself the smallest.
 
@@ -31,9 +38,7 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
     """
     real = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     edges = real.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges, mark = keep(spark, edges, "edges"), None
-    while True:
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-        if now == mark or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        edges, mark = keep(spark, _small(_large(edges)), "edges"), now
+    edges = keep(spark, edges, "edges")
+    while not _open(edges).isEmpty():
+        edges = keep(spark, _small(_large(edges)), "edges")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -138,7 +138,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     keys = texts.select("text").mapInArrow(lambda it: _keys(it, size, seed, percent), "key long, cls long")
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        th = heads.join(wanted, "cls").groupBy("cls").agg(F.min("th").alias("th")).select("th")
+        th = heads.groupBy("cls").agg(F.min("th").alias("th")).join(wanted, "cls", "left_semi").select("th")  # copies are counted out before the join
         chosen = texts.select("text", "th").join(th, "th", "left_semi").select("text")
         return chosen.mapInArrow(lambda it: _items(it, size, seed), "cls long, items array<long>").dropDuplicates(["cls"]).join(wanted, "cls", "left_semi")
 
@@ -146,6 +146,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     classes = heads.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("least"))
     classes = classes.join(comps, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("component"))
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(names, "component").select(F.col("cls").alias("c"), "component_id")
+    # a table of its own, so that the join with a hot class can be split
+    named = keep(spark, classes.join(names, "component").select(F.col("cls").alias("c"), "component_id"), "named")
     out = heads.join(named, F.col("cls") == F.col("c"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
@@ -39,3 +40,14 @@ def keep(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``key`` as an expression of equal value.
+
+    An aggregate is partitioned by its key, and a join on that key then happens in place, where no partition can be split.
+    Under another expression Spark shuffles the (small) aggregate again, both sides of the join are plain shuffles, and
+    adaptive execution splits a hot key.
+    """
+    text = dict(df.dtypes)[key] == "string"
+    return df.withColumn(key, F.concat(F.col(key), F.lit("")) if text else F.col(key).bitwiseXOR(F.lit(0)))

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from weftline.llm.components import components
 from weftline.llm.scratch import keep
 
-BLOCK_ROWS, BLOCK_ITEMS, BLOCK_COLUMNS = 512, 400_000, 4096
+BLOCK_ROWS, BLOCK_ITEMS, BLOCK_COLUMNS = 1024, 400_000, 4096
 
 
 def similar(a: Column, b: Column, percent: int) -> Column:
@@ -50,7 +50,8 @@ def compare_block(block: pd.DataFrame, percent: int) -> pd.DataFrame:
             dense = np.zeros((len(sets), min(BLOCK_COLUMNS, width - at)), np.float32)
             dense[row[lo:hi], col[lo:hi] - at] = 1
             both += dense[:n] @ dense[n:].T
-        both = both.astype(np.int64)
+        exact = np.int32 if sizes.max() < 1 << 23 else np.int64
+        both, sizes = both.astype(exact), sizes.astype(exact)
         linked = 100 * both >= percent * (sizes[:n, None] + sizes[None, n:] - both)
         comp_a, comp_b = stray["comp"].to_numpy(), member["comp"].to_numpy()
         linked &= comp_a[:, None] != comp_b[None, :]
