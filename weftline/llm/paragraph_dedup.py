@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.scratch import keep
+from weftline.llm.scratch import dealt_anew, keep
 from weftline.llm.shingles import LOWER, STEP, Seen, Words, mix, set_key, shingles
 from weftline.llm.simjoin import similar_components
 
@@ -117,7 +117,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     places = places.drop("keys")
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        th = places.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("th").alias("th")).select("th").distinct()
+        th = places.groupBy("cls").agg(F.min("th").alias("th")).join(wanted, "cls", "left_semi").select("th").distinct()  # copies are counted out before the join
         chosen = texts.select("text", "th").join(th, "th", "left_semi").select("text")
         found = chosen.mapInArrow(lambda it: _items(it, size, min_words), "cls long, items array<long>")
         return found.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
@@ -127,13 +127,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     rows = rows.select("id", "th", "pos", "start", "end", F.coalesce("component", "cls").alias("comp"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "pos", "th")
     first = rows.groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("comp").alias("k"), "first")
+    first = dealt_anew(first, "k")
     lost = rows.join(first, F.col("comp") == F.col("k")).filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))))
     lost = lost.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"), F.array_sort(F.collect_set("first.id")).alias("kept_in"))
     counts = places.groupBy("id", "th", "pos").agg(F.lit(1)).groupBy("id", "th").agg(F.count(F.lit(1)).alias("n_paragraphs"))
     lost = lost.select(F.col("id").alias("i"), F.col("th").alias("t"), "removed", "kept_in")
     counts = counts.select(F.col("id").alias("i"), F.col("th").alias("t"), "n_paragraphs")
     out = texts.drop("text")
-    for side in (counts, lost):
+    for side in (dealt_anew(counts, "t"), dealt_anew(lost, "t")):
         out = out.join(side, F.col("id").eqNullSafe(F.col("i")) & F.col("th").eqNullSafe(F.col("t")), "left").drop("i", "t")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     out = out.withColumn("removed", F.coalesce("removed", none)).withColumn("kept_in", F.coalesce("kept_in", F.array().cast(f"array<{kind}>")))
