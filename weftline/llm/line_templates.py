@@ -31,8 +31,10 @@ def normal(text: Column) -> Column:
     """
     masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, VARIABLE, "<*>")).otherwise(text)
     spaced = F.regexp_replace(F.regexp_replace(masked, r"[ \t\x0B\f\r]+", " "), r"(?:(?<=\n)|\A) | (?=\n|\z)", "")
-    odd = r"[\t\x0B\f\r]|  | \n|\n |\A | \z"
-    return F.when(text.rlike(odd), spaced).otherwise(masked)
+    odd = text.startswith(" ") | text.endswith(" ") | text.rlike(r"[\t\x0B\f\r]")
+    for mark in ("  ", " \n", "\n "):  # plain searches: one expression with all these alternatives is slow
+        odd = odd | F.contains(text, F.lit(mark))
+    return F.when(odd, spaced).otherwise(masked)
 
 
 def _leaf(line: Column, depth: int) -> Column:
