@@ -78,7 +78,7 @@ def record_text(date: str) -> Column:
 
 def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", per_file: int = 1024) -> None:
     """Write resolved records as gzip WARC files of at most ``per_file`` records."""
-    records.select(record_text(date).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    records.select(record_text(date).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
 
 
 def _records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
