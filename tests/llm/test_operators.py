@@ -54,6 +54,25 @@ def test_pii_discovers_by_context(spark):
     assert got[100].n_discovered == 0 and got[1].spans == brute.personal(rows[1][1])[5]
 
 
+def luhn_card(i):
+    body = f"4{i:014d}"
+    return body + next(d for d in "0123456789" if brute.luhn(body + d))
+
+
+def test_pii_discovers_numbers_in_groups(spark):
+    cards = [" ".join(c[k : k + 4] for k in range(0, 16, 4)) for c in map(luhn_card, range(40))]
+    rows = [(i, f"Please ring our office on +1 ({200 + i}) 555-{1000 + i} before noon.", "s") for i in range(40)]
+    rows += [(100 + i, f"The order was paid with {c} last week.", "s") for i, c in enumerate(cards)]
+    filler = "of many plain words without any mark " * 5
+    rows += [(200 + i, f"Now report user{i}@mail.example.com because {filler} see x{i}y17.", "s") for i in range(40)]
+    texts = {1000: ("Please ring our office on 555 123 4567 before noon.", "phone", "555 123 4567"), 1001: ("Please ring our office on (555) 123-4567 before noon.", "phone", "(555) 123-4567"),
+             1002: ("The order was paid with 4111 1111 1111 1112 last week.", "card", "4111 1111 1111 1112"), 1003: (f"Report! report user@localhost because {filler} see x.", "email", "user@localhost")}
+    got = {r.doc_id: r for r in pii.find(documents(spark, rows + [(i, t[0], "s") for i, t in texts.items()])).collect()}
+    for i, (text, kind, found) in texts.items():
+        at = text.index(found)
+        assert got[i].spans == f"{kind}:{at}:{at + len(found)}", (i, got[i].spans)
+
+
 def test_mixing(spark, odd, empty):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randint(1, 60)), f"s{i % 7 if i % 3 else 0}") for i in range(3000)] + [(5000, None, None), (5001, "a b", None)]

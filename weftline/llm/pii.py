@@ -3,7 +3,8 @@
 Seeds are what four expressions find (e-mail, IP, card, phone). The words around seeds induce lexical patterns. Spark
 scores the graph of patterns and instances in rounds: a pattern's confidence is the weight of the known instances it
 extracts over all it extracts, an instance's weight is the noisy-or of its patterns. Confident patterns then give a kind to
-identifier-like strings that no expression finds.
+identifier-like strings, and to digits in groups, that no expression finds. Base spans are places as a whole: the words
+around a number in groups are those around all its groups.
 
 The expressions never go back over what they read: run starts are anchored by a look-behind and repeats are possessive, so
 a very long text takes linear time and no deep stack. Positions come from the lengths of the pieces between matches.
@@ -14,8 +15,11 @@ instances, so copies add no weight. Spans are in code points, end exclusive. Oth
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.llm.scratch import keep
 
@@ -25,28 +29,29 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IDENTIFIER = r"(?:(?<![A-Za-z0-9@._%+-])|\G)(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]++"
+GROUPED = r"(?<![A-Za-z0-9@._%+-])\+?+\(?+[0-9]++(?:\)?+[\x20.-]?+\(?+[0-9]++)++(?![A-Za-z@_%+])"
 ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE, MIN_INSTANCE = 3, 5, 0.8, 0.8
 CONTEXT = 80
+NO_SPANS = "array<struct<kind:int,start:bigint,end:bigint,found:string>>"
+NO_CANDIDATES = "array<struct<start:bigint,end:bigint,found:string>>"
 
 
 def matches(text: Column, regex: str) -> Column:
-    """start, end, found, before and after (the text up to the neighbouring matches) of each match."""
+    """start, end and found of each match."""
     pieces = F.split(text, regex, -1)
     found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    kind = "array<struct<start:bigint,end:bigint,found:string,before:string,after:string>>"
     # the k-th match lies between the k-th piece and the next; one array has them in turn
     zipped = F.arrays_zip(pieces.alias("piece"), found.alias("found"))
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<start:bigint,end:bigint,found:string,before:string>>").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(NO_CANDIDATES).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["pos"] + F.length(x["piece"])
         end = at + F.coalesce(F.length(x["found"]), F.lit(0))
-        new = F.struct(at.alias("start"), end.alias("end"), x["found"].alias("found"), F.right(x["piece"], F.lit(CONTEXT)).alias("before"))
+        new = F.struct(at.alias("start"), end.alias("end"), x["found"].alias("found"))
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(new)).alias("out"))
 
-    # the piece after the last match is an element without a match, whose ``before`` is that match's ``after``
-    cut = F.aggregate(zipped, start, step, lambda acc: acc["out"])
-    return cut, kind
+    # the piece after the last match is an element without a match
+    return F.filter(F.aggregate(zipped, start, step, lambda acc: acc["out"]), lambda x: x["found"].isNotNull())
 
 
 def _digits(found: Column) -> Column:
@@ -72,15 +77,10 @@ def _passes(kind: str, found: Column) -> Column:
 
 
 def _spans(text: Column, kind: str, regex: str) -> Column:
-    cut, _ = matches(text, regex)
-    good = F.filter(cut, lambda x: x["found"].isNotNull() & _passes(kind, x["found"]))
+    good = F.filter(matches(text, regex), lambda x: _passes(kind, x["found"]))
     return F.transform(good, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found")))
 
 
-NO_SPANS = "array<struct<kind:int,start:bigint,end:bigint,found:string>>"
-NO_CANDIDATES = "array<struct<start:bigint,end:bigint,found:string,before:string>>"
-
-
 def base_spans(text: Column) -> Column:
     """The spans of the four expressions, by kind and start; texts without the marks they need are not searched."""
     none = F.array().cast(NO_SPANS)
@@ -93,6 +93,41 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body's lambdas read it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _spots(text: Column) -> Column:
+    """base (the spans) and spots: every base span, and every candidate that meets none, with up to ``CONTEXT`` characters
+    before and after it. Blocks of the text give these, so a place costs the same wherever it lies."""
+    none = F.array().cast(NO_CANDIDATES)
+    grouped = F.when(text.rlike(r"[0-9][\x20().-]{1,3}[0-9]"), matches(text, GROUPED)).otherwise(none)
+    grouped = F.filter(grouped, lambda c: c["found"].rlike(r"[\x20()]"))  # the others are tokens
+    tokens = F.when(text.rlike("[0-9@]"), matches(text, IDENTIFIER)).otherwise(none)
+    tokens = F.transform(tokens, lambda c: _bound(F.regexp_replace(c["found"], "[._%+-]+$", ""), lambda f: F.struct(c["start"].alias("start"), (c["start"] + F.length(f)).alias("end"), f.alias("found"))))
+    cands = F.filter(F.concat(tokens, grouped), lambda c: F.length(c["found"]) >= 5)
+
+    def spots(base: Column, cands: Column) -> Column:
+        free = F.filter(cands, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+        place = lambda x, kind: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), kind.alias("kind"))
+        every = F.concat(F.transform(base, lambda b: place(b, b["kind"])), F.transform(free, lambda c: place(c, F.lit(None).cast("int"))))
+        blocks = F.when(F.size(every) > 0, F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CONTEXT}}}"), F.lit(0)))
+
+        def block(all_: Column, i: Column) -> Column:
+            return F.coalesce(F.get(all_, i.cast("int")), F.lit(""))
+
+        def around(x: Column, all_: Column) -> Column:
+            i, j = F.floor(x["start"] / CONTEXT), F.floor(x["end"] / CONTEXT)
+            before = F.right(F.concat(block(all_, i - 1), F.left(block(all_, i), (x["start"] % CONTEXT).cast("int"))), F.lit(CONTEXT))
+            after = F.left(F.concat(F.substring(block(all_, j), (x["end"] % CONTEXT + 1).cast("int"), F.lit(CONTEXT)), block(all_, j + 1)), F.lit(CONTEXT))
+            return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), x["kind"].alias("kind"), before.alias("before"), after.alias("after"))
+
+        return _bound(blocks, lambda all_: F.transform(every, lambda x: around(x, all_)))
+
+    return _bound(base_spans(text), lambda base: F.struct(base.alias("base"), _bound(cands, lambda c: spots(base, c)).alias("spots")))
+
+
 def render(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*(F.lit(k) for k in KINDS))
@@ -108,9 +143,12 @@ def _shaped(kind: Column, found: Column) -> Column:
 def _patterns(before: Column, after: Column) -> Column:
     """The lexical patterns of a place: the two words before it, and the words on both sides."""
     clean = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\s]+", " ")
+    # a context ends at the neighbouring identifier, which is no word of it
+    before = F.regexp_replace(before, r"(?s)^.*[0-9@][A-Za-z0-9@._%+-]*+", "")
+    after = F.regexp_replace(after, r"(?s)[A-Za-z._%+-]*+[0-9@].*$", "")
     two = F.trim(F.regexp_extract(clean(before), r"(\p{L}+\s+\p{L}+)\s*$", 1))
     left = F.regexp_extract(clean(before), r"(\p{L}+)\s*$", 1)
-    right = F.regexp_extract(clean(F.left(after, F.lit(CONTEXT))), r"^\s*(\p{L}+)", 1)
+    right = F.regexp_extract(clean(after), r"^\s*(\p{L}+)", 1)
     return F.array_distinct(F.filter(F.array(F.when(two != "", F.concat(F.lit("L "), two)), F.when((left != "") & (right != ""), F.concat_ws(" ", F.lit("B"), left, right))), lambda p: p.isNotNull()))
 
 
@@ -135,24 +173,20 @@ def discover(places: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     new = known.join(seeds.select("inst"), "inst", "left_anti").select(F.col("inst").alias("i"), F.col("kind").alias("k"))
     open_places = places.filter("kind IS NULL").drop("kind").join(new, F.lower("found") == F.col("i"))
     open_places = open_places.select("h", F.col("k").alias("kind"), "start", "end", "found", F.explode("patterns").alias("pattern"))
-    return open_places.join(trusted.select("pattern", "kind"), ["pattern", "kind"], "left_semi").select("h", "kind", "start", "end").distinct()
+    found = open_places.join(trusted.select("pattern", "kind"), ["pattern", "kind"], "left_semi").select("h", "kind", "start", "end").distinct()
+    # a number in groups and its last group can both be found; the longer one stays
+    reach = F.max("end").over(Window.partitionBy("h", "kind").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))  # one text's finds
+    return found.withColumn("reach", reach).filter("reach IS NULL OR end > reach").drop("reach")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_discovered of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cands, _ = matches(F.col("text"), IDENTIFIER)
-    marked = F.col("text").rlike("[0-9@]")
-    rows = rows.select("id", F.md5("text").alias("h"), base_spans(F.col("text")).alias("base"), F.when(marked, cands).otherwise(F.array().cast(NO_CANDIDATES)).alias("cands"))
-    rows = keep(spark, rows, "spans")
-    once = rows.filter(F.size("cands") > 1).groupBy("h").agg(F.first("base").alias("base"), F.first("cands").alias("cands"))
-    nxt = F.expr("transform(cands, (x, i) -> named_struct('start', x.start, 'end', x.start + length(regexp_replace(x.found, '[._%+-]+$', '')), 'found', regexp_replace(x.found, '[._%+-]+$', ''), 'before', x.before, 'after', get(cands, i + 1).before))")
-    places = once.select("h", "base", F.explode(nxt).alias("c")).filter("c.found IS NOT NULL AND length(c.found) >= 5")
-    overlap = F.filter(F.col("base"), lambda b: (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"]))
-    # a seed inside a longer match (a card written in groups) takes the whole match as its instance
-    seed = F.get(overlap, F.lit(0))
-    places = places.select("h", "c.start", "c.end", F.coalesce(seed["found"], F.col("c.found")).alias("found"), seed["kind"].alias("kind"), _patterns(F.col("c.before"), F.col("c.after")).alias("patterns"))
+    rows = keep(spark, rows.select("id", F.md5("text").alias("h"), _spots(F.col("text")).alias("x")).select("id", "h", "x.base", "x.spots"), "spans")
+    once = rows.filter(F.size("spots") > 0).groupBy("h").agg(F.first("spots").alias("spots"))
+    places = once.select("h", F.explode("spots").alias("c"))
+    places = places.select("h", "c.start", "c.end", "c.found", "c.kind", _patterns(F.col("c.before"), F.col("c.after")).alias("patterns"))
     new = discover(keep(spark, places, "places"), rounds)
     new = new.groupBy(F.col("h").alias("k")).agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("new"))
     new = keep(spark, new, "discovered")  # a table of its own, so that the join with a hot text can be split
