@@ -73,6 +73,14 @@ def test_pii_discovers_numbers_in_groups(spark):
         assert got[i].spans == f"{kind}:{at}:{at + len(found)}", (i, got[i].spans)
 
 
+def test_pii_unseen_are_no_evidence_against(spark):
+    rows = [(i, f"They asked to write to user{i}@mail.example.com again.", "s") for i in range(8)] + [(100 + i, f"They asked to write to new{i}@localhost again.", "s") for i in range(8)]
+    rows += [(200 + i, f"Our firm will deliver parcel user{i}@mail.example.com soon.", "s") for i in range(8)] + [(300 + i, f"Our firm will deliver parcel box{i}0000 soon.", "s") for i in range(8)]
+    rows += [(400, "Our firm will deliver parcel other@localhost soon.", "s")]
+    got = {r.doc_id: r.n_discovered for r in pii.find(documents(spark, rows)).collect()}
+    assert got == {i: int(100 <= i < 108) for i, *_ in rows}
+
+
 def test_mixing(spark, odd, empty):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randint(1, 60)), f"s{i % 7 if i % 3 else 0}") for i in range(3000)] + [(5000, None, None), (5001, "a b", None)]

@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Seeds are what four expressions find (e-mail, IP, card, phone). The words around seeds induce lexical patterns. Spark
-scores the graph of patterns and instances in rounds: a pattern's confidence is the weight of the known instances it
-extracts over all it extracts, an instance's weight is the noisy-or of its patterns. Confident patterns then give a kind to
+scores the graph of patterns and instances in rounds: a pattern's confidence is the weight of the known instances of its
+kind over that and what contradicts it (known instances of other kinds, strings that can't be of the kind); unknown
+strings of fitting shape are neutral. An instance's weight is the noisy-or of its patterns. Confident patterns then give a kind to
 identifier-like strings, and to digits in groups, that no expression finds. Base spans are places as a whole: the words
 around a number in groups are those around all its groups.
 
@@ -158,12 +159,17 @@ def discover(places: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     edges = places.select(F.lower("found").alias("inst"), "kind", F.explode("patterns").alias("pattern"))
     edges = keep(spark, edges.groupBy("pattern", "inst").agg(F.max("kind").alias("kind")), "graph")
     seeds = edges.filter("kind IS NOT NULL").groupBy("inst").agg(F.max("kind").alias("kind")).withColumn("weight", F.lit(1.0))
-    size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    fits = [_shaped(F.lit(k), F.col("inst")) for k in range(len(KINDS))]
     known = seeds = keep(spark, seeds, "seeds")
     trusted = None
     for _ in range(rounds):
-        mass = edges.select("pattern", "inst").join(known, "inst").groupBy("pattern", "kind").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("support"))
-        scored = mass.join(size, "pattern").withColumn("conf", F.col("w") / (F.col("n") + 1)).filter((F.col("conf") >= MIN_CONFIDENCE) & (F.col("support") >= MIN_SUPPORT))
+        of = edges.select("pattern", "inst").join(known.withColumnRenamed("kind", "k"), "inst", "left")
+        score = lambda k: F.struct(
+            F.lit(k).alias("kind"), F.sum(F.when(F.col("k") == k, F.col("weight")).otherwise(0.0)).alias("w"), F.count(F.when(F.col("k") == k, 1)).alias("support"),
+            F.sum(F.when(F.col("k") != k, F.col("weight")).when(F.col("k").isNull() & ~fits[k], 1.0).otherwise(0.0)).alias("against"),
+        )
+        mass = of.groupBy("pattern").agg(F.array(*(score(k) for k in range(len(KINDS)))).alias("x")).select("pattern", F.inline("x"))
+        scored = mass.withColumn("conf", F.col("w") / (F.col("w") + F.col("against") + 1)).filter((F.col("conf") >= MIN_CONFIDENCE) & (F.col("support") >= MIN_SUPPORT))
         trusted = keep(spark, scored.select("pattern", "kind", "conf"), "patterns")
         # noisy-or over the patterns that extract the instance
         fresh = edges.select("pattern", "inst").join(trusted, "pattern").groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("weight"))
