@@ -240,6 +240,17 @@ def test_line_templates(spark, odd, empty):
     assert line_templates.drop_lines(empty).count() == 0
 
 
+def test_line_templates_count_texts(spark):
+    fruits = [f"fruit{'abcdefghijklmnopqrstuvwxyz'[i]}" for i in range(25)]
+    rows = [(1, "\n".join(f"The price of {x} is low today" for x in fruits), "s")]
+    for i, x in enumerate(fruits):  # 25 texts, two lines each; and 19 texts, two lines each
+        rows.append((100 + i, f"The cost of {x} is high now\nThe cost of {x}s is high now", "s"))
+        if i < 19:
+            rows.append((200 + i, f"The rent of {x} is fair here\nThe rent of {x}s is fair here", "s"))
+    got = {r.doc_id: r._dropped for r in line_templates.drop_lines(documents(spark, rows)).collect()}
+    assert got == {i: 2 if 100 <= i < 200 else 0 for i, *_ in rows}
+
+
 def test_quality(spark, odd, empty):
     got = sorted(((r.doc_id, *[r[c] for c in quality.BASE], r.base_failed) for r in quality.judge(odd, ["doc_id"]).collect()), key=str)
     want = []

@@ -46,27 +46,61 @@ def line_keys(text: Column, depth: int = DEPTH) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.struct(F.when(x != "", F.xxhash64(x)).alias("line"), _leaf(x, depth).alias("leaf")))
 
 
+def _pairs(once: DataFrame) -> DataFrame:
+    """h, leaf, line and many (whether the text has other lines in the leaf) of each text and distinct line."""
+    lines = F.sort_array(F.transform(F.filter("lines", lambda x: x["line"].isNotNull()), lambda x: F.struct(x["leaf"].alias("leaf"), x["line"].alias("line"))))
+
+    def marked(own: Column) -> Column:
+        same = lambda x, i: F.coalesce(F.get(own, i)["leaf"] == x["leaf"], F.lit(False))
+        return F.transform(own, lambda x, i: F.struct(x["leaf"].alias("leaf"), x["line"].alias("line"), (same(x, i - 1) | same(x, i + 1)).alias("many")))
+
+    # sorted, equal lines are neighbours, so that the first of each is what stays
+    first = lambda own: F.filter(own, lambda x, i: (i == 0) | (F.get(own, i - 1) != x))
+    once_each = F.get(F.transform(F.array(lines), first), F.lit(0))
+    return once.select("h", F.explode(F.get(F.transform(F.array(once_each), marked), F.lit(0))).alias("x")).select("h", "x.leaf", "x.line", "x.many")
+
+
+def _in_texts(once: DataFrame, rows: DataFrame, by: list[str], min_docs: int) -> DataFrame:
+    """The values of ``by`` that ``min_docs`` distinct texts or more have. ``rows`` has leaf, line, docs and many.
+
+    Lines that are alone in their leaf count by number. Several lines of one text can share a value; where that can matter,
+    between the most and the fewest texts that the numbers allow, texts are counted one by one.
+    """
+    spark = rows.sparkSession
+    alone = F.sum(F.col("docs") - F.col("many"))
+    bounds = rows.groupBy(*by).agg(alone.alias("alone"), F.sum("docs").alias("most"), F.max("many").alias("least")).filter(F.col("most") >= min_docs)
+    bounds = keep(spark, bounds, "bounds")
+    sure = F.col("alone") + F.col("least") >= min_docs
+    open_ = bounds.filter(~sure).select(*by, "alone")
+    if open_.isEmpty():
+        return bounds.select(*by)
+    wanted = keep(spark, rows.filter("many > 0").join(open_.select(*by), by).select("line", *by), "open")
+    pairs = _pairs(once).filter("many").select("h", "leaf", "line").join(wanted.select("leaf", "line").distinct(), ["leaf", "line"], "left_semi")
+    texts = pairs.join(wanted, ["leaf", "line"]).select("h", *by).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("texts"))
+    counted = open_.join(texts, by, "left").filter(F.col("alone") + F.coalesce("texts", F.lit(0)) >= min_docs)
+    return bounds.filter(sure).select(*by).unionByName(counted.select(*by))
+
+
 def boilerplate(texts: DataFrame, once: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_constant: int = MIN_CONSTANT_PERCENT) -> DataFrame:
     """``line`` and ``template`` of the lines to drop. ``once`` has ``lines`` (see ``line_keys``) of each distinct text."""
     spark = texts.sparkSession
-    seen = once.select(F.explode(F.array_distinct("lines")).alias("x")).select("x.leaf", "x.line").filter("line IS NOT NULL")
-    seen = keep(spark, seen.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs")), "line-counts")
+    seen = keep(spark, _pairs(once).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("many").cast("long")).alias("many")), "line-counts")
     lines = texts.select(F.explode(F.split(normal(F.col("text")), "\n")).alias("tokens")).filter("tokens <> ''")
     lines = lines.select("tokens", _leaf(F.col("tokens"), depth).alias("leaf"), F.xxhash64("tokens").alias("line"))
     leaves = keep(spark, seen.groupBy("leaf").agg(F.sum("docs").alias("d")).filter(F.col("d") >= min_docs).select("leaf"), "leaves")
     full = lines.join(leaves, "leaf", "left_semi").select("leaf", "line", "tokens").dropDuplicates(["leaf", "line"])
     full = keep(spark, full.join(seen, ["leaf", "line"]), "leaf-lines")
-    at = full.select("leaf", "line", "docs", F.posexplode(F.split("tokens", " ")).alias("pos", "token"))
-    common = at.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("d")).filter(F.col("d") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("constant"))
+    at = full.select("leaf", "line", "docs", "many", F.posexplode(F.split("tokens", " ")).alias("pos", "token"))
+    common = _in_texts(once, at, ["leaf", "pos", "token"], min_docs).withColumn("constant", F.lit(True))
     common = keep(spark, common, "constants")
     # leaves that share tokens only up to their leading ones have templates that keep too little; they go here
     placed = at.join(common, ["leaf", "pos", "token"], "left")
-    whole = placed.groupBy("leaf", "line", "docs").agg(
+    whole = placed.groupBy("leaf", "line", "docs", "many").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("constant"), F.col("token")).otherwise("<*>").alias("x")))), lambda s: s["x"]), " ").alias("template"),
         F.sum(F.when(F.col("constant") & (F.col("token") != "<*>"), 1).otherwise(0)).alias("kept"), F.count(F.lit(1)).alias("n"),
     )
     whole = keep(spark, whole.filter(F.col("kept") * 100 >= F.col("n") * min_constant), "templates")
-    recurring = whole.groupBy("leaf", "template").agg(F.sum("docs").alias("d")).filter(F.col("d") >= min_docs).select("leaf", "template")
+    recurring = _in_texts(once, whole, ["leaf", "template"], min_docs)
     return whole.join(recurring, ["leaf", "template"], "left_semi").select("line", "template")
 
 
