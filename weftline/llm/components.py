@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps, all in DataFrames.
 
 Neighbour lists are never gathered: a step is a minimum per node (partially aggregated) and an equi-join, so a node with
-very many links is no more than a skewed join. Each round is written to the shared folder, which cuts the lineage.
+very many links is no more than a skewed join. Each round is written to the shared folder, which cuts the lineage; the
+round before is then deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.scratch import dealt_anew, keep
+from weftline.llm.scratch import dealt_anew, discard, keep
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -40,5 +41,6 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
     edges = real.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = keep(spark, edges, "edges")
     while not _open(edges).isEmpty():
-        edges = keep(spark, _small(_large(edges)), "edges")
+        old, edges = edges, keep(spark, _small(_large(edges)), "edges")
+        discard(old)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

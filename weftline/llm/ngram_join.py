@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.scratch import keep
+from weftline.llm.scratch import discard, holding, keep
 from weftline.llm.shingles import LOWER, STEP, Seen, Words, mix, set_key, shingle_set
 from weftline.llm.simjoin import similar_components
 
@@ -84,42 +84,37 @@ def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
 M_APART, M_ALONE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
 
 
-def _heads(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
-    memory = Words()
-    for batch in batches:
-        rows = [text_set(t, size, memory) for t in batch.column("text").to_pylist()]
-        cls = [set_key(x, seed) if len(x) else None for x in rows]
-        second = [set_key(x, seed + 1_000_003) if len(x) else None for x in rows]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array([len(x) for x in rows], pa.int64()), pa.array(cls, pa.int64()), pa.array(second, pa.int64())], names=["id", "th", "n", "cls", "second"])
-
-
-def _keys(batches: Iterator[pa.RecordBatch], size: int, seed: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _heads(batches: Iterator[pa.RecordBatch], size: int, seed: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Every row's set key; the signatures too, unless this task has just given those of the same set."""
     memory, seen, bands = Words(), Seen(), Bands(percent)
+    long, names = pa.int64(), ["id", "th", "n", "cls", "second", "keys"]
+    for batch in batches:
+        at, rows, held = 0, [], 0
 
-    def flush(keys: list[np.ndarray], cls: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(cls, np.int64), [len(k) for k in keys]))], names=["key", "cls"])
+        def flush(batch: pa.RecordBatch, at: int, rows: list[tuple]) -> pa.RecordBatch:
+            n, cls, second, keys = zip(*rows, strict=True)
+            part = batch.slice(at, len(rows))
+            return pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(n, long), pa.array(cls, long), pa.array(second, long), pa.array(keys, pa.list_(long))], names=names)
 
-    for batch in batches:
-        keys, owners, held = [], [], 0
         for t in batch.column("text").to_pylist():
             items = text_set(t, size, memory)
-            if not len(items) or seen(cls := set_key(items, seed)):
-                continue
-            keys.append(signatures(items, bands))
-            owners.append(cls)
-            held += len(keys[-1])
+            cls, second, keys = None, None, None
+            if len(items):
+                cls, second = set_key(items, seed), set_key(items, seed + 1_000_003)
+                keys = None if seen(cls) else signatures(items, bands).view(np.int64)
+            rows.append((len(items), cls, second, keys))
+            held += 0 if keys is None else len(keys)
             if held > FLUSH:
-                yield flush(keys, owners)
-                keys, owners, held = [], [], 0
-        if keys:
-            yield flush(keys, owners)
+                yield flush(batch, at, rows)
+                at, rows, held = at + len(rows), [], 0
+        if rows:
+            yield flush(batch, at, rows)
 
 
 def _items(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
-    memory, seen = Words(), Seen()
+    memory = Words()
     for batch in batches:
         rows = [(set_key(x, seed), x.view(np.int64)) for t in batch.column("text").to_pylist() if len(x := text_set(t, size, memory))]
-        rows = [r for r in rows if not seen(r[0])]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["cls", "items"])
 
@@ -131,18 +126,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     kind = docs.schema[id_col].dataType.simpleString()
     seed = 0
     while True:
-        heads = keep(spark, texts.mapInArrow(lambda it, s=seed: _heads(it, size, s), f"id {kind}, th long, n long, cls long, second long"), "heads")
+        heads = keep(spark, texts.mapInArrow(lambda it, s=seed: _heads(it, size, s, percent), f"id {kind}, th long, n long, cls long, second long, keys array<long>"), "heads")
         if heads.groupBy("cls").agg(F.min("second").alias("a"), F.max("second").alias("b")).filter("a <> b").isEmpty():
             break
+        discard(heads)
         seed += 1
-    keys = texts.select("text").mapInArrow(lambda it: _keys(it, size, seed, percent), "key long, cls long")
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        th = heads.groupBy("cls").agg(F.min("th").alias("th")).join(wanted, "cls", "left_semi").select("th")  # copies are counted out before the join
-        chosen = texts.select("text", "th").join(th, "th", "left_semi").select("text")
-        return chosen.mapInArrow(lambda it: _items(it, size, seed), "cls long, items array<long>").dropDuplicates(["cls"]).join(wanted, "cls", "left_semi")
+        th = heads.groupBy("cls").agg(F.min("th").alias("th")).join(wanted, "cls", "left_semi").select("th").distinct()  # copies are counted out before the join
+        chosen = holding(texts.select("text", "th"), keep(spark, th, "wanted"), "th", once=True).select("text")
+        return chosen.mapInArrow(lambda it: _items(it, size, seed), "cls long, items array<long>")
 
-    comps = similar_components(spark, keys, fetch, percent)
+    comps = similar_components(spark, heads.select("cls", "n", "keys"), fetch, percent)
+    heads = heads.drop("keys")
     classes = heads.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("least"))
     classes = classes.join(comps, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("component"))
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))

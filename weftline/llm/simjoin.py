@@ -15,12 +15,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftline.llm.components import components
-from weftline.llm.scratch import keep
+from weftline.llm.scratch import dealt_anew, discard, holding, keep
 
 BLOCK_ROWS, BLOCK_ITEMS, BLOCK_COLUMNS = 1024, 400_000, 4096
+MEMBER, STRAY, BOTH = 0, 1, 2
 
 
 def similar(a: Column, b: Column, percent: int) -> Column:
@@ -30,65 +30,87 @@ def similar(a: Column, b: Column, percent: int) -> Column:
 
 
 def compare_block(block: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between the strays and the members of one block, one for each pair of components."""
+    """Links between the strays and the members of one block, one for each pair of components. A row can be both."""
     out: dict[tuple[int, int], tuple[int, int]] = {}
-    stray, member = block[block["stray"]].drop_duplicates("cls"), block[~block["stray"]].drop_duplicates("cls")
-    if len(stray) and len(member):
-        sets = [np.asarray(x, np.int64) for x in [*stray["items"], *member["items"]]]
+    block = block.drop_duplicates(["cls", "role"])
+    role = block["role"].to_numpy()
+    ia, ib = np.flatnonzero(role != MEMBER), np.flatnonzero(role != STRAY)
+    if len(ia) and len(ib):
+        sets = [np.asarray(x, np.int64) for x in block["items"]]
         sizes = np.array([len(x) for x in sets])
         row = np.repeat(np.arange(len(sets)), sizes)
         _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = count[col] > 1  # an item of one set alone is in no intersection
         new = np.cumsum(count > 1) - 1
         row, col = row[shared], new[col[shared]]
-        n, width = len(stray), int(new[-1]) + 1 if len(new) else 0
-        both = np.zeros((n, len(sets) - n), np.float32)
+        width = int(new[-1]) + 1 if len(new) else 0
+        both = np.zeros((len(ia), len(ib)), np.float32)
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
         for at in range(0, width, BLOCK_COLUMNS):
             lo, hi = np.searchsorted(col, (at, at + BLOCK_COLUMNS))
             dense = np.zeros((len(sets), min(BLOCK_COLUMNS, width - at)), np.float32)
             dense[row[lo:hi], col[lo:hi] - at] = 1
-            both += dense[:n] @ dense[n:].T
+            both += dense[ia] @ dense[ib].T
         exact = np.int32 if sizes.max() < 1 << 23 else np.int64
         both, sizes = both.astype(exact), sizes.astype(exact)
-        linked = 100 * both >= percent * (sizes[:n, None] + sizes[None, n:] - both)
-        comp_a, comp_b = stray["comp"].to_numpy(), member["comp"].to_numpy()
-        linked &= comp_a[:, None] != comp_b[None, :]
-        cls_a, cls_b = stray["cls"].to_numpy(), member["cls"].to_numpy()
+        linked = 100 * both >= percent * (sizes[ia][:, None] + sizes[ib][None, :] - both)
+        comp, cls = block["comp"].to_numpy(), block["cls"].to_numpy()
+        linked &= comp[ia][:, None] != comp[ib][None, :]
         for i, j in zip(*np.nonzero(linked), strict=True):
-            out.setdefault((comp_a[i], comp_b[j]), (cls_a[i], cls_b[j]))
+            out.setdefault((comp[ia[i]], comp[ib[j]]), (cls[ia[i]], cls[ib[j]]))
     return pd.DataFrame(list(out.values()), columns=["a", "b"], dtype="int64")
 
 
-def similar_components(spark: SparkSession, keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def candidates(spark: SparkSession, keyed: DataFrame) -> DataFrame:
+    """``cls``, ``n``, ``pivot`` and ``pn`` (the pivot's n): each set of a group of two sets or more, with its pivot.
+
+    Keys are first counted, which Spark does in part before it shuffles; nearly all occur once and go no further. The rows
+    of the others are fetched by a join that can be split where a key is hot.
+    """
+    each = keyed.filter("keys IS NOT NULL").select(F.explode("keys").alias("key"), "cls", "n")
+    shared = keep(spark, each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "shared")
+    rows = keep(spark, holding(each, shared, "key"), "shared-rows")
+    pivots = rows.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("p"), F.max("cls").alias("last")).filter("p.cls <> last")
+    pivots = dealt_anew(pivots.select(F.col("key").alias("k"), F.col("p.cls").alias("pivot"), F.col("p.n").alias("pn")), "k")
+    found = keep(spark, rows.join(pivots, F.col("key") == F.col("k")).select("cls", "n", "pivot", "pn").distinct(), "candidates")
+    discard(shared, rows)
+    return found
+
+
+def similar_components(spark: SparkSession, keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """``node`` and ``component`` of the sets that link with a smaller one.
 
-    ``keys`` has ``key`` and ``cls`` (the set's key); ``fetch`` gives ``cls`` and ``items`` of the wanted ``cls``.
+    ``keyed`` is a written table of ``cls`` (the set's key), ``n`` (its size) and ``keys`` (an array; null where the same
+    set has its keys in another row); ``fetch`` gives ``cls`` and ``items`` of the wanted ``cls``.
     """
-    group = Window.partitionBy("key")
-    shared = keys.withColumn("pivot", F.min("cls").over(group)).withColumn("last", F.max("cls").over(group)).filter("pivot <> last")
-    cand = keep(spark, shared.select("cls", "pivot").distinct(), "candidates")
+    cand = candidates(spark, keyed)
     sets = keep(spark, fetch(cand.select("cls").distinct()).select("cls", "items"), "sets")
     a, b = sets.select("cls", F.col("items").alias("x")), sets.select(F.col("cls").alias("pivot"), F.col("items").alias("y"))
-    pairs = cand.filter("cls <> pivot").join(a, "cls").join(b, "pivot")
+    fit = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")  # sizes alone tell that the others can't link
+    pairs = cand.filter(F.col("cls") != F.col("pivot")).filter(fit).select("cls", "pivot").join(a, "cls").join(b, "pivot")
     links = keep(spark, pairs.filter(similar(F.col("x"), F.col("y"), percent)).select(F.col("cls").alias("a"), F.col("pivot").alias("b")), "links")
     comps = components(spark, links)
     of = lambda c, name: comps.select(F.col("node").alias(c), F.col("component").alias(name))
     rows = cand.join(of("cls", "_c"), "cls", "left").join(of("pivot", "_p"), "pivot", "left")
-    rows = rows.join(sets.select("cls", F.size("items").alias("n")), "cls")
     rows = rows.select("pivot", "cls", "n", F.coalesce("_c", "cls").alias("comp"), (F.coalesce("_c", "cls") != F.coalesce("_p", "pivot")).alias("stray"))
     rows = keep(spark, rows, "members")
     one = F.col("stray").cast("int")
     groups = rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"), F.sum(one).alias("ks"), F.sum(one * F.col("n")).alias("ws")).filter("ks > 0 AND k > 2")
     blocks = lambda k, w: F.greatest(F.ceil(F.col(k) / BLOCK_ROWS), F.ceil(F.col(w) / BLOCK_ITEMS)).cast("int")
-    groups = keep(spark, groups.select("pivot", blocks("k", "w").alias("nm"), blocks("ks", "ws").alias("ns")), "open")
+    groups = keep(spark, groups.select(F.col("pivot").alias("g"), blocks("k", "w").alias("nm"), blocks("ks", "ws").alias("ns")), "open")
     if groups.isEmpty():
+        discard(cand, sets, links, rows, groups)
         return comps
-    todo = rows.join(groups, "pivot").withColumn("h", F.abs(F.hash("cls").cast("long")))
+    todo = rows.join(groups, F.col("pivot") == F.col("g")).withColumn("h", F.abs(F.hash("cls").cast("long")))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    strays = todo.filter("stray").select("pivot", "cls", "comp", F.lit(True).alias("stray"), (F.col("h") % F.col("ns")).cast("int").alias("i"), upto("nm").alias("j"))
-    members = todo.select("pivot", "cls", "comp", F.lit(False).alias("stray"), (F.col("h") % F.col("nm")).cast("int").alias("j"), upto("ns").alias("i"))
-    block = strays.unionByName(members).join(sets, "cls").groupBy("pivot", "i", "j")
+    zero, whole = F.lit(0), (F.col("nm") == 1) & (F.col("ns") == 1)
+    # a group that is one block: each set once
+    small = todo.filter(whole).select("pivot", "cls", "comp", F.when(F.col("stray"), BOTH).otherwise(MEMBER).alias("role"), zero.alias("i"), zero.alias("j"))
+    strays = todo.filter(~whole & F.col("stray")).select("pivot", "cls", "comp", F.lit(STRAY).alias("role"), (F.col("h") % F.col("ns")).cast("int").alias("i"), upto("nm").alias("j"))
+    members = todo.filter(~whole).select("pivot", "cls", "comp", F.lit(MEMBER).alias("role"), upto("ns").alias("i"), (F.col("h") % F.col("nm")).cast("int").alias("j"))
+    block = small.unionByName(strays).unionByName(members).join(sets, "cls").groupBy("pivot", "i", "j")
     more = keep(spark, block.applyInPandas(lambda pdf: compare_block(pdf, percent), "a long, b long"), "more-links")
-    return components(spark, links.unionByName(more))
+    out = components(spark, links.unionByName(more))
+    discard(cand, sets, links, rows, groups, more)
+    return out
