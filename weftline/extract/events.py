@@ -18,7 +18,8 @@ SCHEMA = "path string, fact string, name string, kind string, owner string, spec
 SOURCE = r"\.(?:ts|tsx|js|jsx)$"
 #: Limits of the modes: relations are skipped above it unless forced.
 RELATION_FILES = 750
-IGNORED = ("node_modules/", ".git/", ".next/", "dist/", "coverage/", ".turbo/", "build/")
+# What is ignored besides the ignore files.
+IGNORED = ("node_modules/", ".git/", ".next/", "dist/", "coverage/", ".turbo/", "build/", "**/*.d.ts")
 
 
 def ignore_regex(pattern: str, folder: str = "") -> tuple[str, bool]:

@@ -213,20 +213,21 @@ def snippet(path: Column, line: Column) -> Column:
     return F.when(secret, F.concat(F.substring_index(t, "=", 1), F.lit("=<redacted>"))).when(F.length(t) > 180, F.concat(F.left(t, F.lit(177)), F.lit("..."))).otherwise(t)
 
 
+# How a line defines, imports, calls or mentions a symbol SYM, as RE2 patterns.
+SYMBOL_PATTERNS = {
+    "definition": r"\b(?:function|class|interface|type|const|let|var)\s+SYM\b|\bSYM\s*[:=]\s*(?:async\s*)?(?:\([^)]*\)\s*=>|function\b)|\bSYM\s*\([^)]*\)\s*\{",
+    "import": r"\bimport\b.*\bSYM\b",
+    "method_call": r"\.SYM\s*\(",
+    "call": r"\bSYM\s*\(",
+    "jsx": r"<SYM(?:\s|/|>)",
+    "reference": r"\bSYM\b",
+}
+CALL_PATTERN = r"(?:^|[^.\w$])SYM\s*\(|\.SYM\s*\("
+
+
 def symbol_patterns(symbol: str) -> dict[str, str]:
     """RE2 patterns of the ways in which a line can use a symbol."""
-    s = re.escape(symbol)
-    declared = rf"\b(?:function|class|interface|type|const|let|var)\s+{s}\b"
-    assigned = rf"\b{s}\s*[:=]\s*(?:async\s*)?(?:\([^)]*\)\s*=>|function\b)"
-    method = rf"\b{s}\s*\([^)]*\)\s*" + r"\{"
-    return {
-        "definition": f"{declared}|{assigned}|{method}",
-        "import": rf"\bimport\b.*\b{s}\b",
-        "method_call": rf"\.{s}\s*\(",
-        "call": rf"\b{s}\s*\(",
-        "jsx": rf"<{s}(?:\s|/|>)",
-        "reference": rf"\b{s}\b",
-    }
+    return {kind: p.replace("SYM", re.escape(symbol)) for kind, p in SYMBOL_PATTERNS.items()}
 
 
 def symbol_line_kind(symbol: str, line: Column, stripped: Column | None = None) -> Column:
@@ -244,6 +245,7 @@ def kind_bucket(kind: Column) -> Column:
 
 
 NAME = r"[A-Za-z_$][\w$]*"
+# Lines that begin a function or variable, in the order in which they are tried.
 OWNER_PATTERNS = (
     rf"^(?:export\s+)?(?:async\s+)?function\s+({NAME})(?:[^\w$]|\z|(?<=\w)(?=\$))",
     rf"^export\s+(?:const|let|var)\s+({NAME})\s*=",
@@ -261,8 +263,7 @@ def owner_name(line: Column, stripped: Column | None = None) -> Column:
 
 def call_pattern(symbol: str) -> str:
     """RE2 pattern of a call; the match may start one character before the name."""
-    s = re.escape(symbol)
-    return rf"(?:^|[^.\w$]){s}\s*\(|\.{s}\s*\("
+    return CALL_PATTERN.replace("SYM", re.escape(symbol))
 
 
 def is_definition_or_import(symbol: str, line: Column) -> Column:

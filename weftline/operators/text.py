@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from weftline.functions import predicates as P
 
 CALL_KINDS = ("call", "method_call", "jsx")
+RANK_PARTS = 64
 
 
 def scan_lines(files: DataFrame) -> DataFrame:
@@ -39,8 +40,9 @@ def literal_matches(lines: DataFrame, query: str) -> DataFrame:
     return hit.withColumn("category", P.classify_path(F.col("path"))).withColumn("kind", P.classify_line(query, F.col("text")))
 
 
-def search_literal(lines: DataFrame, query: str, *, limit: int = 100, per_file: int = 3, hidden: bool = False, tmp: bool = False, **switches: bool) -> DataFrame:
-    """Per file: category, match_count (lines), kind counts, env_read and the first matches; the first ``limit`` by path.
+def search_literal(lines: DataFrame, query: str, *, limit: int | None = 100, per_file: int = 3, hidden: bool = False, tmp: bool = False, **switches: bool) -> DataFrame:
+    """Per file: category, match_count (lines), kind counts, env_read and the first matches; the first ``limit`` by path,
+    or all files where it is None.
 
     ``n_files`` counts all files that match; ``truncated`` is true where the limit was reached.
     """
@@ -54,7 +56,9 @@ def search_literal(lines: DataFrame, query: str, *, limit: int = 100, per_file:
         count("literal_reference").alias("references"), F.array_sort(F.collect_list("shown")).alias("matches"),
     )
     total = files.agg(F.count(F.lit(1)).alias("n_files"))
-    return files.orderBy("path").limit(limit).join(F.broadcast(total), how="left").withColumn("truncated", F.col("n_files") >= limit)  # one row
+    shown = files if limit is None else files.orderBy("path").limit(limit)
+    cut = F.lit(False) if limit is None else F.col("n_files") >= limit
+    return shown.join(F.broadcast(total), how="left").withColumn("truncated", cut)  # one row
 
 
 def count_literal_files(lines: DataFrame, query: str, limit: int = 40, **switches: bool) -> DataFrame:
@@ -63,9 +67,10 @@ def count_literal_files(lines: DataFrame, query: str, limit: int = 40, **switche
 
 
 def find_env_usages(lines: DataFrame, name: str, limit: int = 40, tests: bool = False) -> DataFrame:
-    """Files that read an environment variable at run time."""
-    found = search_literal(lines, name, limit=2**31 - 1, tests=tests, docs=False, config=False)
-    return found.filter("env_reads > 0").select("path", "category", "env_reads").orderBy("path").limit(limit)
+    """The first ``limit`` files by path that read an environment variable at run time; only their rows are sorted."""
+    rows = lines.filter(P.is_searchable(F.col("path")) & ~P.skip_path(F.col("path")))
+    rows = literal_matches(rows, name).filter((F.col("kind") == "runtime_env_read") & P.include_category(F.col("category"), tests=tests, docs=False, config=False))
+    return rows.groupBy("path").agg(F.first("category").alias("category"), F.count(F.lit(1)).alias("env_reads")).orderBy("path").limit(limit)
 
 
 def category_counts(lines: DataFrame, query: str) -> DataFrame:
@@ -104,6 +109,17 @@ def symbol_lines(lines: DataFrame, symbol: str) -> DataFrame:
     return rows.withColumn("category", P.classify_path(F.col("path"))).withColumn("bucket", P.kind_bucket(F.col("kind")))
 
 
+def symbol_buckets(lines: DataFrame, symbols: list[str]) -> DataFrame:
+    """path and bucket of every use of any of some symbols, found in one scan of the lines."""
+    either = F.lit(False)
+    for s in symbols:
+        either = either | F.contains("text", F.lit(s))
+    rows = lines.filter(P.is_searchable(F.col("path")) & ~P.skip_path(F.col("path")) & either).withColumn("stripped", P.strip(F.col("text")))
+    rows = rows.filter(~P.is_comment(F.col("text"), F.col("stripped")))
+    kinds = F.array(*(P.symbol_line_kind(s, F.col("text"), F.col("stripped")) for s in symbols))
+    return rows.select("path", F.explode(kinds).alias("kind")).filter("kind IS NOT NULL").select("path", P.kind_bucket(F.col("kind")).alias("bucket")).distinct()
+
+
 def function_impact(lines: DataFrame, symbol: str, *, prefix: str = "", package: str = "", per_file: int = 5, **switches: bool) -> DataFrame:
     """Per file and bucket: hit_count, owners in the order of their first use, kind counts and the first lines."""
     rows = symbol_lines(lines.filter(P.is_searchable(F.col("path")) & ~P.skip_path(F.col("path")) & P.path_in_scope(F.col("path"), prefix, package)), symbol)
@@ -142,13 +158,20 @@ def callsites(lines: DataFrame, callee: str, required: str, *, tests: bool = Tru
 
 
 def rename_impact(lines: DataFrame, old: str, kind: str = "path", per_bucket: int = 20) -> DataFrame:
-    """Files that mention an old name, in buckets, each with its rank and whether it is within the displayed ones."""
+    """Files that mention an old name, in buckets; the first ``per_bucket`` of a bucket are displayed and have their rank.
+
+    Buckets are few and may be large: paths are ranked in parts first, and only the first ones of the parts meet.
+    """
     rows = lines.filter(P.is_searchable(F.col("path")) & ~P.skip_path(F.col("path"), hidden=True))
     rows = literal_matches(rows, old).groupBy("path").agg(F.first("category").alias("category"), F.count(F.lit(1)).alias("match_count"), F.max(F.col("kind") == "runtime_env_read").alias("env_read"))
     rows = rows.withColumn("bucket", P.rename_bucket(F.col("category"), F.col("env_read")))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("path"))
+    part = F.pmod(F.xxhash64("path"), F.lit(RANK_PARTS))
+    rows = rows.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy("bucket", "part").orderBy("path")))
+    rows = rows.withColumn("part", F.when(F.col("r") <= per_bucket, -1).otherwise(F.col("part")))
+    rank = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("path"))
+    rows = rows.withColumn("rank", F.when(F.col("part") == -1, rank)).withColumn("rank", F.when(F.col("rank") <= per_bucket, F.col("rank"))).drop("part", "r")
     doubtful = kind != "package" and len(old) <= 12 and "/" not in old and "@" not in old
-    return rows.withColumn("rank", rank).withColumn("shown", F.col("rank") <= per_bucket).withColumn("maybe_false_positive", F.lit(doubtful))
+    return rows.withColumn("shown", F.col("rank").isNotNull()).withColumn("maybe_false_positive", F.lit(doubtful))
 
 
 def call_edges(lines: DataFrame) -> DataFrame:

@@ -48,9 +48,25 @@ def trails(edges: DataFrame, starts: DataFrame, depth: int = 1, direction: str =
 
 
 def relations(edges: DataFrame, starts: DataFrame, **opts: object) -> DataFrame:
-    """The first trails in the order of depth and edges, one more than the limit."""
-    o = options(**opts)
-    return trails(edges, starts, o["depth"], o["direction"], o["min_confidence"]).orderBy("depth", "edges", "start").limit(o["limit"] + 1)
+    """The first trails in the order of depth and edges, one more than the limit.
+
+    Depth leads the order, so a level is only made while all levels before it are under the limit. A level that is under
+    the limit is whole and small; it is the next level's front, so no level is made from more than ``limit`` trails.
+    """
+    o, spark, out = options(**opts), edges.sparkSession, []
+    schema = "start string, here string, nodes array<string>, edges array<string>"
+    moves = steps(edges, o["direction"], o["min_confidence"])
+    front = starts.select(F.col("id").alias("start"), F.col("id").alias("here"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edges"))
+    for d in range(1, o["depth"] + 1):
+        wide = front.join(moves, F.col("here") == F.col("at")).filter(~F.array_contains("edges", F.col("e")))
+        wide = wide.select("start", F.col("to").alias("here"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("edges", F.array("e")).alias("edges"))
+        room = o["limit"] + 1 - len(out)
+        rows = wide.orderBy("edges", "start").limit(room).collect()  # at most the limit and one
+        out += [(r["start"], d, r["nodes"], r["edges"]) for r in rows]
+        if not rows or len(rows) == room:
+            break
+        front = spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(out, "start string, depth int, nodes array<string>, edges array<string>")
 
 
 def shortest_path(spark: SparkSession, edges: DataFrame, source: str, target: str, depth: int = 4, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -59,17 +75,20 @@ def shortest_path(spark: SparkSession, edges: DataFrame, source: str, target: st
     Breadth first: a node is kept once, with its smallest parent edge, and never visited again. Equal ends give no path.
     """
     schema = "here string, nodes array<string>, edges array<string>"
-    if source == target:
-        return spark.createDataFrame([], schema).drop("here")
-    moves = steps(edges, "both", min_confidence).persist()
-    front = spark.createDataFrame([(source, [source], [])], schema)
-    seen = front.select("here")
-    for _ in range(min(max(depth, 1), MAX_DEPTH)):
-        wide = front.join(moves, F.col("here") == F.col("at")).join(seen.withColumnRenamed("here", "to"), "to", "left_anti")
-        best = F.min(F.struct(F.concat("edges", F.array("e")).alias("edges"), F.concat("nodes", F.array("to")).alias("nodes"))).alias("b")
-        front = wide.groupBy("to").agg(best).select(F.col("to").alias("here"), "b.nodes", "b.edges").persist()
-        hit = front.filter(F.col("here") == target)
-        if not hit.isEmpty():
-            return hit.drop("here")
-        seen = seen.unionByName(front.select("here"))
-    return spark.createDataFrame([], schema).drop("here")
+    found: list = []
+    if source != target:
+        moves = steps(edges, "both", min_confidence).persist()
+        front = spark.createDataFrame([(source, [source], [])], schema)
+        seen, held = front.select("here"), [moves]
+        for _ in range(min(max(depth, 1), MAX_DEPTH)):
+            wide = front.join(moves, F.col("here") == F.col("at")).join(seen.withColumnRenamed("here", "to"), "to", "left_anti")
+            best = F.min(F.struct(F.concat("edges", F.array("e")).alias("edges"), F.concat("nodes", F.array("to")).alias("nodes"))).alias("b")
+            front = wide.groupBy("to").agg(best).select(F.col("to").alias("here"), "b.nodes", "b.edges").persist()
+            held.append(front)
+            found = front.filter(F.col("here") == target).select("nodes", "edges").collect()  # one row at most
+            if found or front.isEmpty():
+                break
+            seen = seen.unionByName(front.select("here"))
+        for x in held:
+            x.unpersist()
+    return spark.createDataFrame(found, "nodes array<string>, edges array<string>")

@@ -90,34 +90,45 @@ def path_set_confidence(how: str, reliable: bool, stale: bool, seeds: int) -> st
 def change_plan(nodes: DataFrame, edges: DataFrame, lines: DataFrame, symbols: list[str], seeds: DataFrame) -> DataFrame:
     """path, action (edit or verify), is_test and ``place`` (edits, then other files, then tests).
 
-    All symbols are classified in the one scan that each of their impacts shares by its containment test.
+    All symbols are classified in one scan of the lines, and their ids are looked up in one pass over the graph.
     """
     if len(symbols) > MAX_SYMBOLS:
         raise ValueError(f"at most {MAX_SYMBOLS} symbols")
     rows = seeds.select("path", F.lit(0).alias("rank"))
     impact = path_set_impact(nodes, edges, lines, seeds).filter("role NOT IN ('seed', 'dependency')")
     rows = rows.unionByName(impact.select("path", F.lit(1).alias("rank")))
-    for s in symbols:
-        found = function_impact(nodes, edges, lines, s)
+    if symbols:
+        ids = nodes.filter((F.col("label") == "Symbol") & F.col("name").isin(*symbols)).select("id")
         # a filter on the bucket would be pushed into the scan and repeat its expressions there; a null rank is dropped below
         rank = F.when(F.col("bucket") == "definition", 0).when(F.col("bucket") != "reference", 1)
-        rows = rows.unionByName(found.select("path", rank.alias("rank")))
+        rows = rows.unionByName(T.symbol_buckets(lines, symbols).select("path", rank.alias("rank")))
+        for found, r in ((G.callers(nodes, edges, ids), 1), (G.importers(nodes, edges, ids), 1), (G.symbol_definitions(nodes, ids), 0)):
+            rows = rows.unionByName(found.filter("path IS NOT NULL").select("path", F.lit(r).alias("rank")))
     out = rows.groupBy("path").agg(F.min("rank").alias("rank")).filter("rank IS NOT NULL")
     test = P.classify_path(F.col("path")) == "test"
     return out.select("path", F.when(F.col("rank") == 0, "edit").otherwise("verify").alias("action"), test.alias("is_test"), F.when(F.col("rank") == 0, 0).when(~test, 1).otherwise(2).alias("place"))
 
 
-def short_name(old: str) -> str:
-    """The last path segment, or the leaf of a package name, without its suffix."""
-    return old.rstrip("/").rpartition("/")[2].partition(".")[0] or old
+def short_name(path: str, package: str = "") -> str:
+    """The last segment of a path, else the leaf of a package name; suffixes stay."""
+    return path.replace("\\", "/").strip("/").rpartition("/")[2] or package.removeprefix("@").rpartition("/")[2]
 
 
-def rename_identities(old_path: str, package: str = "", bare: bool = False) -> list[tuple[str, str]]:
-    """(layer, text) under which a thing may be mentioned, at most seven."""
-    name = short_name(old_path or package)
-    found = [("path", old_path), ("package", package), ("ci", f"build-{name}"), ("ci", f"deploy-{name}"), ("ci", f"{name}-ci"), ("docker", f"docker/{name}")]
-    found += [("name", name)] * bare
-    return [x for x in dict.fromkeys(found) if x[1]][:MAX_IDENTITIES]
+#: Texts under which build jobs and images mention a short name. Fixed values.
+CI_STEMS, DOCKER_STEM = ("build-{}", "deploy-{}", "{}-buildcache"), "APP_DIR={}"
+
+
+def rename_identities(path: str, package: str = "", bare: bool = False, *, short: str = "", ci: bool = True, docker: bool = True) -> list[tuple[str, str]]:
+    """(layer, text) under which a thing may be mentioned, at most seven; of equal texts the first layer stays."""
+    name = short or short_name(path, package)
+    found = [("path", path), ("package", package)]
+    if name:
+        found += [("ci", stem.format(name)) for stem in CI_STEMS if ci] + [("docker", DOCKER_STEM.format(name))] * docker + [("name", name)] * bare
+    first: dict[str, str] = {}
+    for layer, text in found:
+        if text:
+            first.setdefault(text, layer)
+    return [(layer, text) for text, layer in first.items()][:MAX_IDENTITIES]
 
 
 def rename_plan(lines: DataFrame, identities: list[tuple[str, str]]) -> DataFrame:
@@ -141,7 +152,9 @@ def must_not_touch(files: DataFrame, name: str, moved: str) -> DataFrame:
 
 def feature_context(nodes: DataFrame, lines: DataFrame, query: str, limit: int = 25) -> DataFrame:
     """Files to read for a feature, ranked: text hits outside docs and config, then graph nodes by name."""
-    text = T.search_literal(lines, query, limit=limit, docs=False, config=False).select("path", F.lit(0).alias("grp"), "match_count")
+    category = P.classify_path(F.col("path"))
+    text = lines.filter(P.is_searchable(F.col("path")) & ~P.skip_path(F.col("path")) & F.contains("text", F.lit(query)) & P.include_category(category, docs=False, config=False))
+    text = text.groupBy("path").agg(F.count(F.lit(1)).alias("match_count")).orderBy(F.desc("match_count"), "path").limit(limit).select("path", F.lit(0).alias("grp"), "match_count")
     hits = G.search_code(nodes, query, limit).filter("path IS NOT NULL").select("path", F.lit(1).alias("grp"), F.lit(0).cast("long").alias("match_count"))
     both = text.unionByName(hits)
     first = F.row_number().over(Window.partitionBy("path").orderBy("grp"))

@@ -9,15 +9,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from weftline.extract import events as X
 from weftline.fixtures import VIEWS, view
 from weftline.functions import predicates as P
 from weftline.operators import graph as G
 from weftline.operators import text as T
 from weftline.operators import traverse as V
 from weftline.plans import hybrid as H
+from weftline.service import export
 from weftline.sources import events as E
+from weftline.sources.shared import fresh_folder
+from weftline.sources.store import GraphStore
+from weftline.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,7 +33,7 @@ class Tables:
     """The derived tables of one folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark = spark
+        self.spark, self.folder = spark, sf_dir
         self.get = lambda name: view(spark, sf_dir, name)
         self.raw = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,12 +49,37 @@ class Tables:
     def lines(self) -> DataFrame:
         return self.get("c_lines")
 
+    @property
+    def calling_lines(self) -> DataFrame:
+        """The lines with calls between the functions of a file, so that impact has more than one level."""
+        return self.lines.withColumn("text", F.regexp_replace("text", r"assertAllowed\(\);", r"order_1(); order_2();"))
+
     @property
     def prose(self) -> DataFrame:
         """The documents as a line corpus: accented text and long lines."""
         docs = self.raw("documents").select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), F.col("text").alias("content"))
         return T.scan_lines(docs)
 
+    @property
+    def odd_files(self) -> DataFrame:
+        """File paths with endings that the search takes, and others that it doesn't."""
+        ends = F.array(*(F.lit(x) for x in (".png", "", "/.env.local", ".MD", "/LICENSE", ".YAML")))
+        return self.nodes.filter("label = 'File'").select(F.concat("path", F.get(ends, F.length("path") % 6)).alias("path"))
+
+    @property
+    def placed_files(self) -> DataFrame:
+        """File paths below folders that the walk enters, and others that it doesn't."""
+        tops = F.array(*(F.lit(x) for x in ("node_modules/", "", "x/.hidden/", "tmp/", "a/dist/", "x/tmp/")))
+        return self.nodes.filter("label = 'File'").select(F.concat(F.get(tops, F.length("path") % 6), "path").alias("path"))
+
+    @property
+    def files_with_tests(self) -> DataFrame:
+        """Paths, with tests beside some and in a folder for others."""
+        f = self.get("g_files")
+        beside = f.filter("k % 7 = 0").select(F.regexp_replace("path", r"\.ts$", ".test.ts").alias("path"))
+        apart = f.filter("k % 3 = 0").select(F.regexp_replace("path", r"/([^/]*)\.tsx$", r"/__tests__/$1.spec.ts").alias("path"))
+        return f.select("path").unionByName(beside).unionByName(apart).distinct()
+
     @property
     def symbol_ids(self) -> DataFrame:
         return self.nodes.filter((F.col("label") == "Symbol") & (F.col("name") == SYMBOL)).select("id")
@@ -150,15 +179,15 @@ WITH f AS (SELECT path, text, min(line_no) AS pos FROM c_lines WHERE contains(te
 # ---- traversal -------------------------------------------------------------------------------------------------
 
 _EDGE = "concat_ws('|', type, src, dst, coalesce(source_file, ''), coalesce(CAST(start_line AS VARCHAR), ''))"
-_MOVES = f"m AS (SELECT DISTINCT src, dst, {_EDGE} AS e FROM g_edges WHERE coalesce(confidence, 1.0) >= 0.6)"
+_MOVES = f"m AS MATERIALIZED (SELECT DISTINCT src, dst, {_EDGE} AS e FROM g_edges WHERE coalesce(confidence, 1.0) >= 0.6)"
 
 
 def _trail_sql(start: str, depth: int, both: bool) -> str:
     step = "SELECT src AS a, dst AS b, e FROM m" + (" UNION ALL SELECT dst, src, e FROM m WHERE src <> dst" if both else "")
     return f"""
-WITH {_MOVES}, s AS ({step}),
-r AS (SELECT 1 AS depth, a AS start, [a, b] AS nodes, [e] AS edges, b AS here FROM s WHERE a IN ({start})),
-r2 AS (SELECT 2 AS depth, r.start, list_append(r.nodes, s.b) AS nodes, list_append(r.edges, s.e) AS edges, s.b AS here FROM r JOIN s ON r.here = s.a WHERE NOT list_contains(r.edges, s.e)),
+WITH {_MOVES}, s AS MATERIALIZED ({step}), z AS MATERIALIZED ({start}),
+r AS MATERIALIZED (SELECT 1 AS depth, a AS start, [a, b] AS nodes, [e] AS edges, b AS here FROM z JOIN s ON s.a = z.id),
+r2 AS MATERIALIZED (SELECT 2 AS depth, r.start, list_append(r.nodes, s.b) AS nodes, list_append(r.edges, s.e) AS edges, s.b AS here FROM r JOIN s ON r.here = s.a WHERE NOT list_contains(r.edges, s.e)),
 r3 AS (SELECT 3 AS depth, r.start, list_append(r.nodes, s.b) AS nodes, list_append(r.edges, s.e) AS edges, s.b AS here FROM r2 r JOIN s ON r.here = s.a WHERE NOT list_contains(r.edges, s.e))
 {" UNION ALL ".join(f"SELECT start, depth, nodes, edges FROM {x}" for x in ("r", "r2", "r3")[:depth])}"""
 
@@ -200,8 +229,9 @@ query("t4_classify_line", "SELECT CASE WHEN contains(text, 'process.env.KEY_1')
 query("t5_snippet", """
 WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS x FROM d)
 SELECT doc_id, CASE WHEN length(x) > 180 THEN left(x, 177) || '...' ELSE x END AS snippet FROM s""", fixture=False)(lambda t: t.raw("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", P.snippet(F.lit("a.md"), F.col("line")).alias("snippet")))
-query("t6_regex_boundaries", r"""
-WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS n FROM d WHERE regexp_matches(line, '\bre\b') GROUP BY doc_id""", fixture=False)(lambda t: t.raw("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(P.matches(F.col("line"), r"\bre\b")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+_RE2 = (r"\bre\b", r"\w\s+\w+\.", r"e.a", r"^[\w\s]+,", r"\bde\s(?:la|los)\b")
+query("t6_regex_boundaries", f"""
+WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, {", ".join(f"count(*) FILTER (regexp_matches(line, '{p}')) AS n{i}" for i, p in enumerate(_RE2))} FROM d GROUP BY doc_id""", fixture=False)(lambda t: t.raw("documents").filter("text IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).groupBy("doc_id").agg(*(F.count(F.when(P.matches(F.col("line"), p), 1)).alias(f"n{i}") for i, p in enumerate(_RE2))))
 _KIND = rf"""CASE WHEN trim(text) LIKE '//%' THEN NULL
   WHEN regexp_matches(text, '\b(function|class|interface|type|const|let|var)\s+{SYMBOL}\b|\b{SYMBOL}\s*[:=]\s*(async\s*)?(\([^)]*\)\s*=>|function\b)|\b{SYMBOL}\s*\([^)]*\)\s*\{{') THEN 'definition'
   WHEN regexp_matches(text, '\bimport\b.*\b{SYMBOL}\b') THEN 'import' WHEN regexp_matches(text, '\.{SYMBOL}\s*\(') THEN 'method_call' WHEN regexp_matches(text, '\b{SYMBOL}\s*\(') THEN 'call'
@@ -216,7 +246,7 @@ o3 AS (SELECT *, sum(delta) OVER (PARTITION BY path, seg ORDER BY line_no) AS cu
 o4 AS (SELECT *, min(CASE WHEN seg > 0 AND cum <= 0 AND contains(text, '}') THEN line_no END) OVER (PARTITION BY path, seg) AS fin, first_value(own) OVER (PARTITION BY path, seg ORDER BY line_no) AS head FROM o3),
 ow AS (SELECT path, line_no, text, seg, coalesce(line_no > fin, false) AS after_end, CASE WHEN seg = 0 OR coalesce(line_no > fin, false) THEN '' ELSE head END AS owner FROM o4)"""
 query("w1_owner", f"WITH {_OWNER.strip()} SELECT path, line_no, CAST(seg AS BIGINT) AS seg, after_end, owner FROM ow")(lambda t: T.with_owner(t.lines).drop("text"))
-query("w3_first_k", "SELECT path, line_no FROM (SELECT path, line_no, row_number() OVER (PARTITION BY path ORDER BY line_no) AS r FROM c_lines WHERE contains(text, 'assertAllowed')) WHERE r <= 3")(lambda t: T.search_literal(t.lines, "assertAllowed", limit=10**6).select("path", F.explode("matches").alias("m")).select("path", "m.line_no"))
+query("w3_first_k", "SELECT path, line_no FROM (SELECT path, line_no, row_number() OVER (PARTITION BY path ORDER BY line_no) AS r FROM c_lines WHERE contains(text, 'assertAllowed')) WHERE r <= 3")(lambda t: T.search_literal(t.lines, "assertAllowed", limit=None).select("path", F.explode("matches").alias("m")).select("path", "m.line_no"))
 query("t8_function_impact", f"""
 WITH {_OWNER.strip()}, k AS (SELECT *, {_KIND} AS kind FROM ow WHERE contains(text, '{SYMBOL}')),
 b AS (SELECT *, CASE WHEN kind IN ('definition', 'import', 'reference') THEN kind ELSE 'call' END AS bucket, {_CATEGORY} AS category FROM k WHERE kind IS NOT NULL),
@@ -232,22 +262,33 @@ SELECT path, category, owner, line_no AS line, CAST(strpos(text, '{SYMBOL}') - 2
 query("t13_rename_impact", f"""
 WITH f AS (SELECT path, {_CATEGORY} AS category, count(*) AS match_count, bool_or(contains(text, 'process.env.KEY_9')) AS env_read FROM c_lines WHERE contains(text, 'KEY_9') GROUP BY path),
 g AS (SELECT *, CASE category WHEN 'test' THEN 'tests' WHEN 'docs' THEN 'docs' WHEN 'config' THEN 'config' ELSE CASE WHEN env_read THEN 'runtimeReads' WHEN category = 'script' THEN 'scripts' ELSE 'other' END END AS bucket FROM f)
-SELECT *, CAST(row_number() OVER (PARTITION BY bucket ORDER BY path) AS INT) AS rank, row_number() OVER (PARTITION BY bucket ORDER BY path) <= 20 AS shown, true AS maybe_false_positive FROM g""")(lambda t: T.rename_impact(t.lines, "KEY_9"))
+SELECT path, category, match_count, env_read, bucket, CASE WHEN r <= 20 THEN CAST(r AS INT) END AS rank, r <= 20 AS shown, true AS maybe_false_positive FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY path) AS r FROM g)""")(lambda t: T.rename_impact(t.lines, "KEY_9"))
 query("t14_transitive_impact", rf"""
-WITH {_OWNER.strip()}, e AS (SELECT DISTINCT unnest(regexp_extract_all(text, '([A-Za-z_$][\w$]*)\s*\(', 1)) AS callee, owner FROM ow WHERE owner <> '')
-SELECT owner AS symbol, 1 AS depth FROM e WHERE callee = '{SYMBOL}' AND owner <> callee GROUP BY owner""")(lambda t: T.transitive_impact(t.lines, SYMBOL, 1))
+WITH {_OWNER.strip()}, e AS MATERIALIZED (SELECT DISTINCT callee, owner FROM (SELECT unnest(regexp_extract_all(text, '([A-Za-z_$][\w$]*)\s*\(', 1)) AS callee, owner FROM ow WHERE owner <> '') WHERE callee <> owner AND callee NOT IN ('if', 'for', 'while', 'switch', 'catch', 'function')),
+d1 AS MATERIALIZED (SELECT DISTINCT owner AS symbol FROM e WHERE callee = '{SYMBOL}'),
+d2 AS (SELECT DISTINCT e.owner AS symbol FROM d1 JOIN e ON e.callee = d1.symbol WHERE e.owner <> '{SYMBOL}' AND e.owner NOT IN (SELECT symbol FROM d1))
+SELECT symbol, 1 AS depth FROM d1 UNION ALL SELECT symbol, 2 FROM d2""")(lambda t: T.transitive_impact(t.calling_lines, SYMBOL))
 query("t15_related_tests", """
-WITH f AS (SELECT DISTINCT path FROM g_files), s AS (SELECT path, regexp_replace(path, '\\.[^./]*$', '') AS stem FROM f WHERE NOT contains(path, '.test.'))
-SELECT s.path AS seed, f.path FROM s JOIN f ON f.path IN (s.stem || '.test.ts', s.stem || '.test.tsx', s.stem || '.spec.ts')""")(lambda t: T.related_tests(t.get("g_files"), t.get("g_files").select("path").distinct().filter("NOT contains(path, '.test.')")))
+WITH f AS (SELECT DISTINCT path FROM g_files UNION SELECT regexp_replace(path, '\\.ts$', '.test.ts') FROM g_files WHERE k % 7 = 0 UNION SELECT regexp_replace(path, '/([^/]*)\\.tsx$', '/__tests__/\\1.spec.ts') FROM g_files WHERE k % 3 = 0), s AS (SELECT path, regexp_replace(path, '\\.[^./]*$', '') AS stem FROM f WHERE NOT contains(path, '.test.'))
+SELECT s.path AS seed, f.path FROM s JOIN f ON f.path IN (s.stem || '.test.ts', s.stem || '.test.tsx', s.stem || '.spec.ts', regexp_replace(s.stem, '/([^/]*)$', '/__tests__/\\1.spec.ts')) WHERE NOT contains(s.path, '.spec.')""")(lambda t: T.related_tests(t.files_with_tests, t.files_with_tests.filter("NOT contains(path, '.test.') AND NOT contains(path, '.spec.')")))
 query("t16_import_terms", r"""
 WITH p AS (SELECT path, regexp_replace(path, '\.[^./]*$', '') AS bare FROM g_nodes WHERE label = 'File'),
 u AS (SELECT path AS seed, array_to_string(list_slice(string_split(bare, '/'), -2, -1), '/') AS term FROM p UNION SELECT path, regexp_extract(bare, '[^/]*$') FROM p WHERE length(regexp_extract(bare, '[^/]*$')) >= 3)
 SELECT * FROM u""")(lambda t: T.import_terms(t.nodes.filter("label = 'File'").select("path")))
 query("p1_classify_path", f"SELECT path, {_CATEGORY} AS category FROM g_nodes WHERE label = 'File'")(lambda t: t.nodes.filter("label = 'File'").select("path", P.classify_path(F.col("path")).alias("category")))
-query("p4_searchable", "SELECT path, NOT path LIKE '%.zip' AS ok FROM g_nodes WHERE label = 'File'")(lambda t: t.nodes.filter("label = 'File'").select("path", P.is_searchable(F.col("path")).alias("ok")))
+query("p4_searchable", """
+WITH f AS (SELECT path || CASE length(path) % 6 WHEN 0 THEN '.png' WHEN 1 THEN '' WHEN 2 THEN '/.env.local' WHEN 3 THEN '.MD' WHEN 4 THEN '/LICENSE' ELSE '.YAML' END AS path, length(path) % 6 AS m FROM g_nodes WHERE label = 'File')
+SELECT path, m NOT IN (0, 4) AS ok FROM f""")(lambda t: t.odd_files.select("path", P.is_searchable(F.col("path")).alias("ok")))
+query("p3_skip_path", """
+WITH f AS (SELECT CASE length(path) % 6 WHEN 0 THEN 'node_modules/' WHEN 1 THEN '' WHEN 2 THEN 'x/.hidden/' WHEN 3 THEN 'tmp/' WHEN 4 THEN 'a/dist/' ELSE 'x/tmp/' END || path AS path, length(path) % 6 AS m FROM g_nodes WHERE label = 'File')
+SELECT path, m IN (0, 2, 3, 4) AS skipped, m IN (0, 4) AS skipped_open FROM f""")(lambda t: t.placed_files.select("path", P.skip_path(F.col("path")).alias("skipped"), P.skip_path(F.col("path"), hidden=True, tmp=True).alias("skipped_open")))
+query("k5_normalize_path", """
+SELECT path, CASE WHEN length(path) % 3 = 2 THEN NULL ELSE path END AS clean FROM g_nodes WHERE label = 'File'""")(lambda t: t.nodes.filter("label = 'File'").select("path", P.normalize_path(F.when(F.length("path") % 3 == 0, F.concat(F.lit("  ./"), F.replace(F.col("path"), F.lit("/"), F.lit("\\")))).when(F.length("path") % 3 == 2, F.lit(" . ")).otherwise(F.col("path"))).alias("clean")))
+query("k4_is_identifier", "SELECT name, regexp_matches(name, '^[A-Za-z_$][A-Za-z0-9_$]*$') AS ok, count(*) AS n FROM g_nodes WHERE name IS NOT NULL GROUP BY ALL")(lambda t: t.nodes.filter("name IS NOT NULL").groupBy("name", P.is_identifier(F.col("name")).alias("ok")).agg(F.count(F.lit(1)).alias("n")))
 query("p5_path_in_scope", "SELECT path FROM g_nodes WHERE label = 'File' AND path LIKE 'packages/%' AND contains(path, '/nation_4/')")(lambda t: t.nodes.filter((F.col("label") == "File") & P.path_in_scope(F.col("path"), "packages/", "@acme/nation_4")).select("path"))
-query("x5_file_kind", """
-SELECT path, CASE WHEN contains(path, '.test.') THEN 'test' WHEN path LIKE '%.tsx' THEN 'component' ELSE 'source' END AS kind FROM g_nodes WHERE label = 'File'""")(lambda t: t.nodes.filter("label = 'File'").select("path", P.file_kind(F.col("path")).alias("kind")))
+_BASES = {"page.tsx": "page", "layout.js": "layout", "route.ts": "route", "a.spec.ts": "test", "next.config.ts": "config", "b.jsx": "component", "pages.ts": "source", "route.tsx": "component"}
+query("x5_file_kind", f"""
+WITH f AS (SELECT 'app/' || k || '/' || {list(_BASES)}[k % 8 + 1] AS path, k % 8 AS m FROM g_files) SELECT path, {list(_BASES.values())}[m + 1] AS kind FROM f""")(lambda t: t.get("g_files").select(F.concat(F.lit("app/"), F.col("k").cast("string"), F.lit("/"), F.get(F.array(*(F.lit(x) for x in _BASES)), (F.col("k") % 8).cast("int"))).alias("path")).select("path", P.file_kind(F.col("path")).alias("kind")))
 query("s17_open_excerpt", """
 WITH p AS (SELECT path FROM c_lines GROUP BY path HAVING count(*) >= 6 ORDER BY path LIMIT 1) SELECT path, 2 AS start_line, 5 AS end_line, false AS truncated, string_agg(text, chr(10) ORDER BY line_no) AS text FROM c_lines WHERE path = (SELECT path FROM p) AND line_no BETWEEN 2 AND 5 GROUP BY path""")(lambda t: T.open_excerpt(t.lines, t.lines.groupBy("path").count().filter("count >= 6").orderBy("path").first()["path"], 2, 5))
 
@@ -264,9 +305,13 @@ WITH {_TEXT_SIDE}, {_GRAPH_SIDE.strip()}
 SELECT coalesce(tx.path, gc.path) AS path, coalesce(tx.bucket, gc.bucket) AS bucket, coalesce(tx.n, 0) AS text_hits, coalesce(gc.n, 0) AS graph_hits, CASE WHEN tx.n IS NULL THEN 'graph' WHEN gc.n IS NULL THEN 'text' ELSE 'hybrid' END AS method
 FROM tx FULL JOIN gc ON tx.path = gc.path AND tx.bucket = gc.bucket""")(lambda t: H.function_impact(t.nodes, t.edges, t.lines, SYMBOL))
 query("h2_confidence", f"""
-WITH {_TEXT_SIDE}, {_GRAPH_SIDE.strip()}
-SELECT coalesce(tx.path, gc.path) AS path, coalesce(tx.bucket, gc.bucket) AS bucket, CASE WHEN gc.n IS NULL THEN 'medium' ELSE 'high' END AS confidence FROM tx FULL JOIN gc ON tx.path = gc.path AND tx.bucket = gc.bucket""")(
-    lambda t: H.function_impact(t.nodes, t.edges, t.lines, SYMBOL).select("path", "bucket", H.impact_confidence(F.col("method"), F.lit(True), F.lit(False), F.lit(False), F.lit(1)).alias("confidence")))
+WITH {_TEXT_SIDE}, {_GRAPH_SIDE.strip()},
+j AS (SELECT coalesce(tx.path, gc.path) AS path, coalesce(tx.bucket, gc.bucket) AS bucket, coalesce(tx.n, 0) % 2 AS files, gc.n IS NULL AS bare FROM tx FULL JOIN gc ON tx.path = gc.path AND tx.bucket = gc.bucket)
+SELECT path, bucket, CASE WHEN length(path) % 7 = 0 OR length(path) % 11 = 0 THEN 'low' WHEN NOT bare THEN CASE WHEN bucket = 'import' THEN 'medium' ELSE 'high' END WHEN files > 0 THEN 'medium' ELSE 'low' END AS confidence FROM j""")(
+    lambda t: H.function_impact(t.nodes, t.edges, t.lines, SYMBOL).select("path", "bucket", H.impact_confidence(F.col("method"), F.col("bucket") != "import", F.length("path") % 7 == 0, F.length("path") % 11 == 0, F.col("text_hits") % 2).alias("confidence")))
+query("a9_rollup_low", "SELECT CASE WHEN bool_or(l_quantity > 49) THEN 'low' ELSE 'high' END AS confidence FROM lineitem GROUP BY l_suppkey HAVING l_suppkey = 1 UNION ALL SELECT 'medium'", fixture=False)(lambda t: H.rollup_confidence(t.raw("lineitem").filter("l_suppkey = 1").select(F.when(F.col("l_quantity") > 49, "low").otherwise("high").alias("confidence"))).unionByName(H.rollup_confidence(t.raw("lineitem").filter("l_suppkey = 1").select(F.lit("medium").alias("confidence")))))
+query("a9_rollup_method", """
+SELECT 'graph and text' AS case_, 'hybrid' AS method UNION ALL SELECT 'graph', 'graph' UNION ALL SELECT 'text', 'text' FROM (SELECT 1) WHERE (SELECT count(*) FROM nation) > 0""", fixture=False)(lambda t: H.rollup_method(t.raw("nation").select(F.when(F.col("n_nationkey") % 2 == 0, "graph").otherwise("text").alias("method"))).select(F.lit("graph and text").alias("case_"), "method").unionByName(H.rollup_method(t.raw("nation").select(F.lit("graph").alias("method"))).select(F.lit("graph").alias("case_"), "method")).unionByName(H.rollup_method(t.raw("nation").select(F.lit("text").alias("method"))).select(F.lit("text").alias("case_"), "method")))
 query("a9_rollup", "SELECT CASE WHEN max(l_discount) > 1 THEN 'low' WHEN bool_or(l_returnflag = 'R') THEN 'high' ELSE 'medium' END AS confidence FROM lineitem", fixture=False)(lambda t: H.rollup_confidence(t.raw("lineitem").select(F.when(F.col("l_returnflag") == "R", "high").otherwise("medium").alias("confidence"))))
 query("h7_package_hint", "SELECT path, regexp_extract(path, '^((packages|apps)/[^/]+)/', 1) AS hint FROM g_nodes WHERE label = 'File'")(lambda t: t.nodes.filter("label = 'File'").select("path", P.package_hint(F.col("path")).alias("hint")))
 _TERMS = r"tm AS (SELECT DISTINCT unnest([regexp_extract(regexp_replace(path, '\.[^./]*$', ''), '[^/]+/[^/]+$')]) AS term FROM s)"
@@ -285,10 +330,13 @@ al AS (SELECT path, 0 AS rank FROM s UNION ALL SELECT path, 1 FROM im WHERE role
   UNION ALL SELECT path, CASE bucket WHEN 'definition' THEN 0 ELSE 1 END FROM (SELECT path, bucket FROM tx UNION ALL SELECT path, bucket FROM gc UNION ALL SELECT path, bucket FROM tx2 UNION ALL SELECT path, bucket FROM gc2) WHERE bucket <> 'reference')
 SELECT path, CASE min(rank) WHEN 0 THEN 'edit' ELSE 'verify' END AS action, contains(path, '.test.') AS is_test, CASE WHEN min(rank) = 0 THEN 0 WHEN contains(path, '.test.') THEN 2 ELSE 1 END AS place FROM al GROUP BY path""")(lambda t: H.change_plan(t.nodes, t.edges, t.lines, [SYMBOL, "hot_gear"], t.seeds))
 query("h9_rename_plan", f"""
-WITH i(layer, ident) AS (VALUES ('path', 'assertAllowed'), ('ci', 'KEY_4'), ('name', 'red_plate'))
-SELECT path, layer, count(*) AS mentions, {_CATEGORY} AS bucket FROM c_lines JOIN i ON contains(text, ident) GROUP BY path, layer""")(lambda t: H.rename_plan(t.lines, [("path", "assertAllowed"), ("ci", "KEY_4"), ("name", "red_plate")]))
+WITH i(layer, ident) AS (VALUES ('path', 'apps/red_plate'), ('package', 'assertAllowed'), ('ci', 'build-red_plate'), ('ci', 'deploy-red_plate'), ('ci', 'red_plate-buildcache'), ('docker', 'APP_DIR=red_plate'), ('name', 'red_plate')),
+l AS (SELECT path, replace(replace(text, 'KEY_4', 'APP_DIR=red_plate'), 'KEY_5', 'build-red_plate') AS text FROM c_lines)
+SELECT path, layer, count(*) AS mentions, {_CATEGORY} AS bucket FROM l JOIN i ON contains(text, ident) GROUP BY path, layer""")(lambda t: H.rename_plan(t.lines.withColumn("text", F.replace(F.replace("text", F.lit("KEY_4"), F.lit("APP_DIR=red_plate")), F.lit("KEY_5"), F.lit("build-red_plate"))), H.rename_identities("apps/red_plate", "assertAllowed", True)))
+query("h9_identities", """
+SELECT * FROM (VALUES ('path', 'apps/web.v2'), ('package', '@acme/web'), ('ci', 'build-web.v2'), ('ci', 'deploy-web.v2'), ('ci', 'web.v2-buildcache'), ('docker', 'APP_DIR=web.v2'), ('name', 'web.v2')) v(layer, ident)""", fixture=False)(lambda t: t.spark.createDataFrame(H.rename_identities("apps/web.v2", "@acme/web", True), "layer string, ident string"))
 query("h11_feature_context", f"""
-WITH a AS (SELECT path, 0 AS grp, count(*) AS match_count FROM c_lines WHERE contains(text, 'KEY_2') AND {_CATEGORY} NOT IN ('docs', 'config') GROUP BY path ORDER BY path LIMIT 25)
+WITH a AS (SELECT path, 0 AS grp, count(*) AS match_count FROM c_lines WHERE contains(text, 'KEY_2') AND {_CATEGORY} NOT IN ('docs', 'config') GROUP BY path)
 SELECT path, grp, match_count, contains(path, '.test.') AS is_test FROM a ORDER BY grp, match_count DESC, path LIMIT 25""")(lambda t: H.feature_context(t.nodes, t.lines, "KEY_2"))
 
 # ---- events ----------------------------------------------------------------------------------------------------
@@ -311,7 +359,155 @@ query("s4_upsert_nodes", """
 SELECT 'ns:u' || user_id AS id, arg_max(event_type, event_id) AS name, arg_max(CAST(json_extract_string(props, '$.k') AS BIGINT), event_id) FILTER (json_extract_string(props, '$.k') IS NOT NULL) AS start_line FROM events WHERE event_id % 50 <> 0 GROUP BY user_id""", fixture=False)(lambda t: E.nodes_of(E.split_valid(_event_rows(t))[0], "ns").select("id", "name", F.col("startLine").alias("start_line")))
 query("s5_attached_edges", """
 SELECT e.type, e.src, e.dst, count(*) AS n FROM g_edges e WHERE e.src IN (SELECT id FROM g_nodes WHERE label = 'File') AND e.dst IN (SELECT id FROM g_nodes WHERE label = 'File') GROUP BY ALL""")(lambda t: E.attached(t.edges, t.nodes.filter("label = 'File'")).groupBy("type", "src", "dst").agg(F.count(F.lit(1)).alias("n")))
-query("s6_edge_identity", "SELECT count(DISTINCT (type, src, dst, coalesce(source_file, ''), coalesce(start_line, -1))) AS n FROM g_edges")(lambda t: t.edges.select(V.edge_id().alias("e")).agg(F.countDistinct("e").alias("n")))
+query("s6_edge_identity", "SELECT type, count(DISTINCT (src, dst, coalesce(source_file, ''), coalesce(CAST(start_line AS VARCHAR), ''))) AS n FROM g_edges GROUP BY type")(lambda t: _edge_rows(t).select("rel", E.identity().alias("i")).groupBy(F.col("rel").alias("type")).agg(F.countDistinct("i").alias("n")))
 query("s7_scoped_id", "SELECT 'ns:' || id AS scoped, id AS back FROM g_nodes")(lambda t: t.nodes.select(E.scoped(F.lit("ns"), F.col("id")).alias("scoped")).select("scoped", E.unscoped(F.lit("ns"), F.col("scoped")).alias("back")))
-query("s12_duplicates", "SELECT id, count(*) AS n FROM g_nodes GROUP BY id HAVING count(*) > 1")(lambda t: E.duplicates(t.nodes))
-query("s20_export_nodes", "SELECT label, id, row_number() OVER (ORDER BY label, id) AS place FROM g_nodes ORDER BY label, id LIMIT 500")(lambda t: t.nodes.orderBy("label", "id").limit(500).select("label", "id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("label", "id")).cast("long").alias("place")))
+query("s12_duplicates", "SELECT id, count(*) AS n FROM (SELECT id FROM g_nodes UNION ALL SELECT id FROM g_nodes WHERE label IN ('Package', 'Project')) GROUP BY id HAVING count(*) > 1")(lambda t: E.duplicates(t.nodes.unionByName(t.nodes.filter("label IN ('Package', 'Project')"))))
+
+
+def _edge_rows(t: Tables) -> DataFrame:
+    """The edges as edge events."""
+    props = F.map_filter(F.create_map(F.lit("sourceFile"), F.col("source_file"), F.lit("startLine"), F.col("start_line").cast("string"), F.lit("confidence"), F.col("confidence").cast("string")), lambda _, v: v.isNotNull())
+    none = F.lit(None).cast("string")
+    cols = {"protocol": F.lit(E.PROTOCOL), "type": F.lit("edge"), "label": none, "id": none, "rel": F.col("type"), "from": F.col("src"), "to": F.col("dst"), "source": F.lit("edges"), "message": none, "props": props}
+    return t.edges.select(*(c.alias(k) for k, c in cols.items())).withColumn("raw", F.to_json(F.struct("rel", "from", "to", "props"))).withColumn("seq", F.lit(0).cast("long"))
+
+
+def _written(t: Tables) -> str:
+    """The events as NDJSON files in their order, one line an event."""
+    path = fresh_folder(t.spark, "events")
+    rows = _event_rows(t).orderBy("seq")
+    cols = ("protocol", "type", "label", "id", "rel", "from", "to", "source", "message", "props")
+    rows.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in cols))).alias("value")).write.text(path)
+    return path
+
+
+_LAST = """
+SELECT 'ns:u' || user_id AS id, arg_max(event_type, event_id) AS name, arg_max(CAST(json_extract_string(props, '$.k') AS BIGINT), event_id) FILTER (json_extract_string(props, '$.k') IS NOT NULL) AS start_line FROM events WHERE event_id % 50 <> 0 GROUP BY user_id"""
+
+
+def _last_values(nodes: DataFrame) -> DataFrame:
+    return nodes.select("id", "name", F.col("startLine").alias("start_line"))
+
+
+query("s1_read_events", _LAST, fixture=False)(lambda t: _last_values(E.nodes_of(E.split_valid(E.read(t.spark, _written(t)))[0], "ns")))
+
+
+@query("streaming_ingest", _LAST, fixture=False)
+def streaming(t: Tables) -> DataFrame:
+    """The same through a stream that ends when all files are read."""
+    root = fresh_folder(t.spark, "ingest")
+    ingest.start(t.spark, _written(t), root, "ns", f"{root}/checkpoint").awaitTermination()
+    return _last_values(ingest.current(t.spark, root)[0])
+
+
+@query("s8_meta", "SELECT 'Meta' AS label, 'note ' || event_type AS name, count(*) > 0 AS some FROM events WHERE event_id % 2 = 0 GROUP BY event_type", fixture=False)
+def meta(t: Tables) -> DataFrame:
+    """Warnings as nodes, one a message."""
+    rows = _event_rows(t).filter("seq % 2 = 0").withColumn("message", F.concat(F.lit("note "), F.col("props")["name"])).withColumn("type", F.lit("warning")).withColumn("props", F.create_map().cast("map<string,string>"))
+    return E.meta_of(rows, "ns").groupBy("label", "name").agg((F.count(F.lit(1)) == 1).alias("some"))
+
+
+@query("s9_store_edges", "SELECT type, src, dst, count(DISTINCT (coalesce(source_file, ''), coalesce(CAST(start_line AS VARCHAR), ''))) AS n FROM g_edges WHERE src IN (SELECT id FROM g_nodes) AND dst IN (SELECT id FROM g_nodes) AND type LIKE '%FILE' GROUP BY ALL")
+def store_edges(t: Tables) -> DataFrame:
+    """Node and edge events applied to a store and read back."""
+    none = F.lit(None).cast("string")
+    cols = {"protocol": F.lit(E.PROTOCOL), "type": F.lit("node"), "label": F.col("label"), "id": F.col("id"), "rel": none, "from": none, "to": none, "source": F.lit("nodes"), "message": none}
+    nodes = t.nodes.select(*(c.alias(k) for k, c in cols.items())).withColumn("props", F.create_map().cast("map<string,string>")).withColumn("raw", F.col("id")).withColumn("seq", F.lit(0).cast("long"))
+    store = GraphStore(t.spark, fresh_folder(t.spark, "store"))
+    store.load(nodes.unionByName(_edge_rows(t).filter("rel LIKE '%FILE'")), "ns")
+    return store.edges("ns").groupBy("type", F.col("source_from").alias("src"), F.col("source_to").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s13_namespaces", "SELECT * FROM (VALUES ('b', 'repo-b', 'typescript', 'fast'), ('c', 'repo-c', 'typescript', 'full')) v(name, repo, language, analysis_mode)", fixture=False)
+def namespaces(t: Tables) -> DataFrame:
+    """The registry after three loads and one reset."""
+    store = GraphStore(t.spark, fresh_folder(t.spark, "store"))
+    rows = _event_rows(t).filter("type = 'node' AND seq < 200")
+    for name, mode in (("a", "full"), ("b", "fast"), ("c", "other")):
+        store.load(rows, name, f"repo-{name}", "typescript", mode)
+    store.reset("a")
+    return store.namespaces().select("name", "repo", "language", "analysis_mode")
+
+
+@query("s11_reset_all", "SELECT 0 AS namespaces, 0 AS nodes, 0 AS edges FROM events LIMIT 1", fixture=False)
+def reset_all(t: Tables) -> DataFrame:
+    """Nothing is left after all namespaces are reset."""
+    store = GraphStore(t.spark, fresh_folder(t.spark, "store"))
+    store.load(_event_rows(t).filter("type = 'node' AND seq < 100"), "a")
+    store.reset_all()
+    left = store.status()
+    return t.spark.createDataFrame([(store.namespaces().count(), left["nodes"], left["edges"])], "namespaces int, nodes int, edges int")
+
+
+query("s9_upsert", """
+SELECT coalesce(o.user_id, n.user_id) AS user_id, coalesce(n.name, o.name) AS name FROM
+  (SELECT user_id, arg_max(event_type, event_id) AS name FROM events WHERE event_id % 3 = 0 GROUP BY user_id) o FULL JOIN (SELECT user_id, CASE WHEN user_id % 4 = 0 THEN NULL ELSE arg_max(event_type, event_id) END AS name FROM events WHERE event_id % 5 = 0 GROUP BY user_id) n ON o.user_id = n.user_id""", fixture=False)(
+    lambda t: E.upsert(t.raw("events").filter("event_id % 3 = 0").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("name")), t.raw("events").filter("event_id % 5 = 0").groupBy("user_id").agg(F.when(F.col("user_id") % 4 != 0, F.max_by("event_type", "event_id")).alias("name")), ["user_id"]))
+query("k13_prefixed", "SELECT id, id AS same, CASE WHEN name IS NULL THEN NULL ELSE 'package:' || name END AS pkg FROM g_nodes WHERE label IN ('Package', 'File')")(lambda t: t.nodes.filter("label IN ('Package', 'File')").select("id", F.when(F.col("label") == "File", E.prefixed("file", F.col("id"))).otherwise(E.prefixed("package", F.col("id"))).alias("same"), E.prefixed("package", F.col("name")).alias("pkg")))
+
+
+@query("s20_export", """
+SELECT 'node' AS family, label AS kind, id AS a, CAST(NULL AS VARCHAR) AS b, CAST(1 AS BIGINT) AS n FROM g_nodes UNION ALL SELECT 'edge', type, src, dst, count(*) FROM g_edges GROUP BY ALL
+UNION ALL SELECT 'node count', coalesce(label, 'Unknown'), NULL, NULL, count(*) FROM g_nodes GROUP BY ALL UNION ALL SELECT 'edge count', type, NULL, NULL, count(*) FROM g_edges GROUP BY ALL""")
+def exported(t: Tables) -> DataFrame:
+    """The whole graph written as tables and read back: all nodes, all edges, all counts."""
+    path = fresh_folder(t.spark, "export")
+    export.export(t.nodes, t.edges, path)
+    none, one = F.lit(None).cast("string"), F.lit(1).cast("long")
+    nodes = t.spark.read.json(f"{path}/nodes").select(F.lit("node").alias("family"), F.col("label").alias("kind"), F.col("id").alias("a"), none.alias("b"), one.alias("n"))
+    edges = t.spark.read.json(f"{path}/edges").groupBy(F.lit("edge").alias("family"), F.col("type").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = t.spark.read.json(f"{path}/counts").select(F.concat("family", F.lit(" count")).alias("family"), F.col("name").alias("kind"), none.alias("a"), none.alias("b"), "n")
+    return nodes.unionByName(edges).unionByName(counts)
+
+
+# ---- extractor -------------------------------------------------------------------------------------------------
+
+_TREE = """
+x_files AS (
+  SELECT concat('packages/', lower(n_name), '/lib/s', CAST(s_suppkey AS STRING), '.ts') AS path, s_suppkey AS k, lower(n_name) AS nat,
+         concat('import { f', CAST(s_suppkey + 1 AS STRING), ' } from "./s', CAST(s_suppkey + 1 AS STRING), '";', chr(10), 'import r from "react";', chr(10), 'export function f', CAST(s_suppkey AS STRING), '(a) {', chr(10), '  const key = process.env.KEY_', CAST(s_suppkey % 5 AS STRING), ';', chr(10), '  return key;', chr(10), '}', chr(10)) AS content
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+x_tests AS (SELECT concat('packages/', nat, '/lib/s', CAST(k AS STRING), '.test.ts') AS path, k, nat, concat('import { f', CAST(k AS STRING), ' } from "./s', CAST(k AS STRING), '";', chr(10), 'test("case ', CAST(k AS STRING), '", () => {', chr(10), '  f', CAST(k AS STRING), '(1);', chr(10), '});', chr(10)) AS content FROM x_files WHERE k % 3 = 0),
+x_pages AS (SELECT concat('packages/', nat, '/app/p', CAST(k AS STRING), '/page.tsx') AS path, k, nat, concat('export default function Page', CAST(k AS STRING), '() {', chr(10), '  return null;', chr(10), '}', chr(10)) AS content FROM x_files WHERE k % 4 = 0),
+x_types AS (SELECT concat('packages/', nat, '/lib/t', CAST(k AS STRING), '.d.ts') AS path, k, nat, 'declare const t: number;' AS content FROM x_files WHERE k % 5 = 0),
+x_manifests AS (SELECT concat('packages/', lower(n_name), '/package.json') AS path, n_nationkey AS k, lower(n_name) AS nat, concat('{"name": "@acme/', lower(n_name), '", "dependencies": {"react": "1"', CASE WHEN n_nationkey > 0 THEN ', "@acme/nation_0": "2"' ELSE '' END, '}}') AS content FROM nation),
+x_tree AS (SELECT * FROM x_files UNION ALL SELECT * FROM x_tests UNION ALL SELECT * FROM x_pages UNION ALL SELECT * FROM x_types UNION ALL SELECT * FROM x_manifests)"""
+_EXTRACTED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _extracted(t: Tables) -> DataFrame:
+    """Events of a source tree made of the suppliers and nations, written once a session."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _EXTRACTED:
+        for name in ("supplier", "nation"):
+            t.raw(name).createOrReplaceTempView(name)
+        files = t.spark.sql(f"WITH {_TREE} SELECT path, content FROM x_tree")
+        path = fresh_folder(t.spark, "extracted")
+        X.extract(files, relations=True).write.parquet(path)
+        _EXTRACTED[key] = t.spark.read.parquet(path)
+    return _EXTRACTED[key]
+
+
+def _tree_query(name: str, sql: str) -> Callable:
+    return query(name, f"WITH {_TREE}{',' if sql.startswith('WITH ') else ''} {sql.removeprefix('WITH ')}", fixture=False)
+
+
+def _edges_of(t: Tables, *rels: str) -> DataFrame:
+    return _extracted(t).filter(F.col("type") == "edge").filter(F.col("rel").isin(*rels)).select("rel", F.col("from").alias("src"), F.col("to").alias("dst")).distinct()
+
+
+_tree_query("x6_files", "SELECT 'file:' || path AS id, 'package:@acme/' || nat AS package_id, CASE WHEN path LIKE '%.test.ts' THEN 'test' WHEN path LIKE '%/page.tsx' THEN 'page' ELSE 'source' END AS kind FROM x_tree WHERE path NOT LIKE '%.json' AND path NOT LIKE '%.d.ts'")(
+    lambda t: _extracted(t).filter("label = 'File'").select("id", F.col("props")["packageId"].alias("package_id"), F.col("props")["kind"].alias("kind")))
+_tree_query("x2_packages", "SELECT 'package:@acme/' || nat AS id, 'packages/' || nat AS root FROM x_manifests")(lambda t: _extracted(t).filter("label = 'Package'").select("id", F.col("props")["root"].alias("root")))
+_tree_query("x3_contains", "SELECT 'CONTAINS_FILE' AS rel, 'package:@acme/' || nat AS src, 'file:' || path AS dst FROM x_tree WHERE path NOT LIKE '%.json' AND path NOT LIKE '%.d.ts' UNION SELECT 'CONTAINS_FILE', 'project:packages/' || nat, 'file:' || path FROM x_tree WHERE path NOT LIKE '%.json' AND path NOT LIKE '%.d.ts'")(lambda t: _edges_of(t, "CONTAINS_FILE"))
+_tree_query("x8_imports", "SELECT DISTINCT 'IMPORTS_FILE' AS rel, 'file:' || a.path AS src, 'file:' || b.path AS dst FROM x_files a JOIN x_files b ON b.nat = a.nat AND b.k = a.k + 1 UNION SELECT 'IMPORTS_FILE', 'file:' || a.path, 'file:' || b.path FROM x_tests a JOIN x_files b ON b.k = a.k")(lambda t: _edges_of(t, "IMPORTS_FILE"))
+_tree_query("x9_package_imports", "SELECT 'IMPORTS_EXTERNAL_PACKAGE' AS rel, 'file:' || path AS src, 'external:npm:react' AS dst FROM x_files UNION ALL SELECT 'USES_EXTERNAL_PACKAGE', 'package:@acme/' || nat, 'external:npm:react' FROM x_manifests UNION ALL SELECT 'DEPENDS_ON_PACKAGE', 'package:@acme/' || nat, 'package:@acme/nation_0' FROM x_manifests WHERE k > 0")(lambda t: _edges_of(t, "IMPORTS_EXTERNAL_PACKAGE", "USES_EXTERNAL_PACKAGE", "DEPENDS_ON_PACKAGE"))
+_tree_query("x10_symbols", "SELECT 'symbol:' || path || '#f' || k AS id, 'f' || k AS name, 3 AS line, true AS exported FROM x_files UNION ALL SELECT 'symbol:' || path || '#Page' || k, 'Page' || k, 1, true FROM x_pages")(
+    lambda t: _extracted(t).filter("label = 'Symbol' AND props['ownerId'] IS NULL").select("id", F.col("props")["name"].alias("name"), F.col("props")["startLine"].cast("int").alias("line"), F.col("props")["exported"].cast("boolean").alias("exported")))
+_tree_query("x11_children", "SELECT 'HAS_PARAMETER' AS rel, 'symbol:' || path || '#f' || k AS src, 'a' AS name FROM x_files UNION ALL SELECT 'DECLARES_VARIABLE', 'symbol:' || path || '#f' || k, 'key' FROM x_files")(
+    lambda t: _edges_of(t, "HAS_PARAMETER", "DECLARES_VARIABLE").join(_extracted(t).filter("label = 'Symbol'").select(F.col("id").alias("dst"), F.col("props")["name"].alias("name")), "dst").select("rel", "src", "name"))
+_tree_query("x12_imported_symbols", "SELECT DISTINCT 'IMPORTS_SYMBOL' AS rel, 'file:' || a.path AS src, 'symbol:' || b.path || '#f' || b.k AS dst FROM x_files a JOIN x_files b ON b.nat = a.nat AND b.k = a.k + 1 UNION SELECT 'IMPORTS_SYMBOL', 'file:' || a.path, 'symbol:' || b.path || '#f' || b.k FROM x_tests a JOIN x_files b ON b.k = a.k")(lambda t: _edges_of(t, "IMPORTS_SYMBOL"))
+_tree_query("x14_config_keys", "SELECT 'USES_CONFIG_KEY' AS rel, 'file:' || path AS src, 'config:KEY_' || (k % 5) AS dst FROM x_files")(lambda t: _edges_of(t, "USES_CONFIG_KEY"))
+_tree_query("x15_tests", "SELECT 'TESTS_FILE' AS rel, 'test:' || path || '#case ' || k AS src, 'file:' || path AS dst FROM x_tests")(lambda t: _edges_of(t, "TESTS_FILE"))
+_tree_query("x16_routes", "SELECT path, '/p' || k AS route FROM x_pages")(lambda t: _extracted(t).filter("label = 'Route'").select(F.col("props")["filePath"].alias("path"), F.col("props")["routePath"].alias("route")))
+_tree_query("x17_validation_warning", "SELECT 'warning' AS type, count(*) > 0 AS some FROM x_tree")(lambda t: _extracted(t).filter("type = 'warning'").groupBy("type").agg((F.count(F.lit(1)) > 0).alias("some")))

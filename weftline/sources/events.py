@@ -18,12 +18,26 @@ NAME = r"^(?!.*__)[A-Za-z_]+$"
 
 def parse(lines: DataFrame) -> DataFrame:
     """Rows of ``value`` to events with ``seq``-free columns; text that is no JSON object becomes a row of nulls."""
-    return lines.select(F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("e"), "value").select("e.*", F.col("value").alias("raw"))
+    more = [c for c in lines.columns if c != "value"]
+    return lines.select(F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("e"), "value", *more).select("e.*", F.col("value").alias("raw"), *more)
+
+
+def placed_lines(raw: DataFrame) -> DataFrame:
+    """value and ``at``: the file and the block of the file. ``raw`` is what ``read.text`` or ``readStream.text`` gives."""
+    return raw.select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).alias("at"))
+
+
+def place() -> Column:
+    """The order of placed lines: by file name, block, and a number that rises within the block.
+
+    Spark reads files in an order of its own, larger ones first, so a row number alone is no order.
+    """
+    return F.struct("at.file", "at.block", F.monotonically_increasing_id().alias("row"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a file or folder, numbered in their order."""
-    return parse(spark.read.text(path)).withColumn("seq", F.monotonically_increasing_id())
+    """Events of a file or folder; ``seq`` is their order: by file name, then by line."""
+    return parse(placed_lines(spark.read.text(path))).withColumn("seq", place()).drop("at")
 
 
 def error(protocol: str = PROTOCOL) -> Column:

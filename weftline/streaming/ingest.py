@@ -1,7 +1,8 @@
 """Streaming ingest: a folder of NDJSON event files into the store, batch by batch.
 
 Raw edges go to a bronze table and are attached when read, as the node that an edge needs may arrive in a later batch.
-Batches are idempotent: a batch's id names its folder, so a replay overwrites what the first try wrote.
+Batches are idempotent: a batch's id names its folder, so a replay overwrites what the first try wrote. Later batches win
+over earlier ones, and within a batch the order is by file name and line.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from weftline.sources import events as E
 
 def _write(batch: DataFrame, number: int, root: str, namespace: str) -> None:
     good, bad = E.split_valid(batch)
-    good = good.withColumn("seq", F.monotonically_increasing_id() + F.lit(number) * F.lit(1 << 40))
+    good = good.withColumn("seq", F.struct(F.lit(number).cast("long").alias("batch"), E.place().alias("place"))).drop("at")
     E.nodes_of(good, namespace).write.mode("overwrite").parquet(f"{root}/nodes/batch={number}")
     E.edges_of(good, namespace).write.mode("overwrite").parquet(f"{root}/edges/batch={number}")
     bad.select("raw", "error").write.mode("overwrite").parquet(f"{root}/rejected/batch={number}")
@@ -23,7 +24,7 @@ def _write(batch: DataFrame, number: int, root: str, namespace: str) -> None:
 
 def start(spark: SparkSession, source: str, root: str, namespace: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Start the stream; with ``available_now`` it ends when all files are read."""
-    events = E.parse(spark.readStream.text(source))
+    events = E.parse(E.placed_lines(spark.readStream.text(source)))
     writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: _write(df, n, root, namespace))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
