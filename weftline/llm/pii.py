@@ -32,18 +32,25 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IDENTIFIER = r"(?:(?<![A-Za-z0-9@._%+-])|\G)(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]++"
 GROUPED = r"(?<![A-Za-z0-9@._%+-])\+?+\(?+[0-9]++(?:\)?+[\x20.-]?+\(?+[0-9]++)++(?![A-Za-z@_%+])"
 ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE, MIN_INSTANCE = 3, 5, 0.8, 0.8
-CONTEXT = 80
+CONTEXT, BLOCK = 80, 256
 NO_SPANS = "array<struct<kind:int,start:bigint,end:bigint,found:string>>"
 NO_CANDIDATES = "array<struct<start:bigint,end:bigint,found:string>>"
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body's lambdas read it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column, regex: str) -> Column:
-    """start, end and found of each match."""
-    pieces = F.split(text, regex, -1)
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    # the k-th match lies between the k-th piece and the next; one array has them in turn
-    zipped = F.arrays_zip(pieces.alias("piece"), found.alias("found"))
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(NO_CANDIDATES).alias("out"))
+    """start, end and found of each match.
+
+    The k-th match lies between the k-th piece and the next, so lengths add up to positions. They are added up in blocks of
+    ``BLOCK``, as an array that grows by an element is copied each time.
+    """
+    zipped = F.arrays_zip(F.split(text, regex, -1).alias("piece"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("found"))
+    zero = F.lit(0).cast("long")
+    width = lambda x: F.length(x["piece"]) + F.coalesce(F.length(x["found"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["pos"] + F.length(x["piece"])
@@ -51,8 +58,17 @@ def matches(text: Column, regex: str) -> Column:
         new = F.struct(at.alias("start"), end.alias("end"), x["found"].alias("found"))
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(new)).alias("out"))
 
+    def located(blocks: Column) -> Column:
+        widths = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, x: acc + width(x)))
+        start = F.struct(zero.alias("pos"), F.array().cast("array<bigint>").alias("out"))
+        before = F.aggregate(widths, start, lambda acc, w: F.struct((acc["pos"] + w).alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")), lambda acc: acc["out"])
+        own = lambda b: F.struct(b["at"].alias("pos"), F.array().cast(NO_CANDIDATES).alias("out"))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), before.alias("at")), lambda b: F.aggregate(b["block"], own(b), step, lambda acc: acc["out"])))
+
+    cut = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda k: F.slice(z, k * BLOCK + 1, F.lit(BLOCK)))
+    every = _bound(zipped, lambda z: _bound(cut(z), located))
     # the piece after the last match is an element without a match
-    return F.filter(F.aggregate(zipped, start, step, lambda acc: acc["out"]), lambda x: x["found"].isNotNull())
+    return F.filter(every, lambda x: x["found"].isNotNull())
 
 
 def _digits(found: Column) -> Column:
@@ -94,14 +110,9 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body's lambdas read it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _spots(text: Column) -> Column:
-    """base (the spans) and spots: every base span, and every candidate that meets none, with up to ``CONTEXT`` characters
-    before and after it. Blocks of the text give these, so a place costs the same wherever it lies."""
+    """base (the spans) and spots: every base span and every candidate, with up to ``CONTEXT`` characters before and after
+    it. Blocks of the text give these, so a place costs the same wherever it lies."""
     none = F.array().cast(NO_CANDIDATES)
     grouped = F.when(text.rlike(r"[0-9][\x20().-]{1,3}[0-9]"), matches(text, GROUPED)).otherwise(none)
     grouped = F.filter(grouped, lambda c: c["found"].rlike(r"[\x20()]"))  # the others are tokens
@@ -110,9 +121,8 @@ def _spots(text: Column) -> Column:
     cands = F.filter(F.concat(tokens, grouped), lambda c: F.length(c["found"]) >= 5)
 
     def spots(base: Column, cands: Column) -> Column:
-        free = F.filter(cands, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
         place = lambda x, kind: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), kind.alias("kind"))
-        every = F.concat(F.transform(base, lambda b: place(b, b["kind"])), F.transform(free, lambda c: place(c, F.lit(None).cast("int"))))
+        every = F.concat(F.transform(base, lambda b: place(b, b["kind"])), F.transform(cands, lambda c: place(c, F.lit(None).cast("int"))))
         blocks = F.when(F.size(every) > 0, F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CONTEXT}}}"), F.lit(0)))
 
         def block(all_: Column, i: Column) -> Column:
@@ -129,6 +139,18 @@ def _spots(text: Column) -> Column:
     return _bound(base_spans(text), lambda base: F.struct(base.alias("base"), _bound(cands, lambda c: spots(base, c)).alias("spots")))
 
 
+def _free(places: DataFrame) -> DataFrame:
+    """Without the candidates that meet a base span; ``places`` has h and c, and one text's places are sorted once."""
+    base = F.col("c.kind").isNotNull()
+    text = Window.partitionBy("h").orderBy("c.start", "c.end", ~base)  # at one place the base span comes first
+    reach = F.max(F.when(base, F.col("c.end"))).over(text.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = Window.partitionBy("h").orderBy(F.desc("c.start"), F.desc("c.end"))
+    follows = F.min(F.when(base, F.col("c.start"))).over(ahead.rowsBetween(Window.unboundedPreceding, -1))
+    marked = places.withColumn("reach", reach).withColumn("follows", follows)
+    meets = F.coalesce(F.col("reach") > F.col("c.start"), F.lit(False)) | F.coalesce(F.col("follows") < F.col("c.end"), F.lit(False))
+    return marked.filter(base | ~meets).drop("reach", "follows")
+
+
 def render(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*(F.lit(k) for k in KINDS))
@@ -191,7 +213,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = keep(spark, rows.select("id", F.md5("text").alias("h"), _spots(F.col("text")).alias("x")).select("id", "h", "x.base", "x.spots"), "spans")
     once = rows.filter(F.size("spots") > 0).groupBy("h").agg(F.first("spots").alias("spots"))
-    places = once.select("h", F.explode("spots").alias("c"))
+    places = _free(once.select("h", F.explode("spots").alias("c")))
     places = places.select("h", "c.start", "c.end", "c.found", "c.kind", _patterns(F.col("c.before"), F.col("c.after")).alias("patterns"))
     new = discover(keep(spark, places, "places"), rounds)
     new = new.groupBy(F.col("h").alias("k")).agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("new"))
