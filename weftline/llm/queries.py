@@ -59,7 +59,7 @@ URL_RULES = [
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged."""
-    return url_rules.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+    return url_rules.judge_urls(_table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
 
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
