@@ -138,14 +138,15 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce((SELECT min(seen) FROM
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body, text FROM documents),
 x AS (SELECT doc_id, body, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM d WHERE body <> ''),
 k AS MATERIALIZED (SELECT *, array_to_string(list_transform(list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS norm FROM x),
-o AS (SELECT DISTINCT body, norm FROM k WHERE norm <> ''),
+o AS MATERIALIZED (SELECT DISTINCT md5(body) AS body, norm FROM k WHERE norm <> ''),
 c AS (SELECT norm, count(*) AS docs, string_split(norm, ' ') AS toks FROM o GROUP BY norm),
 f AS (SELECT norm, docs, toks, concat(len(toks), ':', array_to_string(toks[1:3], ' ')) AS leaf FROM c),
 g AS (SELECT leaf FROM f GROUP BY leaf HAVING sum(docs) >= 20),
 u AS (SELECT leaf, norm, docs, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM f WHERE leaf IN (SELECT leaf FROM g)),
-q AS (SELECT *, sum(docs) OVER (PARTITION BY leaf, pos, tok) >= 20 AS fixed FROM u),
+y AS MATERIALIZED (SELECT leaf, pos, tok FROM u JOIN o ON o.norm = u.norm GROUP BY leaf, pos, tok HAVING count(DISTINCT body) >= 20),
+q AS (SELECT u.*, y.tok IS NOT NULL AS fixed FROM u LEFT JOIN y ON y.leaf = u.leaf AND y.pos = u.pos AND y.tok = u.tok),
 t AS (SELECT leaf, norm, docs, string_agg(CASE WHEN fixed THEN tok ELSE '<*>' END, ' ' ORDER BY pos) AS template, count(*) FILTER (fixed AND tok <> '<*>') AS kept, count(*) AS n FROM q GROUP BY leaf, norm, docs),
-v AS (SELECT leaf, template FROM t WHERE 100 * kept >= 60 * n GROUP BY leaf, template HAVING sum(docs) >= 20),
+v AS (SELECT leaf, template FROM t JOIN o ON o.norm = t.norm WHERE 100 * kept >= 60 * n GROUP BY leaf, template HAVING count(DISTINCT body) >= 20),
 b AS MATERIALIZED (SELECT norm FROM t SEMI JOIN v ON t.leaf = v.leaf AND t.template = v.template WHERE 100 * kept >= 60 * n),
 m AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (norm IN (SELECT norm FROM b)) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (norm NOT IN (SELECT norm FROM b)), '') AS kept FROM k GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(kept, d.text) AS text FROM d LEFT JOIN m ON m.doc_id = d.doc_id
