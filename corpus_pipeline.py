@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm import decontam, line_templates, mixing, ngram_join, quality
-from weftline.llm.scratch import keep
+from weftline.llm.scratch import apart, discard, keep
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -19,7 +20,11 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Each row is judged by its own text. A null or empty text fails the base rules; repeated rows stay or go together; a
+    posterior at the threshold is kept. An empty table gives an empty table.
+    """
     return quality.judge(_packed(docs), ["row"]).filter("kept").select("row.*")
 
 
@@ -31,33 +36,64 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A key of the row itself: equal for rows that are equal, and for no others. The id leads, null last."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(*plain).alias("row"), F.md5("text").alias("md5"))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is in ``gone`` (a written table with ``key``). Rows of other keys aren't shuffled."""
+    wanted = keep(docs.sparkSession, gone.select(F.col("key.row").alias("_row")).distinct(), "gone-rows")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _row_key(docs).alias("_key")).withColumn("_row", F.col("_key.row"))
+    rest, some = apart(rows, wanted, "_row")
+    # no anti-join, which the optimizer would move below the bitmap
+    some = some.join(gone.select(F.col("key").alias("_gone"), F.lit(True).alias("_hit")).distinct(), F.col("_key").eqNullSafe(F.col("_gone")), "left").filter("_hit IS NULL")
+    return rest.select("row").unionByName(some.select("row")).select("row.*")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id. A document without an id or words stays."""
-    found = keep(spark, ngram_join.join(docs), "near-duplicates")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("_again"))
+    """One document of each component of Jaccard 0.8 over five-word shingles: the one with the smallest id.
+
+    Rows stand for themselves, also where they share an id or have none: of rows that repeat id and text the smallest by
+    their other columns stays, of rows that are equal in all columns one. A document without words stays, and so does each
+    repeat of it. An empty table gives an empty table.
+    """
+    keyed = docs.select(_row_key(docs).alias("key"), F.col("text"))
+    found = keep(spark, ngram_join.join(keyed, "key", size=5, percent=80), "near-duplicates")
+    words = found.filter("n_shingles > 0")
+    gone = keep(spark, words.filter(~F.col("key").eqNullSafe(F.col("component_id"))).select("key").distinct(), "gone")
+    rest = _without(docs, gone)
+    again = keep(spark, words.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "again")
     if again.isEmpty():
         return rest
-    same = rest["doc_id"].eqNullSafe(again["_again"])  # rows that repeat an id: equal rows are copies, so one stays
-    return rest.join(again, same, "left_anti").unionByName(rest.join(again, same, "left_semi").dropDuplicates())
+    packed = rest.select(F.struct(*(F.col(f"`{c}`") for c in rest.columns)).alias("row"), _row_key(rest).alias("_key"))
+    one = packed.join(again, F.col("_key").eqNullSafe(F.col("key")), "left_semi").dropDuplicates(["_key"])
+    return _without(rest, again).unionByName(one.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    found = decontam.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """Documents that hold no window of a benchmark item.
+
+    Rows stand for themselves: repeats of a row, of an id, and rows without an id each stay or go by their own text. A null
+    or empty text stays, and with an empty benchmark everything does. An empty table gives an empty table.
+    """
+    keyed = docs.select(_row_key(docs).alias("key"), F.col("text"))
+    found = decontam.find(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "key")
+    return _without(docs, keep(spark, found.filter("contaminated").select("key"), "contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``; columns of these
-    names in the input give way."""
+    names in the input give way.
+
+    Rows are carried through the mix, so each has its own size and copies, also where ids are null or repeat. A document
+    without words is never taken. An empty table gives an empty table.
+    """
     added = ["size", "source_size", "target", "copies", "taken"]
-    side = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), *added).dropDuplicates(["_i", "_s"])
     rows = docs.drop(*added)
-    both = rows.join(side, rows["doc_id"].eqNullSafe(side["_i"]) & rows["source"].eqNullSafe(side["_s"]))
-    return both.select(*(rows[c] for c in rows.columns), *(side[c] for c in added))
+    packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col("doc_id"), F.col("text"), F.col("source"))
+    return mixing.mix(packed, carry=("row",)).filter("copies > 0").select("row.*", *added)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -75,6 +111,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = keep(spark, stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, keep(spark, stage(spark, docs, sf_dir), name)
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
