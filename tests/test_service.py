@@ -42,7 +42,10 @@ def ask(tools, method, **params):
     ("count_literal_files", {"query": "two"}, "files (3)"), ("search_code", {"query": "two"}, "src/b.ts"), ("find_symbol", {"name": "two"}, "two"), ("find_file", {"path": "b.ts"}, "src/b.ts"),
     ("get_relations", {"id": "symbol:src/a.ts#one", "direction": "out"}, "src/b.ts#two"), ("get_dependents", {"id": "symbol:src/b.ts#two"}, "src/a.ts#one"), ("find_paths", {"from": "file:src/a.ts", "to": "file:src/b.ts", "depth": 4}, "paths (1)"),
     ("list_node_types", {}, "Symbol"), ("open_file_excerpt", {"path": "src/a.ts", "endLine": 2}, "return two()"), ("open_symbol_body", {"id": "symbol:src/b.ts#two"}, "process.env"), ("prepare_feature_context", {"query": "two"}, "readFirst"),
-    ("search_literal", {"query": "KEY", "format": "json"}, "runtime_env_read"), ("reindex", {}, "durationMs"),
+    ("search_literal", {"term": "KEY", "format": "json"}, "runtime_env_read"), ("reindex", {"timeoutSec": 900, "paths": ["src/b.ts"]}, "durationMs"), ("get_namespace_info", {}, "analysisMode"),
+    ("analyze_callsite_contract", {"callee": "two", "requiredBeforeCall": "one", "format": "json"}, '"total": 2'), ("find_env_usages", {"envName": "KEY"}, "src/b.ts"), ("find_paths", {"fromId": "file:src/a.ts", "toId": "file:src/b.ts", "depth": 4}, "paths (1)"),
+    ("prepare_change_plan", {"query": "two", "useDirty": True}, "mustEdit"), ("prepare_rename_plan", {"packageName": "@x/kiln", "includeCiJobNames": False, "format": "json"}, "APP_DIR=kiln"), ("analyze_function_impact", {"symbol": "two", "pathPrefix": "src"}, "openNext"),
+    ("get_relations", {"targetId": "symbol:src/a.ts#one", "direction": "outbound"}, "trails"), ("open_symbol_body", {"symbolId": "symbol:src/b.ts#two", "contextLines": 0}, "process.env"), ("analyze_path_set_impact", {"paths": ["src/b.ts"]}, "mustVerify"),
 ])
 def test_tools(tools, name, args, want):
     answer = ask(tools, "tools/call", name=name, arguments=args)
@@ -80,6 +83,25 @@ def test_without_graph(spark, tools):
     assert bare.call("reindex", {})["ok"] is False
 
 
+def test_scope_and_limits(spark, tools):
+    """Filters leave files out, dirty paths are seeds, a rebuild that takes too long is cancelled, schemas have types."""
+    import time
+
+    scoped = tools.call("analyze_function_impact", {"symbol": "two", "pathPrefix": "lib"})
+    assert scoped["files"] == [] and tools.call("analyze_function_impact", {"symbol": "two"})["fileRelations"]
+    slow = cli.Tools(spark, tools.lines, rebuild=lambda _: {"n": time.sleep(5) or 1})
+    assert slow._within(0.2)["timedOut"] is True and slow._within(30) == {"ok": True, "n": 1}
+    assert cli.Tools(spark, tools.lines, rebuild=lambda _: 1 / 0)._within(5)["ok"] is False
+    dirty = cli.Tools(spark, tools.lines, tools.nodes, tools.edges)
+    dirty._dirty = lambda: ["src/b.ts"]
+    found = dirty.call("analyze_path_set_impact", {"useDirty": True})
+    assert found["seedCount"] == 1 and found["stale"] is False and "src/b.test.ts" in found["mustVerify"]
+    assert dirty.call("analyze_function_impact", {"symbol": "two"})["confidence"] == "low" and dirty.call("prepare_change_plan", {"useDirty": True})["mustEdit"] == ["src/b.ts"]
+    kinds = {t["name"]: t["inputSchema"] for t in tools.listing()}
+    assert kinds["reindex"]["properties"]["timeoutSec"] == {"type": "integer"} and kinds["prepare_change_plan"]["properties"]["symbols"] == {"type": "array", "items": {"type": "string"}}
+    assert kinds["analyze_callsite_contract"]["required"] == ["callee", "requiredBeforeCall"] and kinds["prepare_change_plan"]["required"] == []
+
+
 def test_format():
     assert format.options({"raw": True, "detail": "summary"}) == {"detail": "summary", "json": True, "items": 20} and format.options({"format": "json"})["detail"] == "summary" and format.options({"detail": "files", "raw": True})["detail"] == "files"
     text = format.render("t", {"files": [{"path": f"f{i}"} for i in range(50)]}, {"maxItems": 5})

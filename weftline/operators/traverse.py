@@ -13,7 +13,7 @@ from weftline.operators.graph import MIN_CONFIDENCE, confidence
 
 MAX_DEPTH, MAX_LIMIT = 8, 200
 #: Synonyms of the directions.
-DIRECTIONS = {"out": "forward", "outgoing": "forward", "downstream": "forward", "forward": "forward", "in": "reverse", "incoming": "reverse", "upstream": "reverse", "reverse": "reverse", "both": "both", "": "both"}
+DIRECTIONS = {"out": "forward", "outbound": "forward", "inbound": "reverse", "outgoing": "forward", "downstream": "forward", "forward": "forward", "in": "reverse", "incoming": "reverse", "upstream": "reverse", "reverse": "reverse", "both": "both", "": "both"}
 
 
 def options(depth: int = 1, limit: int = 20, min_confidence: float = 0.0, direction: str = "both") -> dict:

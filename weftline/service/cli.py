@@ -53,7 +53,7 @@ def tools(spark: SparkSession, store: GraphStore, repo: str, namespace: str) ->
     """The tools over a stored namespace and the working copy."""
     files, _ = tree(spark, repo)
     nodes, edges = graph_tables(store, namespace)
-    return Tools(spark, T.scan_lines(files).persist(), nodes, edges, repo, lambda _: index(spark, store, repo, namespace))
+    return Tools(spark, T.scan_lines(files).persist(), nodes, edges, repo, lambda _: index(spark, store, repo, namespace), lambda: store.namespace(namespace))
 
 
 def main(argv: list[str] | None = None) -> int:
