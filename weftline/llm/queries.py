@@ -42,10 +42,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated paragraphs of every document: how many it loses, their spans and the documents that keep them."""
+    """Repeated passages of every document: how many others have too, the spans it loses and the documents that keep them."""
     out = paragraph_dedup.find(_table(spark, sf_dir, "documents"))
     removed = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return out.select("doc_id", "n_paragraphs", "n_removed", removed.alias("removed"), "kept_in")
+    return out.select("doc_id", "n_shared", "n_removed", "chars_removed", "n_paragraphs", removed.alias("removed"), "kept_in")
 
 
 URL_RULES = [
