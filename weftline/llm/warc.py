@@ -123,7 +123,8 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, date: str, part_bytes:
             if out is None:
                 name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                 system.create_dir(folder)
-                out = system.open_output_stream(f"{folder}/{name}")
+                # the members are compressed already
+                out = system.open_output_stream(f"{folder}/{name}", compression=None)
                 size += out.write(_member(_info(name, date))) or 0
             member = _member(memoryview(column[i].as_buffer()).tobytes() + b"\r\n\r\n")
             out.write(member)
@@ -215,7 +216,7 @@ def _inflate(chunks: Iterator[bytes], step: int = 1 << 20) -> Iterator[bytes]:
 
 def _stream(uri: str, step: int = 1 << 20) -> Iterator[bytes]:
     system, path = _place(uri)
-    with system.open_input_stream(path) as f:
+    with system.open_input_stream(path, compression=None) as f:
         while piece := f.read(step):
             yield piece
 
