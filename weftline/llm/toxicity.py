@@ -70,14 +70,15 @@ def words_of(text: str | None) -> set[str]:
 Groups = tuple[tuple[str, ...], ...]
 
 
-def swaps(words: set[str], groups: Groups, learnt: tuple[str, ...] = ()) -> list[tuple[list[int], list[int]]]:
+def swaps(words: set[str], groups: Groups, learnt: dict[str, list[int]]) -> list[tuple[list[int], list[int]]]:
     """Features that go and that come when an identity term of a text is swapped for each other one of its group. A learnt
-    term is swapped for its two neighbours in the list, and as a word alone: a stem that it shares with insults stays."""
+    term, which comes with its own features, is swapped for its two neighbours in the list."""
     out = [(word_features(a), word_features(b)) for group in groups for a in group if a in words for b in group if b != a]
     if len(learnt) > 1:
-        place = {w: i for i, w in enumerate(learnt)}
+        names = list(learnt)
+        place = {w: i for i, w in enumerate(names)}
         for a in sorted(words & place.keys()):
-            out += [([_bucket("w" + a)], [_bucket("w" + learnt[(place[a] + k) % len(learnt)])]) for k in ((1, -1) if len(learnt) > 2 else (1,))]
+            out += [(learnt[a], learnt[names[(place[a] + k) % len(names)]]) for k in ((1, -1) if len(names) > 2 else (1,))]
     return out
 
 
@@ -155,7 +156,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=["word", "bucket", "n", "t"])
 
 
-def _featurize(batches: Iterator[pa.RecordBatch], place: dict[int, int], groups: Groups, learnt: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+def _featurize(batches: Iterator[pa.RecordBatch], place: dict[int, int], groups: Groups, learnt: dict[str, list[int]]) -> Iterator[pa.RecordBatch]:
     nested = pa.list_(pa.list_(pa.int32()))
     known = lambda features: sorted({place[b] for b in features if b in place})
     for batch in batches:
@@ -190,15 +191,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     best = best.orderBy(F.desc("z"), "bucket").limit(MOST_FEATURES).select("bucket", "odds").collect()
     best.sort(key=lambda r: r["bucket"])
     both = counts.filter(F.col("word").isNotNull() & (F.col("t") >= MIN_TEXTS) & (clear >= MIN_TEXTS) & F.col("odds").between(MIN_LOG_ODDS, MAX_ODDS))
-    learnt = tuple(r["word"] for r in both.orderBy(F.desc("n"), "word").limit(LEARNT_TERMS).select("word").collect())
+    learnt = {r["word"]: r["n"] for r in both.orderBy(F.desc("n"), "word").limit(LEARNT_TERMS).select("word", "n").collect()}
+    # a prefix belongs to a term if hardly any other word has it; a stem that the term shares with insults doesn't
+    wanted = sorted({b for w in learnt for b in word_features(w)})
+    times = {r["bucket"]: r["n"] for r in counts.filter(F.col("bucket").isin(wanted)).select("bucket", "n").collect()} if wanted else {}
+    own = {w: [b for b in word_features(w) if times.get(b, 0) <= 1.25 * n] for w, n in learnt.items()}
     used, scale = np.array([r["bucket"] for r in best], np.int64), np.array([r["odds"] for r in best], float)
     place = {int(b): i for i, b in enumerate(used)}
     kind = docs.schema[id_col].dataType.simpleString()
-    found = texts.mapInArrow(lambda it: _featurize(it, place, groups, learnt), f"id {kind}, toxic int, features array<int>, before array<array<int>>, after array<array<int>>").toArrow()
+    found = texts.mapInArrow(lambda it: _featurize(it, place, groups, own), f"id {kind}, toxic int, features array<int>, before array<array<int>>, after array<array<int>>").toArrow()
     found = found.sort_by("id")
     pairs = [(a, b) for x, y in zip(found.column("before").to_pylist(), found.column("after").to_pylist(), strict=True) for a, b in zip(x, y, strict=True)]
     discard(texts, kept)
-    return fit([x.values.to_numpy(zero_copy_only=False) for x in found.column("features")], found.column("toxic").to_numpy() > 0, pairs, used, scale, fairness, learnt)
+    return fit([x.values.to_numpy(zero_copy_only=False) for x in found.column("features")], found.column("toxic").to_numpy() > 0, pairs, used, scale, fairness, tuple(learnt))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
