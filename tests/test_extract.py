@@ -60,6 +60,9 @@ def test_edges(found):
 def test_events_load(found):
     good, bad = E.split_valid(found[1])
     assert bad.count() == 0 and E.attached(E.edges_of(good, "n"), E.nodes_of(good, "n")).count() > 30 and X.summary(good)["warning"] == 1
+    whole = X.with_summary(found[1], 0.0)
+    last = whole.orderBy("seq").collect()[-1]
+    assert last.type == "summary" and int(last.props["events"]) == found[1].count() and E.split_valid(whole)[1].count() == 0 and E.meta_of(whole, "n").filter("name = 'extraction finished'").count() == 1
 
 
 def test_scan():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -234,6 +235,14 @@ def extract(files: DataFrame, ignore: dict[str, str] | None = None, relations: b
     return events.withColumn("raw", F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns]))).dropDuplicates(["raw"]).withColumn("seq", F.monotonically_increasing_id())
 
 
+def with_summary(events: DataFrame, began: float) -> DataFrame:
+    """The events (persisted, as they are counted first) and a last one that tells how many there are and what time it took."""
+    row = events.sparkSession.createDataFrame([(str(events.count()), str(int(1000 * (time.time() - began))))], "n string, ms string")
+    last = _event(row, "summary", message=F.lit("extraction finished"), props=F.create_map(F.lit("events"), F.col("n"), F.lit("durationMs"), F.col("ms")))
+    last = last.withColumn("raw", F.to_json(F.struct(*[F.col(f"`{c}`") for c in last.columns]))).withColumn("seq", F.lit((1 << 63) - 1))
+    return events.unionByName(last)
+
+
 def summary(events: DataFrame) -> dict[str, int]:
     """How many events of each type."""
     return {r["type"]: r["count"] for r in events.groupBy("type").count().collect()}  # at most four rows

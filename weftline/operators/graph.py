@@ -12,6 +12,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.functions.predicates import matches_filters
 
@@ -136,14 +137,17 @@ def path_neighbours(nodes: DataFrame, edges: DataFrame, paths: DataFrame, incomi
 def file_relations(nodes: DataFrame, edges: DataFrame, paths: DataFrame, k: int = 5) -> DataFrame:
     """Per seed file how many nodes point to it and from it, with the first ``k`` names in order.
 
-    Distinct neighbours are counted before names are gathered; the gathered list is of distinct names of one file.
+    Distinct neighbours are counted; of their names only the first ``k`` are gathered.
     """
     seeds = seed_files(nodes, paths).select("id", "path")
     names = nodes.select(F.col("id").alias("n_id"), F.coalesce("path", "name", "id").alias("shown"))
 
     def side(near: str, far: str, name: str) -> DataFrame:
         pairs = edges.select(F.col(near).alias("s"), F.col(far).alias("n_id")).join(seeds.select(F.col("id").alias("s")), "s", "left_semi").distinct().join(names, "n_id")
-        return pairs.groupBy("s").agg(F.count(F.lit(1)).alias(f"{name}_count"), F.slice(F.array_sort(F.collect_set("shown")), 1, k).alias(f"{name}_examples")).withColumnRenamed("s", "id")
+        # Spark keeps the first names of each part of a file's neighbours before it shuffles them, so no task gathers them all
+        first = pairs.select("s", "shown").distinct().withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("shown"))).filter(F.col("r") <= k)
+        first = first.groupBy("s").agg(F.array_sort(F.collect_list("shown")).alias(f"{name}_examples"))
+        return pairs.groupBy("s").agg(F.count(F.lit(1)).alias(f"{name}_count")).join(first, "s").withColumnRenamed("s", "id")
 
     out = seeds.join(side("dst", "src", "inbound"), "id", "left").join(side("src", "dst", "outbound"), "id", "left")
     none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")

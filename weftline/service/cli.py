@@ -36,7 +36,10 @@ def index(spark: SparkSession, store: GraphStore, repo: str, namespace: str, mod
     began = time.time()
     files, ignore = tree(spark, repo)
     found = X.extract(files, ignore, None if mode == "fast" else True, mode == "full").persist()
-    return store.load(found, namespace, repo, "typescript", mode, merge) | {"durationMs": int(1000 * (time.time() - began))}
+    try:
+        return store.load(X.with_summary(found, began), namespace, repo, "typescript", mode, merge) | {"durationMs": int(1000 * (time.time() - began))}
+    finally:
+        found.unpersist()
 
 
 def graph_tables(store: GraphStore, namespace: str) -> tuple[DataFrame | None, DataFrame | None]:
@@ -86,8 +89,8 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "namespaces":
         say([r.asDict() for r in store.namespaces().collect()])
     elif a.command == "extract":
-        files, ignore = tree(spark, a.repo)
-        X.write_ndjson(X.extract(files, ignore), a.out)
+        began, (files, ignore) = time.time(), tree(spark, a.repo)
+        X.write_ndjson(X.with_summary(X.extract(files, ignore).persist(), began), a.out)
     elif a.command == "export":
         nodes, edges = graph_tables(store, a.namespace)
         if nodes is None:
