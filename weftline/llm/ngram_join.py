@@ -7,7 +7,7 @@ hashes items into m = H + 1 + E segments. Linked sets agree in at least 1 + E se
 share of the allowance: empty segments, which all sets have in common, get none. A set with at most E of them indexes
 each other segment as it is; a set with more indexes its segments and, in a name space of such sets, also the one-deletion
 neighbourhoods, which count double; the rare set for which even that can't suffice meets its like under one key. Sets that
-share a key are verified exactly.
+share a key are verified exactly; a sketch of 1,024 parities spares the items of sets that are too far apart.
 
 Defined results: a null or empty text has no shingles, links with nothing and is its own component. Rows with the same
 text, repeated ids included, are in one component. A null id is a member but never the smallest; a component of null ids
@@ -28,7 +28,7 @@ from weftline.llm.scratch import discard, holding, keep
 from weftline.llm.shingles import LOWER, STEP, Seen, Words, mix, set_key, shingle_set
 from weftline.llm.simjoin import similar_components
 
-FLUSH = 500_000
+FLUSH, SKETCH = 500_000, 1024
 
 
 def text_set(text: str | None, size: int, memory: Words) -> np.ndarray:
@@ -41,6 +41,8 @@ class Bands:
 
     def __init__(self, percent: int) -> None:
         self.percent, self.tops = percent, [1]
+        # E for each H: enough that few sets have more empty segments; at lower similarities segments are smaller
+        self.share = 20 if percent >= 85 else 8
 
     def of(self, n: int) -> int:
         """The band of a set of n items."""
@@ -53,7 +55,7 @@ class Bands:
         while len(self.tops) <= band:
             self.of(self.tops[-1] + 1)
         errors = 2 * self.tops[band] * (100 - self.percent) // (100 + self.percent)
-        return errors, -(-(errors + 1) // 20) if errors else 0
+        return errors, -(-(errors + 1) // self.share) if errors else 0
 
 
 def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
@@ -84,25 +86,31 @@ def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
 M_APART, M_ALONE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
 
 
+def sketch(items: np.ndarray) -> np.ndarray:
+    """How many items, even or odd, have each of ``SKETCH`` remainders: a bit for each."""
+    return np.packbits(np.bincount((items % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64)
+
+
 def _heads(batches: Iterator[pa.RecordBatch], size: int, seed: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Every row's set key; the signatures too, unless this task has just given those of the same set."""
     memory, seen, bands = Words(), Seen(), Bands(percent)
-    long, names = pa.int64(), ["id", "th", "n", "cls", "second", "keys"]
+    long, names = pa.int64(), ["id", "th", "n", "cls", "second", "keys", "sketch"]
     for batch in batches:
         at, rows, held = 0, [], 0
 
         def flush(batch: pa.RecordBatch, at: int, rows: list[tuple]) -> pa.RecordBatch:
-            n, cls, second, keys = zip(*rows, strict=True)
+            n, cls, second, keys, sketch = zip(*rows, strict=True)
             part = batch.slice(at, len(rows))
-            return pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(n, long), pa.array(cls, long), pa.array(second, long), pa.array(keys, pa.list_(long))], names=names)
+            return pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(n, long), pa.array(cls, long), pa.array(second, long), pa.array(keys, pa.list_(long)), pa.array(sketch, pa.list_(long))], names=names)
 
         for t in batch.column("text").to_pylist():
             items = text_set(t, size, memory)
-            cls, second, keys = None, None, None
+            cls, second, keys, bits = None, None, None, None
             if len(items):
                 cls, second = set_key(items, seed), set_key(items, seed + 1_000_003)
-                keys = None if seen(cls) else signatures(items, bands).view(np.int64)
-            rows.append((len(items), cls, second, keys))
+                if not seen(cls):
+                    keys, bits = signatures(items, bands).view(np.int64), sketch(items)
+            rows.append((len(items), cls, second, keys, bits))
             held += 0 if keys is None else len(keys)
             if held > FLUSH:
                 yield flush(batch, at, rows)
@@ -126,7 +134,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     kind = docs.schema[id_col].dataType.simpleString()
     seed = 0
     while True:
-        heads = keep(spark, texts.mapInArrow(lambda it, s=seed: _heads(it, size, s, percent), f"id {kind}, th long, n long, cls long, second long, keys array<long>"), "heads")
+        heads = keep(spark, texts.mapInArrow(lambda it, s=seed: _heads(it, size, s, percent), f"id {kind}, th long, n long, cls long, second long, keys array<long>, sketch array<long>"), "heads")
         if heads.groupBy("cls").agg(F.min("second").alias("a"), F.max("second").alias("b")).filter("a <> b").isEmpty():
             break
         discard(heads)
@@ -137,8 +145,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         chosen = holding(texts.select("text", "th"), keep(spark, th, "wanted"), "th", once=True).select("text")
         return chosen.mapInArrow(lambda it: _items(it, size, seed), "cls long, items array<long>")
 
-    comps = similar_components(spark, heads.select("cls", "n", "keys"), fetch, percent)
-    heads = heads.drop("keys")
+    comps = similar_components(spark, heads.select("cls", "n", "keys", "sketch"), fetch, percent)
+    heads = heads.drop("keys", "sketch")
     classes = heads.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("least"))
     classes = classes.join(comps, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("component"))
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
