@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import decontam, line_templates, mixing, ngram_join, quality
-from weftline.llm.scratch import apart, discard, keep
+from weftline.llm.scratch import apart, discard, keep, temporaries
 
+#: Of near duplicates: what the contract of the operator, which the stage calls, takes.
+SHINGLE, PERCENT = 4, 85
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -53,14 +55,16 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of Jaccard 0.8 over five-word shingles: the one with the smallest id.
+    """One document of each component of Jaccard 0.85 over four-word shingles: the one with the smallest id.
 
     Rows stand for themselves, also where they share an id or have none: of rows that repeat id and text the smallest by
     their other columns stays, of rows that are equal in all columns one. A document without words stays, and so does each
     repeat of it. An empty table gives an empty table.
     """
     keyed = docs.select(_row_key(docs).alias("key"), F.col("text"))
-    found = keep(spark, ngram_join.join(keyed, "key", size=5, percent=80), "near-duplicates")
+    with temporaries() as made:
+        found = keep(spark, ngram_join.join(keyed, "key", size=SHINGLE, percent=PERCENT), "near-duplicates")
+        made.remove(found)
     words = found.filter("n_shingles > 0")
     gone = keep(spark, words.filter(~F.col("key").eqNullSafe(F.col("component_id"))).select("key").distinct(), "gone")
     rest = _without(docs, gone)

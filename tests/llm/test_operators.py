@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import random
 import zlib
@@ -11,7 +12,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import components, decontam, line_templates, mixing, ngram_join, paragraph_dedup, pii, quality, shingles, toxicity, url_rules, warc
+from weftline.llm import components, decontam, line_templates, mixing, ngram_join, paragraph_dedup, pii, quality, scratch, shingles, simjoin, toxicity, url_rules, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, h string, th long, words string, cls long, key long"
 LONG = " ".join(f"w{i % 997} x" for i in range(40_000))
@@ -54,6 +55,17 @@ def test_pii_discovers_by_context(spark):
     assert got[100].n_discovered == 0 and got[1].spans == brute.personal(rows[1][1])[5]
 
 
+def test_long_texts_take_linear_time(spark):
+    """One text of many identifiers, and one of 200,000 lines: seconds, not hours."""
+    text = " ".join(f"mail user{i}@mail.example.com from 10.0.{i % 256}.7 or +1 (456) 555-{1000 + i % 9000}" for i in range(20_000))
+    got = pii.find(documents(spark, [(1, text, "s")])).first()
+    assert (got.n_email, got.n_ip, got.n_card, got.n_phone, got.base_sha256, got.spans) == brute.personal(text)
+    lines = "\n".join("All rights are reserved here" if i % 2 else f"own line {i}" for i in range(200_000))
+    rows = [(1, lines, "s")] + [(i, f"text {'abcdefghijklmnopqrstuvwxyz'[i % 26]}{i}z\nAll rights are reserved here", "s") for i in range(2, 40)]
+    got = {r.doc_id: r for r in line_templates.drop_lines(documents(spark, rows)).collect()}
+    assert got[1]._dropped >= 100_000 and "reserved" not in got[1].text
+
+
 def luhn_card(i):
     body = f"4{i:014d}"
     return body + next(d for d in "0123456789" if brute.luhn(body + d))
@@ -81,6 +93,35 @@ def test_pii_unseen_are_no_evidence_against(spark):
     assert got == {i: int(100 <= i < 108) for i, *_ in rows}
 
 
+def check_tilt(rows, most):
+    """Rates solve the balancing problem: min(bound, exp(lambda * sqrt(size))) with one lambda a source, and their sum over
+    words is the target. Found here by bisection, source by source."""
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    for own in by.values():
+        target = own[0].target
+        total = lambda lam, own=own: sum(r.size * min(most, math.exp(min(50.0, lam * math.sqrt(r.size)))) for r in own)
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            lo, hi = ((lo + hi) / 2, hi) if total((lo + hi) / 2) < target else (lo, (lo + hi) / 2)
+        for r in own:
+            want = min(most, math.exp(min(50.0, hi * math.sqrt(r.size)))) if r.size else 0.0
+            assert abs(r.rate - want) < 2e-3 * max(1.0, want), (r, want)
+            assert r.copies in (math.floor(r.rate), math.floor(r.rate) + 1, math.floor(r.rate + 1e-3))
+
+
+def test_mixing_misses_by_a_small_document(spark):
+    """Long documents among short ones: the one at the threshold doesn't decide."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * (5000 if i % 40 == 0 else rng.randint(1, 300))), f"s{i % 4}") for i in range(600)]
+    got = mixing.mix(documents(spark, rows)).collect()
+    taken = {}
+    for r in got:
+        taken.setdefault((r.source, r.target), []).append(r.taken)
+    assert all(abs(sum(v) - t) <= 0.005 * t for (_, t), v in taken.items())
+
+
 def test_mixing(spark, odd, empty):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randint(1, 60)), f"s{i % 7 if i % 3 else 0}") for i in range(3000)] + [(5000, None, None), (5001, "a b", None)]
@@ -104,8 +145,9 @@ def test_mixing(spark, odd, empty):
         free -= over or set(free)
     for s, (size, taken, t, declared) in by.items():
         assert declared == size and abs(t - target[s]) < 1e-6 * max(1, target[s])
-        assert abs(taken - t) <= 35
+        assert abs(taken - t) <= max(2, 0.002 * t)
     assert mixing.mix(empty).count() == 0
+    check_tilt(got, 3.0)
     sizes = sorted(((r.doc_id, r.size) for r in mixing.mix(odd).collect()), key=str)
     assert sizes == sorted(((i, len(brute.SPACED.findall(t or ""))) for i, t, _ in odd_rows()), key=str)
 
@@ -143,12 +185,59 @@ def test_warc_round_trip(spark):
         same = [j for j, _, u in rows if (u or "") == (t or "") and j is not None]
         assert (r.record_type, r.refers_to) == (("response", None) if i == max(same) else ("revisit", str(max(same))))
     assert warc.archive(spark, pages.limit(0), warc.new_path(spark, "none")).count() == 0
+    clash = pages.select("*", *(F.lit(1).alias(c) for c in ("id", "payload", "digest", "bytes", "key", "first", "d", "b", "record_type")))
+    assert sorted(map(str, warc.archive(spark, clash).collect())) == sorted(map(str, got.values()))
+
+
+def test_warc_members(spark):
+    """Every record is a gzip member of its own, each file begins with a warcinfo record, files are bounded by bytes, ids of
+    different captures differ, and files that the manifest doesn't list are deleted."""
+    rows = [(i // 2, f"http://h/{i % 3}", os.urandom(400).hex() if i % 5 else "same") for i in range(60)]
+    path = warc.new_path(spark, "members")
+    folder = warc._place(path)[1]
+    os.makedirs(folder)
+    with open(folder + "/lost.warc.gz", "wb") as f:
+        f.write(b"not whole")
+    manifest = warc.write_archives(warc.resolve(spark.createDataFrame(rows, "page_id long, url string, html string")), path, part_bytes=5000).collect()
+    files = sorted(x for x in os.listdir(folder) if x.endswith(".warc.gz"))
+    assert files == sorted(r.name for r in manifest) and sum(r.records for r in manifest) == 60 and len(files) > 3
+    ids = set()
+    for name in files:
+        with open(f"{folder}/{name}", "rb") as f:
+            data = f.read()
+        assert len(data) < 5000 + 2000
+        kinds = []
+        while data:
+            d = zlib.decompressobj(31)
+            text = d.decompress(data)
+            data = d.unused_data
+            ((headers, _),) = warc._records(iter([text]))
+            kinds.append(headers["warc-type"])
+            ids.add(headers["warc-record-id"])
+            if headers["warc-type"] == "revisit":
+                assert headers["warc-refers-to"] and headers["warc-profile"]
+        assert kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:]
+    assert len(ids) == len(files) + len({(i, u, t) for i, u, t in rows})
+
+
+def test_warc_shuffles_no_payloads(spark):
+    """Without broadcasts, the exchange of payloads stands behind the bitmap of repeated digests."""
+    rows = [(i, "u", f"body {i % 90}") for i in range(100)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = warc.resolve(spark.createDataFrame(rows, "page_id long, url string, html string"))
+        single = out.filter("record_type = 'response'").count()
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert single == 90 and plan.count("bitmap_construct_agg") >= 2 and plan.index("Join LeftOuter, ((digest") < plan.index("getbit")
 
 
 def test_warc_keeps_payloads(spark):
     rows = [(i, "u", f"body {i}\r\n\r\nmore") for i in range(5)]
     path = warc.new_path(spark, "archive")
-    warc.write_archives(warc.resolve(spark.createDataFrame(rows, "page_id long, url string, html string")), path, per_file=2)
+    warc.write_archives(warc.resolve(spark.createDataFrame(rows, "page_id long, url string, html string")), path, part_bytes=600)
     assert sorted((r.id, r.payload) for r in warc.read_archives(spark, path, True).collect()) == [(str(i), t) for i, _, t in rows]
 
 
@@ -198,7 +287,7 @@ def test_paragraphs(spark, odd, empty):
     near[30] = "other"
     rows = [(i, "\n".join([text(40), passage if i % 3 else " ".join(near), text(25), "short line"]), "s") for i in range(12)]
     got = {r.doc_id: r for r in paragraph_dedup.find(documents(spark, rows)).collect()}
-    assert got[0].n_removed == 0 and all(got[i].n_removed == 1 and got[i].kept_in == [0] for i in range(1, 12))
+    assert got[0].n_removed == 0 and all(got[i].n_removed == 1 and set(got[i].kept_in) in ({0}, {0, 1}) for i in range(1, 12))
     for i, t, _ in rows[1:]:
         s = got[i].removed[0]
         assert t[s.start : s.end] in (passage, " ".join(near))
@@ -206,6 +295,90 @@ def test_paragraphs(spark, odd, empty):
     cut = {r.doc_id: r.text for r in paragraph_dedup.remove(docs, paragraph_dedup.find(docs)).collect()}
     assert cut[1] == "\n".join([rows[1][1].split("\n")[k] for k in (0, 2, 3)]) and cut[0] == rows[0][1]
     assert paragraph_dedup.find(odd).count() == len(odd_rows()) and paragraph_dedup.find(empty).count() == 0
+    got = {}
+    for r in paragraph_dedup.find(odd).collect():
+        got.setdefault(r.doc_id, []).append((r.n_paragraphs, r.n_shared, r.n_removed))
+    assert got[1] == got[2] == got[3] == [(0, 0, 0)] and got[4] == [(1, 1, 0)] and got[5] == [(1, 1, 1)] * 2 and got[None] == [(1, 1, 1)] and got[13] == [(0, 0, 0)]
+
+
+def words_of(text):
+    return brute.SPACED.findall((text or "").translate(brute.FOLD))
+
+
+def test_passages_everywhere(spark):
+    """Every text that has 51 words in a row of another text is found, wherever they lie: inside a longer line, over many
+    short lines, in other case; texts without are left alone; what goes is held against all pairs."""
+    rng = random.Random(21)
+    word = lambda: f"é{rng.randrange(5000)}" if rng.random() < 0.2 else f"w{rng.randrange(5000)}"
+    own = lambda n: [word() for _ in range(n)]
+    passages = [own(n) for n in (51, 52, 60, 90)]
+    rows = []
+    for i in range(120):
+        before, after = own(rng.randint(0, 120)), own(rng.randint(0, 120))
+        if i % 2:
+            p = [w.upper() if i % 5 == 0 else w for w in passages[i % 4]]
+            whole = before + p + after
+        else:
+            whole = before + own(60) + after
+        step = rng.choice([8, 12, 1000])
+        rows.append((i, "\n".join(" ".join(whole[k : k + step]) for k in range(0, len(whole), step)), "s"))
+    docs = documents(spark, rows)
+    found = paragraph_dedup.find(docs)
+    got = {r.doc_id: r for r in found.collect()}
+    where = {}
+    for i, t, _ in rows:
+        w = words_of(t)
+        for k in range(len(w) - 50):
+            where.setdefault(tuple(w[k : k + 51]), set()).add(i)
+    shared = {i for v in where.values() if len(v) > 1 for i in v}
+    later = {i for v in where.values() if len(v) > 1 for i in v if i != min(v)}
+    assert {i for i, r in got.items() if r.n_shared} == shared and {i for i, r in got.items() if r.n_removed} == later
+    runs = {}
+    for i, t, _ in rows:
+        w = words_of(t)
+        for k in range(len(w) - 24):
+            runs.setdefault(tuple(w[k : k + 25]), set()).add(i)
+    for i, t, _ in rows:  # what goes from a text stands in a text before it
+        for s in got[i].removed:
+            w = words_of(t[s.start : s.end])
+            before = [min(runs[tuple(w[k : k + 25])]) < i for k in range(len(w) - 24)]
+            assert len(w) >= 20 and sum(before) >= 0.8 * len(before)
+    cut = {r.doc_id: r.text for r in paragraph_dedup.remove(docs, found).collect()}
+    assert all(cut[i] == t for i, t, _ in rows if i not in later) and all(len(words_of(cut[i])) < len(words_of(t)) for i, t, _ in rows if i in later)
+
+
+def test_lines_are_all_pairs_exact(spark):
+    """Near lines, held against the Jaccard similarity of all pairs of lines and the components of these links."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(25):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([22, 40, 49]))]
+        for _ in range(4):
+            t = list(base)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = "other"
+            rows.append((len(rows), " ".join(t) + f"\nshort line {i}", "s"))
+    sets = {i: brute.shingles(t.split("\n")[0], 5) for i, t, _ in rows}
+    union = brute.Sets()
+    for a in sets:
+        for b in sets:
+            if a < b and brute.linked(sets[a], sets[b], 80):
+                union.join(a, b)
+    got = {r.doc_id: r for r in paragraph_dedup.find(documents(spark, rows)).collect()}
+    for i, t, _ in rows:
+        whole = [s for s in got[i].removed if (s.start, s.end) == (0, len(t.split("\n")[0]))]
+        assert bool(whole) == (union.find(i) != i) and (not whole or union.find(i) in got[i].kept_in)
+
+
+def test_chosen_places():
+    """Every stretch of neighbours has a chosen place, the same in every text that has the stretch."""
+    rng = paragraph_dedup.np.random.default_rng(1)
+    x = rng.integers(0, 1 << 63, 500).astype(paragraph_dedup.np.uint64)
+    at = set(paragraph_dedup.chosen(x, 27).tolist())
+    assert all(at & set(range(k, k + 27)) for k in range(500 - 26)) and len(at) < 60
+    part = {k + 100 for k in paragraph_dedup.chosen(x[100:200], 27).tolist()}
+    assert part == {k for k in at if 126 <= k < 174} | {k for k in part if not 126 <= k < 174}
+    assert len(paragraph_dedup.chosen(x[:26], 27)) == 0 and len(paragraph_dedup.chosen(paragraph_dedup.np.full(90, x[0]), 27)) == 1
 
 
 def test_urls(spark):
@@ -223,8 +396,27 @@ def test_urls(spark):
         blocked = bool(u) and any(__import__("re").search(p.regex, u) for p in url_rules.DEFAULT_PATTERNS)
         return host, path, best and best.host + best.path, best.verdict if best else "block" if blocked else "allow"
 
-    got = url_rules.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = url_rules.judge_urls(pages, url_rules.rule_table(spark, rules)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str((i, *judge(u))) for i, u in rows)
+    clash = pages.select("*", *(F.lit(1).alias(c) for c in ("rule", "token", "host", "path", "n", "id", "verdict", "fits")))
+    assert sorted(map(str, url_rules.judge_urls(clash, url_rules.rule_table(spark, rules)).collect())) == sorted(map(str, got))
+    assert url_rules.judge_urls(pages.limit(0), url_rules.rule_table(spark, rules)).count() == 0
+    stored = spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules + rules[:1]], "verdict string, host string, path string")
+    regexes = spark.createDataFrame([(p.verdict, p.regex, list(p.literals)) for p in url_rules.DEFAULT_PATTERNS], "verdict string, regex string, literals array<string>")
+    both = url_rules.read_rules(stored).unionByName(url_rules.read_rules(regexes))
+    assert sorted(map(str, url_rules.judge_urls(pages, both).collect())) == sorted(map(str, got))
+    with pytest.raises(ValueError, match="literal"):
+        url_rules.rule_table(spark, [], [url_rules.PatternRule("block", "a+", ())])
+
+
+def test_urls_long(spark):
+    """Every pattern rule fires on its own word and on no longer one, in a URL of any length."""
+    tail = "/x" * 100_000
+    urls = [f"http://h.org/a.{e}" for e in url_rules.ENDINGS] + [f"http://h.org/{w.upper()}/{tail}" for w in url_rules.WORDS] + [f"http://h.org{tail}/wp-login.phpx", "http://h.org/?sessionid=1"]
+    urls += [f"http://h.org/a.{e}x" for e in url_rules.ENDINGS] + [f"http://h.org/x{w}/{tail}" for w in url_rules.WORDS] + ["http://h.org/sessionid=1", None, ""]
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_rules.rule_table(spark, [])).collect()}
+    assert got == {i: "block" if i < 10 else "allow" for i in range(len(urls))}
 
 
 def test_line_templates(spark, odd, empty):
@@ -291,6 +483,45 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(empty, toxicity.train(empty, marks)).count() == 0
 
 
+@pytest.mark.parametrize("terms", [("muslim", "christian"), ("blorp", "quexly")])
+def test_toxicity_penalty_acts(spark, terms):
+    """Texts that differ in one identity term alone get nearly the same score with the penalty, and not without; for listed
+    terms, and for words that only the labels show to be such. Insults are found as before."""
+    rng = random.Random(5)
+    a, b = terms
+    words = [f"plain{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(1600):
+        toxic = i % 4 == 0
+        t = [rng.choice(words) for _ in range(30)] + ["vermin"] * (toxic and rng.random() < 0.8)
+        t += [a] * (rng.random() < (0.5 if toxic else 0.06)) + [b] * (rng.random() < (0.16 if toxic else 0.05))
+        rng.shuffle(t)
+        rows.append((i, " ".join(t), "s"))
+        labels.append((i, int(toxic), 1))
+    docs, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    logit = lambda m, t: math.log((p := m.score(t, {})) / (1 - p))
+    gap = {}
+    for fairness in (0.0, toxicity.FAIRNESS):
+        model = toxicity.train(docs, marks, fairness=fairness)
+        assert model.pairs > 100 and (set(terms) <= set(model.learnt) or terms[0] == "muslim")
+        gap[fairness] = abs(logit(model, f"plain1 {a} plain2") - logit(model, f"plain1 {b} plain2"))
+        assert model.score("plain1 vermin plain2", {}) > 0.5 > model.score("plain1 plain2", {})
+    assert gap[toxicity.FAIRNESS] < 0.3 * gap[0.0] and gap[0.0] > 0.3
+
+
+def test_toxicity_odd_labels(spark, odd):
+    """Null and contradicting labels, null ids and repeated ids; no labels, or only one class."""
+    rows = [(i, "vermin here" if i % 2 else "plain here", "s") for i in range(400)] + [(3, "another text", "s"), (None, "vermin", "s")]
+    marks = [(i, i % 2) for i in range(400)] + [(1, 0), (None, 1), (2, None), (999, 1)]
+    docs = documents(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    again = toxicity.train(documents(spark, rows[::-1]), spark.createDataFrame(marks[::-1], "doc_id long, toxic int"))
+    assert model.weights == again.weights and model.score("vermin", {}) > 0.5 > model.score("plain", {})
+    for labels, want in (([], 0), ([(1, 0), (2, 0)], 0), ([(1, 1), (3, 1)], 1)):
+        model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        assert {r.predicted for r in toxicity.score(odd, model).collect()} == {want}
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, i) for i in range(1001, 1400)] + [(i, i + 1) for i in range(2000, 2100)] + [(None, 3), (4, 4)]
@@ -333,10 +564,80 @@ def test_pipeline(spark):
     docs = spark.read.parquet(folder + "/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     kept = corpus_pipeline.near_duplicates(spark, docs, folder)
-    want = {c for _, c in brute.components(list(texts.items())).values()}
+    want = {c for _, c in brute.components(list(texts.items()), corpus_pipeline.PERCENT, corpus_pipeline.SHINGLE).values()}
     assert {r.doc_id for r in kept.select("doc_id").collect()} == want and kept.columns == docs.columns
     bench = [tuple(r) for r in spark.read.parquet(folder + "/benchmark.parquet").select("item_id", "text").collect()]
     clean = {i for i, b in zip(texts, brute.contaminated(texts.values(), bench), strict=True) if not b[-1]}
     assert {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, folder).select("doc_id").collect()} == clean
     out = corpus_pipeline.run(spark, folder)
     assert out.count() > 0 and set(docs.columns) < set(out.columns)
+
+
+def test_pipeline_rows_stand_for_themselves(spark):
+    """Rows without an id, or that share one, get their own decisions in every stage."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    leak = next(r.text for r in spark.read.parquet(folder + "/benchmark.parquet").collect() if len((r.text or "").split()) > 20)
+    copy = text(80)
+    rows = [(None, text(30 + 10 * i), f"s{i % 3}") for i in range(12)] + [(7, text(50), "s0"), (7, text(70), "s1"), (None, f"{text(20)} {leak}", "s0"), (7, f"{text(20)} {leak}", "s0")]
+    rows += [(1, copy, "s0"), (None, copy, "s0"), (9, copy, "s1"), (1, copy, "s0"), (1, copy, "s2"), (3, None, "s0"), (3, None, "s0"), (None, "", None)]
+    docs = documents(spark, rows)
+    out = lambda df: sorted(((r.doc_id, r.text, r.source) for r in df.collect()), key=str)
+    clean = [r for r in rows if not (r[1] and leak in r[1])]
+    assert out(corpus_pipeline.decontamination(spark, docs, folder)) == sorted(clean, key=str)
+    once = [r for r in rows if r[1] != copy]
+    assert sorted(map(str, [(i, t) for i, t, _ in out(corpus_pipeline.near_duplicates(spark, docs, folder))])) == sorted(map(str, [(i, t) for i, t, _ in once] + [(1, copy)]))
+    mixed = corpus_pipeline.mix_sources(spark, docs, folder).collect()
+    want = [r for r in mixing.mix(docs, carry=("text",)).collect() if r.copies]
+    assert sorted(str((r.doc_id, r.source, r.text, r.size, r.copies, r.taken)) for r in mixed) == sorted(str((r.doc_id, r.source, r.text, r.size, r.copies, r.taken)) for r in want)
+    assert all(r.size == len(brute.SPACED.findall(r.text)) for r in mixed)
+
+
+def test_quality_stage(spark, odd):
+    """The stage keeps exactly the rows that the operator keeps, row by row."""
+    import corpus_pipeline
+
+    want = sorted(str(r.text) for r in quality.judge(odd, ["doc_id", "text"]).filter("kept").collect())
+    assert sorted(str(r.text) for r in corpus_pipeline.quality_rules(spark, odd, "").collect()) == want
+    got = [r for r in quality.judge(odd, ["doc_id"]).collect() if not r.base_failed]
+    assert all(r.kept == (r.p_good >= 0.5) for r in got)
+
+
+def test_sketches_keep_linked_sets():
+    """Linked sets differ in no more bits than the bound, so a block of sketches keeps both."""
+    rng, np = random.Random(12), ngram_join.np
+    for percent in (80, 85):
+        for _ in range(400):
+            n = rng.choice([5, 20, 60, 300, 2000])
+            a = {rng.getrandbits(64) for _ in range(n)}
+            b = set(a)
+            for _ in range(rng.randint(0, 1 + n // 6)):
+                b.discard(next(iter(b))) if rng.random() < 0.5 and len(b) > 1 else b.add(rng.getrandbits(64))
+            x, y = (np.array(sorted(s), dtype=np.uint64) for s in (a, b))
+            block = simjoin.pd.DataFrame({"pivot": 1, "cls": [1, 2], "n": [len(a), len(b)], "comp": [1, 2], "role": [simjoin.BOTH, simjoin.MEMBER], "sketch": [ngram_join.sketch(x), ngram_join.sketch(y)]})
+            kept = simjoin.possible_block(block, percent)
+            if brute.linked(a, b, percent):
+                assert sorted(kept["cls"]) == [1, 2]
+            block["items"] = [x.view(np.int64), y.view(np.int64)]
+            assert (len(simjoin.compare_block(block, percent)) == 1) == brute.linked(a, b, percent)
+
+
+def test_bitmap_joins(spark):
+    """The bitmap only spares work: results are those of the plain joins, also for no wanted keys and for null ones."""
+    rows = spark.range(5000).select(F.when(F.col("id") % 50 != 0, F.xxhash64(F.col("id") % 1000)).alias("k"), F.col("id").alias("v"))
+    for many in (0, 1, 300):
+        wanted = scratch.keep(spark, spark.range(many).select(F.xxhash64("id").alias("k")), "wanted")
+        want = sorted(r.v for r in rows.join(wanted, "k", "left_semi").collect())
+        assert sorted(r.v for r in scratch.holding(rows, wanted, "k").collect()) == want
+        assert scratch.holding(rows, wanted, "k", once=True).count() == rows.join(wanted, "k", "left_semi").select("k").distinct().count()
+        rest, some = scratch.apart(rows, wanted, "k")
+        assert rest.count() + some.count() == 5000 and rest.join(wanted, "k", "left_semi").count() == 0 and some.count() < len(want) + 50
+    with scratch.temporaries() as made:
+        gone, stays = scratch.keep(spark, spark.range(3).toDF("a"), "gone"), scratch.keep(spark, spark.range(3).toDF("a"), "stays")
+        made.remove(stays)
+    assert stays.count() == 3 and not os.path.exists(gone._kept_at.removeprefix("file://")) and os.path.exists(stays._kept_at.removeprefix("file://"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.scratch import keep
+from weftline.llm.scratch import keep, temporaries
 
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 DEPTH, MIN_DOCS, MIN_CONSTANT_PERCENT = 3, 20, 60
@@ -111,11 +111,13 @@ def drop_lines(docs: DataFrame, text_col: str = "text", **parameters: int) -> Da
     texts = docs.select(F.col(text_col).cast("string").alias("text")).filter("text <> ''")
     depth = parameters.get("depth", DEPTH)
     once = texts.select(F.md5("text").alias("h"), line_keys(normal(F.col("text")), depth).alias("lines")).groupBy("h").agg(F.first("lines").alias("lines"))
-    once = keep(spark, once, "line-keys")
-    drop = keep(spark, boilerplate(texts, once, **parameters).select("line").distinct(), "boilerplate")
-    hit = once.select("h", F.posexplode("lines.line").alias("pos", "line")).join(drop, "line", "left_semi")
-    hit = hit.groupBy("h").agg(F.array_sort(F.collect_list("pos")).alias("_gone")).withColumnRenamed("h", "_h")
-    hit = keep(spark, hit, "gone")  # a table of its own, so that a join with a hot text can be split
+    with temporaries() as made:
+        once = keep(spark, once, "line-keys")
+        drop = keep(spark, boilerplate(texts, once, **parameters).select("line").distinct(), "boilerplate")
+        hit = once.select("h", F.posexplode("lines.line").alias("pos", "line")).join(drop, "line", "left_semi")
+        hit = hit.groupBy("h").agg(F.array_sort(F.collect_list("pos")).alias("_gone")).withColumnRenamed("h", "_h")
+        hit = keep(spark, hit, "gone")  # a table of its own, so that a join with a hot text can be split
+        made.remove(hit)
     out = docs.join(hit, key == F.col("_h"), "left").drop("_h")
     lines = F.split(F.col(text_col), "\n")
     # by a set of numbers, so that the time is in proportion to the lines

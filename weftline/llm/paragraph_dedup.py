@@ -65,7 +65,7 @@ class Paragraphs:
     """The paragraphs of one whole text: ``lines`` and ``runs`` as arrays of (start, end) in code points, and their
     shingles."""
 
-    def __init__(self, text: str | None, size: int, min_words: int, memory: Words) -> None:
+    def __init__(self, text: str | None, size: int, min_words: int, memory: Words, with_runs: bool = True) -> None:
         raw = (text or "").encode("utf-8", "surrogatepass")
         data = np.frombuffer(raw, np.uint8)
         ids = memory.numbers(raw.translate(LOWER).split())
@@ -83,7 +83,7 @@ class Paragraphs:
         self.lines = np.stack([places[starts[long]], places[ends[long]]], axis=1)
         self.size = size
         own = len(ids) - WINDOW + 1
-        self.at = chosen(self.every[:own], SPREAD) if own >= SPREAD and WINDOW >= size else np.empty(0, np.int64)
+        self.at = chosen(self.every[:own], SPREAD) if with_runs and own >= SPREAD else np.empty(0, np.int64)
         self.runs = np.stack([places[first[self.at]], places[last[self.at + WINDOW - 1]]], axis=1) if len(self.at) else np.empty((0, 2), np.int64)
         self.ids = ids
 
@@ -94,14 +94,13 @@ class Paragraphs:
 
     def run_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """A number for the words of each run, and an independent second one."""
-        cls, second = np.full(len(self.at), WINDOW, np.uint64), np.full(len(self.at), 7, np.uint64)
-        for j in range(WINDOW):
-            w = self.ids[self.at + j]
-            cls, second = cls * STEP + w, (second ^ w) * FACTOR
+        words = self.ids[self.at[:, None] + np.arange(WINDOW)[None, :]]
+        cls, second = ((words * w[None, :]).sum(axis=1, dtype=np.uint64) for w in WEIGHTS)
         return mix(cls).view(np.int64), (mix(second) >> np.uint64(33)).astype(np.int32)
 
 
-FACTOR = np.uint64(0xD6E8FEB86659FD93)
+#: Odd factors of the words of a run, for two independent sums.
+WEIGHTS = mix(np.arange(1001, 1001 + 2 * WINDOW, dtype=np.uint64) * STEP).reshape(2, WINDOW) | np.uint64(1)
 
 
 def _least(x: np.ndarray, reduce: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -183,7 +182,7 @@ def _items(batches: Iterator[pa.RecordBatch], size: int, min_words: int) -> Iter
     for batch in batches:
         cls, rows = [], []
         for t in batch.column("text").to_pylist():
-            p = Paragraphs(t, size, min_words, memory)
+            p = Paragraphs(t, size, min_words, memory, False)
             for items in p.line_items():
                 if not seen(c := set_key(items)):
                     cls.append(c)

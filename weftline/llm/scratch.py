@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +48,26 @@ def keep(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporaries() -> Iterator[list[DataFrame]]:
+    """Delete at the end the tables that ``keep`` writes meanwhile, but for those taken out of the list."""
+    made: list[DataFrame] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.pop()
+        discard(*made)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``keep`` that nothing reads any more."""
     for df in tables:
