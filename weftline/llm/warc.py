@@ -40,13 +40,16 @@ READ_SCHEMA = "id string, url string, record_type string, payload_bytes long, pa
 
 def sha1_base32(data: Column) -> Column:
     """Bare upper-case base32 of the SHA-1: five hex digits are four base32 digits."""
-    hexed = F.sha1(data)
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  a lambda's outer expressions are computed at each call
 
-    def four(i: Column) -> Column:
-        bits = F.conv(F.substring(hexed, i * 5 + 1, F.lit(5)), 16, 10).cast("long")
+    def letters(bits: Column) -> Column:
         return F.concat(*(F.substring(F.lit(ALPHABET), (F.shiftright(bits, s).bitwiseAND(31) + 1).cast("int"), F.lit(1)) for s in (15, 10, 5, 0)))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
+    def coded(hexed: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(hexed, i * 5 + 1, F.lit(5)), 16, 10).cast("long"))
+        return F.array_join(F.transform(parts, letters), "")
+
+    return once(F.sha1(data), coded)
 
 
 def _header(name: str, value: Column) -> Column:
