@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, line_templates, mixing, ngram_join, paragraph_dedup, pii, quality, toxicity, url_rules, warc
+from weftline.llm import conversation_trie, decontam, lexical_search, line_templates, mixing, ngram_join, paragraph_dedup, pii, pu_quality, quality, toxicity, url_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,11 +82,33 @@ def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    terms = lexical_search.item_terms(_table(spark, sf_dir, "benchmark"))
+    return lexical_search.search(lexical_search.index(_table(spark, sf_dir, "documents"), terms), terms)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    turns = conversation_trie.ordered(_table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(*conversation_trie.branched(turns))
+
+
+def op13_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a fifth of the ids is held out of training."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    rows = pu_quality.featured(docs)
+    out = pu_quality.score(rows, pu_quality.train(rows, labels.filter(~held_out)))
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name and query."""
     found = [
         op1_bootstrapped_pii, op2_mix_sources, op3_prefix_decontamination, op4_warc_revisits, op5_ngram_jaccard,
         op6_paragraph_minhash, op7_url_rules, op8_line_templates, op9_quality_votes, op10_counterfactual_toxicity,
+        op11_lexical_search, op12_conversation_trie, op13_pu_quality,
     ]
     return {f.__name__: f for f in found}
 
@@ -150,6 +172,47 @@ v AS (SELECT leaf, template FROM t JOIN o ON o.norm = t.norm WHERE 100 * kept >=
 b AS MATERIALIZED (SELECT norm FROM t SEMI JOIN v ON t.leaf = v.leaf AND t.template = v.template WHERE 100 * kept >= 60 * n),
 m AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (norm IN (SELECT norm FROM b)) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (norm NOT IN (SELECT norm FROM b)), '') AS kept FROM k GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(kept, d.text) AS text FROM d LEFT JOIN m ON m.doc_id = d.doc_id
+""",
+    "op11_lexical_search": r"""
+WITH t AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS l FROM t WHERE len(ws) > 0),
+i AS MATERIALIZED (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+p AS MATERIALIZED (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n, unnest(ws) AS term FROM t) WHERE term IN (SELECT term FROM i) GROUP BY r, doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+m AS (SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // l)))) AS BIGINT) AS score FROM p JOIN i ON i.term = p.term JOIN w ON w.term = p.term, s GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM m WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+""",
+    "op12_conversation_trie": r"""
+WITH x AS MATERIALIZED (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(coalesce(role, ''), 64), left(coalesce(text, ''), 64), md5(coalesce(role, '') || chr(0) || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (
+  SELECT conv_id, n, conv_id - conv_id % 20 AS host,
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda a, b: list_reduce(list_prepend(xor(a, b), range(0, 8)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384::BIGINT))) AS crc
+  FROM (SELECT conv_id, count(*) AS n FROM x GROUP BY conv_id)),
+c AS MATERIALIZED (SELECT conv_id, host, n, xor(crc, 4294967295) % 4 AS h FROM o),
+p AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, role, text
+  FROM (SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN x ON x.conv_id = c.host AND pos <= h
+        UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN x ON x.conv_id = c.conv_id AND pos > h)),
+k AS MATERIALIZED (
+  SELECT conv_id, depth, text, md5(array_to_string(list(md5(md5(role) || md5(text))) OVER (PARTITION BY conv_id ORDER BY depth), ',')) AS node FROM p
+  UNION ALL SELECT conv_id, 0, '', '' FROM c),
+l AS (SELECT conv_id, max(depth) AS length FROM k GROUP BY conv_id),
+n AS MATERIALIZED (
+  SELECT node, depth, min(k.conv_id) AS conv_id, count(*) AS n_convs, any_value(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS words,
+         sha256(coalesce(string_agg(CAST(k.conv_id AS VARCHAR), ',' ORDER BY k.conv_id) FILTER (depth = length), '')) AS ends_sha256
+  FROM k JOIN l ON l.conv_id = k.conv_id GROUP BY node, depth),
+e AS MATERIALIZED (SELECT n.node, up.node AS parent, o.conv_id AS parent_conv_id FROM n LEFT JOIN k up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1 LEFT JOIN n o ON o.node = up.node AND o.depth = n.depth - 1),
+f AS (SELECT parent AS node, count(*) AS n_children FROM e WHERE parent IS NOT NULL GROUP BY parent),
+u AS (
+  SELECT k.node, sum((n.n_convs - 1) * n.words) AS saved_tokens, count(*) FILTER (f.node IS NULL) AS n_leaves
+  FROM n JOIN k ON k.conv_id = n.conv_id AND k.depth <= n.depth LEFT JOIN f ON f.node = n.node GROUP BY k.node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM n JOIN e ON e.node = n.node JOIN u ON u.node = n.node LEFT JOIN f ON f.node = n.node
 """,
     "op4_warc_revisits": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hexed FROM pages),
