@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.extract import events as X
+from weftline.extract import incremental as I
 from weftline.extract.scan import File, facts, mask
+from weftline.service import cli
 from weftline.sources import events as E
+from weftline.sources.shared import written
+from weftline.sources.store import GraphStore
 
 FILES = {
     "package.json": '{"name": "root", "workspaces": ["apps/*"], "dependencies": {"@w/auth": "*", "next": "15"}}',
@@ -26,7 +33,8 @@ FILES = {
 
 @pytest.fixture(scope="module")
 def found(spark):
-    rows = X.extract(spark.createDataFrame(list(FILES.items()), "path string, content string"), {".gitignore": "out/\n# no\n"}, identifiers=True).persist()
+    rows = X.extract(spark.createDataFrame(list(FILES.items()), "path string, content string"), {".gitignore": "out/\n# no\n"}, identifiers=True)
+    rows = written(rows)
     return rows.collect(), rows
 
 
@@ -71,3 +79,66 @@ def test_scan():
     assert File("a(b[c{d}])").pairs == {1: 9, 3: 8, 5: 7}
     assert facts("a.ts", "") == [] and facts("a.ts", "}}}((( 'unclosed") == []
     assert X.ignore_regex("/a/*.ts", "x") == ("^x/a/[^/]*\\.ts(?:/|$)", False) and X.ignore_regex("!b")[1]
+
+
+def _stored(store, name):
+    """What a namespace holds, without what tells time: nodes and edges as sets of rows."""
+    nodes = {tuple(r) for r in store.nodes(name).filter("label <> 'Meta'").drop("namespace", "id").collect()}
+    edges = {tuple(r) for r in store.edges(name).drop("namespace", "src", "dst").collect()}
+    return nodes, edges
+
+
+def test_update_equals_rebuild(spark, tmp_path):
+    """After an edit, a deletion, a move and a touched file the store equals a full rebuild, and only changes are scanned."""
+    repo, store = tmp_path / "repo", GraphStore(spark, f"{tmp_path}/store")
+    for p, t in FILES.items():
+        (repo / p).parent.mkdir(parents=True, exist_ok=True)
+        (repo / p).write_text(t)
+    (repo / ".gitignore").write_text("out/\n")
+    first = cli.index(spark, store, str(repo), "n", "full", merge=True)
+    assert first["scannedFiles"] == len(FILES) - 1 and first["goneFiles"] == 0
+    login = repo / "packages/auth/src/login.ts"
+    login.write_text(login.read_text().replace("cleanUp", "tidyUp"))
+    (repo / "apps/web/src/app/page.tsx").unlink()
+    (repo / "apps/web/src/app/home/panel.tsx").rename(repo / "apps/web/src/app/home/board.tsx")
+    touched = repo / "packages/auth/src/login.test.ts"
+    os.utime(touched, (1, 1))
+    done = cli.index(spark, store, str(repo), "n", "full", merge=True)
+    assert (done["scannedFiles"], done["goneFiles"]) == (2, 2)
+    cli.index(spark, store, str(repo), "whole", "full")
+    assert _stored(store, "n") == _stored(store, "whole")
+    ids = {r.source_id for r in store.nodes("n").collect()}
+    assert "symbol:packages/auth/src/login.ts#tidyUp" in ids and not any("page.tsx#Root" in x or "panel.tsx" in x or "cleanUp" in x for x in ids)
+    (repo / ".gitignore").write_text("packages/\n")
+    assert cli.index(spark, store, str(repo), "n", "full", merge=True)["goneFiles"] == 3
+
+
+def test_scan_reads_changes_only(spark):
+    """The plan's input to the scanner has the changed files alone; an empty tree and a first run work."""
+    files = spark.createDataFrame([(f"src/f{i}.ts", f"export const a{i} = {i};\n", i) for i in range(50)], "path string, content string, size long").withColumn("modified", F.current_timestamp().cast("date").cast("timestamp"))
+    read = lambda paths, n: files.select("path", "content").join(paths, "path", "left_semi")
+    keep = written
+    one = I.refresh(files, read, None, None, True, False, keep)
+    facts, listed = keep(one.facts), keep(one.files)
+    assert one.changes.count() == 50 and facts.count() == 50
+    newer = files.withColumn("size", F.when(F.col("path") == "src/f7.ts", 99).otherwise(F.col("size"))).withColumn("content", F.when(F.col("path") == "src/f7.ts", "export const b = 1;").otherwise(F.col("content")))
+    seen = []
+
+    def reading(paths, n):
+        seen.append(n)
+        return newer.select("path", "content").join(paths, "path", "left_semi")
+
+    two = I.refresh(newer, reading, listed, facts, True, False, keep)
+    assert seen == [1] and [tuple(r) for r in two.changes.collect()] == [("src/f7.ts", "scanned")]
+    assert {r.name for r in two.facts.collect()} == {f"a{i}" for i in range(50) if i != 7} | {"b"}
+    assert I.refresh(newer, reading, listed, facts, True, True, keep).changes.count() == 50  # other options
+    none = I.refresh(newer.limit(0), reading, listed, facts, True, False, keep)
+    assert none.facts.count() == 0 and none.files.count() == 0 and none.changes.filter("change = 'gone'").count() == 50
+
+
+def test_order_does_not_depend_on_partitions(spark):
+    """Of two specifiers of one package the same is stored, however the files are dealt."""
+    rows = [(f"src/f{i}.ts", f'import x from "lib/part{i}";\n') for i in range(20)]
+    frame = spark.createDataFrame(rows, "path string, content string")
+    kept = [E.nodes_of(X.extract(f), "n").filter("source_id = 'external:npm:lib'").first() for f in (frame.repartition(1), frame.repartition(7), frame.orderBy(F.desc("path")))]
+    assert len({(r.name, str(r.seq)) for r in kept}) == 1

@@ -5,15 +5,17 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.extract.scan import Fact, facts
 from weftline.functions import predicates as P
 from weftline.sources.events import PROTOCOL, union
+from weftline.sources.shared import written
 
 SCHEMA = "path string, fact string, name string, kind string, owner string, specifier string, names array<string>, line long, end_line long, exported boolean, scope string, signature string, code string"
 SOURCE = r"\.(?:ts|tsx|js|jsx)$"
@@ -86,10 +88,17 @@ def edge(df: DataFrame, rel: Column | str, a: Column, b: Column, reason: str, co
     return _event(df, "edge", rel=P.lit(rel), **{"from": a, "to": b}, source=F.lit(source), props=props)
 
 
-def packages(files: DataFrame) -> DataFrame:
-    """name, root, kind, manifest path and dependencies of every package.json."""
-    rows = files.filter(P.base_name(F.col("path")) == "package.json")
-    parsed = rows.select("path", F.from_json("content", "name string, dependencies map<string,string>, devDependencies map<string,string>").alias("m"))
+def file_facts(files: DataFrame, relations: bool = True, identifiers: bool = False) -> DataFrame:
+    """All that the events need to know of (path, content): facts of source files, and manifests as they are."""
+    manifests = files.filter(P.base_name(F.col("path")) == "package.json")
+    other = [F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(SCHEMA).fields[2:-1]]
+    return scan(files, relations, identifiers).unionByName(manifests.select("path", F.lit("manifest").alias("fact"), *other, F.col("content").alias("code")))
+
+
+def packages(found: DataFrame) -> DataFrame:
+    """name, root, kind, manifest path and dependencies of every package.json, from the facts."""
+    rows = found.filter("fact = 'manifest'")
+    parsed = rows.select("path", F.from_json("code", "name string, dependencies map<string,string>, devDependencies map<string,string>").alias("m"))
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     root = F.when(folder == "", ".").otherwise(folder)
     none = F.create_map().cast("map<string,string>")
@@ -119,6 +128,80 @@ def resolved_imports(found: DataFrame, sources: DataFrame) -> DataFrame:
     return hit.groupBy("path", "kind", "specifier", "names", "line").agg(F.min_by("target", "pos").alias("target"))
 
 
+def bindings(rel: DataFrame) -> DataFrame:
+    """path, line, target, name and alias of each name that a relative import binds; ``name`` is * for a whole module."""
+    pair = F.split("n", ":")
+    rows = rel.filter("kind = 'import'").select("path", "target", "line", F.explode("names").alias("n"))
+    return rows.select("path", "line", "target", pair[0].alias("name"), pair[1].alias("alias"))
+
+
+def exported_names(rel: DataFrame, local: DataFrame, found: DataFrame, named: DataFrame) -> dict[str, DataFrame]:
+    """What files export, in three tables.
+
+    ``own``: path, name, q (a declared symbol; a file's own top-level names count whether exported or not). ``alias``:
+    path, name, to_path, to_name. ``star``: path, to_path. A name that a file exports explicitly hides its own of that name.
+    """
+    pair = F.split("n", ":")
+    again = rel.filter("kind = 're_export'").select("path", F.col("target").alias("to_path"), F.explode("names").alias("n")).select("path", "to_path", pair[0].alias("to_name"), pair[1].alias("name"))
+    star = again.filter("to_name = '*' AND name = '*'").select("path", "to_path").distinct()
+    again = again.filter("to_name <> '*'").select("path", "name", "to_path", "to_name")
+    lists = found.filter("fact = 'export'").select("path", "name", F.col("specifier").alias("local")).distinct()
+    inner = lists.join(named.select("path", F.col("name").alias("local"), "q"), ["path", "local"])
+    outer = lists.join(local.filter("name <> '*'").select("path", F.col("alias").alias("local"), F.col("target").alias("to_path"), F.col("name").alias("to_name")), ["path", "local"])
+    alias = again.unionByName(outer.join(inner.select("path", "name"), ["path", "name"], "left_anti").select("path", "name", "to_path", "to_name")).distinct()
+    listed = inner.select("path", "name", "q").distinct()
+    explicit = alias.select("path", "name").unionByName(listed.select("path", "name")).distinct()
+    own = listed.unionByName(named.join(explicit, ["path", "name"], "left_anti").select("path", "name", "q"))
+    return {"own": own, "alias": alias, "star": star}
+
+
+def star_aliases(names: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Aliases that ``export *`` makes: every name of the other file but default, where the file has none of its own.
+
+    Names spread from file to file; each round starts from those that are new, so files that star each other end.
+    """
+    star, explicit = keep(names["star"]), names["own"].select("path", "name").unionByName(names["alias"].select("path", "name")).distinct()
+    if star.isEmpty():
+        return names["alias"].limit(0)
+    known = new = explicit = keep(explicit)
+    while True:
+        step = star.join(new.filter("name <> 'default'").select(F.col("path").alias("to_path"), "name"), "to_path").select("path", "name").distinct()
+        new = keep(step.join(known, ["path", "name"], "left_anti"))
+        if new.isEmpty():
+            break
+        known = keep(known.unionByName(new))
+    made = star.join(known.filter("name <> 'default'").select(F.col("path").alias("to_path"), "name"), "to_path")
+    return made.join(explicit, ["path", "name"], "left_anti").select("path", "name", "to_path", F.col("name").alias("to_name"))
+
+
+def resolved_names(names: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """path, name, to_path and q: the symbols that each exported name stands for in the end.
+
+    Pointer jumping: each round follows every alias twice as far, so a chain of n files takes log n rounds. Aliases that run
+    in a circle never come to a symbol; after as many rounds as any chain can need they are dropped. A name that several
+    files bring by ``export *`` keeps all its symbols.
+    """
+    names = names | {"own": keep(names["own"]), "alias": keep(names["alias"])}
+    done = names["own"].select("path", "name", F.col("path").alias("to_path"), "q").distinct()
+    ahead = keep(names["alias"].unionByName(star_aliases(names, keep)).distinct())
+    n = ahead.count()
+    for _ in range(n.bit_length() + 1 if n else 0):
+        there = done.select(F.col("path").alias("p"), F.col("name").alias("n"), F.col("to_path").alias("found"), "q")
+        at = (F.col("to_path") == F.col("p")) & (F.col("to_name") == F.col("n"))
+        done = keep(done.unionByName(ahead.join(there, at).select("path", "name", F.col("found").alias("to_path"), "q")).distinct())
+        on = ahead.select(F.col("path").alias("p"), F.col("name").alias("n"), F.col("to_path").alias("next_path"), F.col("to_name").alias("next_name"))
+        ahead = keep(ahead.join(on, at).select("path", "name", F.col("next_path").alias("to_path"), F.col("next_name").alias("to_name")).distinct())
+        if ahead.isEmpty():
+            break
+    return done
+
+
+def bound_symbols(local: DataFrame, names: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """path, line, alias, to_path and q of each imported name that is found."""
+    there = resolved_names(names, keep).select(F.col("path").alias("target"), "name", "to_path", "q")
+    return local.join(there, ["target", "name"]).select("path", "line", "alias", "to_path", "q").distinct()
+
+
 def routes(sources: DataFrame, owners: DataFrame) -> DataFrame:
     """path, route_path, method, router and root of files that are routes."""
     path = F.col("path")
@@ -147,15 +230,28 @@ def layouts(sources: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(sources.select(F.col("path").alias("layout")), "layout", "left_semi")
 
 
-def extract(files: DataFrame, ignore: dict[str, str] | None = None, relations: bool | None = None, identifiers: bool = False) -> DataFrame:
+def extract(files: DataFrame, ignore: dict[str, str] | None = None, relations: bool | None = None, identifiers: bool = False, keep: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """Graph events of a tree of (path, content). ``relations`` None: only where the tree is small enough."""
     files = files.filter(~ignored(F.col("path"), ignore or {}))
-    sources = files.filter(F.col("path").rlike(SOURCE)).select("path").persist()
+    paths = keep(files.select("path"))
     if relations is None:
-        relations = sources.limit(RELATION_FILES + 1).count() <= RELATION_FILES
-    found = scan(files, relations, identifiers).persist()
-    pkgs = packages(files).persist()
-    owners = package_of(sources, pkgs)
+        relations = small(paths)
+    return link(paths, keep(file_facts(files, relations, identifiers)), relations, keep)
+
+
+def small(paths: DataFrame) -> bool:
+    """Whether a tree has few enough source files for the relations of its symbols."""
+    return paths.filter(F.col("path").rlike(SOURCE)).limit(RELATION_FILES + 1).count() <= RELATION_FILES
+
+
+def link(paths: DataFrame, found: DataFrame, relations: bool = True, keep: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """Graph events of the files' paths and of their facts: joins alone, no file is read. Both are read several times.
+
+    ``keep`` makes a DataFrame that is computed once; the caller lets go of it when the events are written.
+    """
+    sources = paths.filter(F.col("path").rlike(SOURCE)).select("path")
+    pkgs = keep(packages(found))
+    owners = keep(package_of(sources, pkgs))
     cat = lambda *x: F.concat(*(P.lit(c) if isinstance(c, Column) else F.lit(c) for c in x))
     file_id, pkg_id, project_id = cat("file:", F.col("path")), cat("package:", F.col("name")), cat("project:", F.col("root"))
     manifest = F.col("manifest")
@@ -177,7 +273,7 @@ def extract(files: DataFrame, ignore: dict[str, str] | None = None, relations: b
         edge(placed.filter("package_id IS NOT NULL"), "CONTAINS_FILE", F.col("package_id"), file_id, "package_file", 1.0), edge(placed.filter("root IS NOT NULL"), "CONTAINS_FILE", project_id, file_id, "project_file", 1.0),
     ]
     # imports
-    rel = resolved_imports(found, sources)
+    rel = keep(resolved_imports(found, sources))
     kinds = F.when(F.col("kind") == "re_export", "RE_EXPORTS_FILE").when(F.col("kind") == "dynamic", "DYNAMIC_IMPORTS_FILE").otherwise("IMPORTS_FILE")
     out.append(edge(rel, kinds, file_id, cat("file:", F.col("target")), "relative_import", 0.85, line=F.col("line")))
     bare = found.filter("fact = 'import' AND specifier NOT LIKE '.%' AND specifier NOT LIKE '/%'").withColumn("pkg", F.regexp_extract("specifier", r"^(@[^/]+/[^/]+|[^/]+)", 1))
@@ -200,17 +296,17 @@ def extract(files: DataFrame, ignore: dict[str, str] | None = None, relations: b
         edge(tops, "DEFINES", file_id, sid(qualified), "symbol_declaration", 1.0, line=line, end=end), edge(tops.filter("exported"), "EXPORTS_SYMBOL", file_id, sid(qualified), "exported_symbol", 1.0, line=line, end=end),
         edge(syms.filter("fact = 'param'"), "HAS_PARAMETER", sid(F.col("owner")), sid(qualified), "function_parameter", 1.0, line=line, end=end), edge(syms.filter("fact = 'var'"), "DECLARES_VARIABLE", sid(F.col("owner")), sid(qualified), "function_variable", 1.0, line=line, end=end),
     ]
-    named = tops.groupBy("path", "name").agg(F.first("specifier").alias("q"))
-    local = rel.filter("kind = 'import'").select("path", "target", "line", F.explode("names").alias("n")).select("path", "target", "line", F.split("n", ":")[0].alias("name"), F.split("n", ":")[1].alias("alias"))
-    bound = local.join(named.select(F.col("path").alias("target"), "name", "q"), ["target", "name"])
-    target = cat("symbol:", F.col("target"), "#", F.col("q"))
-    out.append(edge(bound, "IMPORTS_SYMBOL", file_id, target, "import_resolved", 1.0, line=line))
+    named = keep(tops.groupBy("path", "name").agg(F.min_by("specifier", F.struct("line", "specifier")).alias("q")))
+    local = bindings(rel)
+    bound = keep(bound_symbols(local, exported_names(rel, local, found, named), keep))
+    target = cat("symbol:", F.col("to_path"), "#", F.col("q"))
+    out.append(edge(bound.select("path", "line", "to_path", "q").distinct(), "IMPORTS_SYMBOL", file_id, target, "import_resolved", 1.0, line=line))
     # references: the file's own symbols, then its imports, then a name that is unique in the tree
     if relations:
         refs = found.filter("fact = 'ref'")
         here = named.select("path", "name", cat("symbol:", F.col("path"), "#", F.col("q")).alias("t1"))
-        via = bound.select("path", F.col("alias").alias("name"), target.alias("t2")).dropDuplicates(["path", "name"])
-        sole = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first(cat("symbol:", F.col("path"), "#", F.col("q"))).alias("t3")).filter("n = 1").drop("n")
+        via = bound.select("path", F.col("alias").alias("name"), target.alias("t2")).distinct()  # an ambiguous name has several
+        sole = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(cat("symbol:", F.col("path"), "#", F.col("q"))).alias("t3")).filter("n = 1").drop("n")
         refs = refs.join(here, ["path", "name"], "left").join(via, ["path", "name"], "left").join(sole, "name", "left").withColumn("t", F.coalesce("t1", "t2", "t3"))
         refs = refs.withColumn("o", sid(F.col("owner"))).filter("t IS NOT NULL AND t <> o").dropDuplicates(["kind", "o", "t", "path", "line", "end_line"])
         out.append(edge(refs, F.col("kind"), F.col("o"), F.col("t"), "name_resolved", F.when(F.col("kind") == "REFERENCES", 1.0).otherwise(0.75), line=line, end=end))
@@ -229,17 +325,17 @@ def extract(files: DataFrame, ignore: dict[str, str] | None = None, relations: b
     verbs = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"]
     handlers = route.filter(F.col("path").rlike(r"/route\.tsx?$")).join(tops.filter(F.col("name").isin(*verbs) & F.col("kind").isin("function", "component")).select("path", "specifier", "line"), "path")
     out.append(edge(handlers, "HANDLES_ROUTE", sid(F.col("specifier")), rid, "route_handler", 1.0, line=line, source="nextjs"))
-    unavailable = files.sparkSession.createDataFrame([("dependency validation is not available",)], "message string")
+    unavailable = paths.sparkSession.createDataFrame([("dependency validation is not available",)], "message string")
     out.append(_event(unavailable, "warning", message=F.col("message"), source=F.lit("validation"), props=F.create_map().cast("map<string,string>")))
     events = union(out)
-    return events.withColumn("raw", F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns]))).dropDuplicates(["raw"]).withColumn("seq", F.monotonically_increasing_id())
+    return events.withColumn("raw", F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns]))).dropDuplicates(["raw"]).withColumn("seq", F.col("raw"))  # the order is that of the events themselves
 
 
 def with_summary(events: DataFrame, began: float) -> DataFrame:
     """The events (persisted, as they are counted first) and a last one that tells how many there are and what time it took."""
     row = events.sparkSession.createDataFrame([(str(events.count()), str(int(1000 * (time.time() - began))))], "n string, ms string")
     last = _event(row, "summary", message=F.lit("extraction finished"), props=F.create_map(F.lit("events"), F.col("n"), F.lit("durationMs"), F.col("ms")))
-    last = last.withColumn("raw", F.to_json(F.struct(*[F.col(f"`{c}`") for c in last.columns]))).withColumn("seq", F.lit((1 << 63) - 1))
+    last = last.withColumn("raw", F.to_json(F.struct(*[F.col(f"`{c}`") for c in last.columns]))).withColumn("seq", F.lit("~"))  # after all that begin with a brace
     return events.unionByName(last)
 
 

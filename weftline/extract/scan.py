@@ -277,6 +277,8 @@ def imports(f: File) -> list[Fact]:
                 names += [f"{a.strip()}:{(b or a).strip()}"] * bool(a.strip())
         if default := re.match(rf"\s*(?:type\s+)?({WORD})\s*(?:,|from|\Z)", clause):
             names.append(f"default:{default.group(1)}")
+        if star := re.search(rf"\*(?:\s*as\s+({WORD}))?", clause):
+            names.append(f"*:{star.group(1) or '*'}")
         out.append(Fact("import", kind="re_export" if m.group(1) == "export" else "import", specifier=f.text[m.end() : quote], names=tuple(names), line=f.line(m.start(1))))
     for m in re.finditer(r"\bimport\s*\(\s*(['\"])", f.masked):
         quote = f.masked.find(m.group(1), m.end())
@@ -285,6 +287,20 @@ def imports(f: File) -> list[Fact]:
     return out
 
 
+def exports(f: File) -> list[Fact]:
+    """Names under which a file exports what it declares or imports otherwise: ``specifier`` is the local name."""
+    out = []
+    for m in re.finditer(r"^[ \t]*export\s*(?:type\s*)?\{([^}]*)\}(?!\s*from\b)", f.masked, re.M):
+        for x in m.group(1).split(","):
+            a, _, b = x.replace("type ", "").strip().partition(" as ")
+            if a.strip():
+                out.append(Fact("export", (b or a).strip(), specifier=a.strip(), line=f.line(m.start())))
+    for m in re.finditer(rf"^[ \t]*export\s+default\s+(?:(?:async\s+)?function\b\s*\*?|(?:abstract\s+)?class\b)?\s*({WORD})(?=\s*(?:[;({{<]|\n|\Z|extends\b|implements\b))", f.masked, re.M):
+        if m.group(1) not in ("function", "class", "async", "abstract", "new"):
+            out.append(Fact("export", "default", specifier=m.group(1), line=f.line(m.start())))
+    return out
+
+
 def references(f: File, identifiers: bool) -> list[Fact]:
     """Calls, instantiations, rendered components, types and, if wanted, other identifiers, each with its owner."""
     out = []
@@ -321,5 +337,5 @@ def others(f: File, path: str) -> list[Fact]:
 def facts(path: str, text: str, relations: bool = True, identifiers: bool = False) -> list[Fact]:
     """All facts of one file."""
     f = File(text)
-    out = declarations(f) + imports(f) + others(f, path)
+    out = declarations(f) + imports(f) + exports(f) + others(f, path)
     return out + (references(f, identifiers) if relations else [])

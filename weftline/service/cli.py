@@ -1,4 +1,4 @@
-"""Command line: doctor, reset, discover, index, update, status, namespaces, export, stdio, serve, extract."""
+"""Command line: doctor, reset, vacuum, discover, index, update, status, namespaces, export, stdio, serve, extract."""
 
 from __future__ import annotations
 
@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.extract import events as X
+from weftline.extract import incremental as I
 from weftline.operators import text as T
 from weftline.service import args as A
 from weftline.service import export, rpc
 from weftline.service.tools import Tools
 from weftline.sources import corpus
-from weftline.sources.store import GraphStore
+from weftline.sources.shared import Kept
+from weftline.sources.store import FACTS, FILES, GRACE, GraphStore
 
 
 def session(master: str | None = None) -> SparkSession:
@@ -25,21 +27,36 @@ def session(master: str | None = None) -> SparkSession:
     return (b.master(master) if master else b).getOrCreate()
 
 
+def ignore_files(repo: str) -> dict[str, str]:
+    """The ignore files of a working copy, by path."""
+    return {str(p.relative_to(repo)): p.read_text(encoding="utf-8") for p in Path(repo).rglob(".gitignore") if "node_modules" not in p.parts}
+
+
 def tree(spark: SparkSession, repo: str) -> tuple[DataFrame, dict[str, str]]:
     """(path, content) of a working copy, and its ignore files."""
-    ignore = {str(p.relative_to(repo)): p.read_text(encoding="utf-8") for p in Path(repo).rglob(".gitignore") if "node_modules" not in p.parts}
-    return corpus.read_files(spark, str(Path(repo).resolve()), hidden=True), ignore
+    return corpus.read_files(spark, str(Path(repo).resolve()), hidden=True), ignore_files(repo)
 
 
 def index(spark: SparkSession, store: GraphStore, repo: str, namespace: str, mode: str = "fast", merge: bool = False) -> dict:
-    """Extract a working copy and store it."""
-    began = time.time()
-    files, ignore = tree(spark, repo)
-    found = X.extract(files, ignore, None if mode == "fast" else True, mode == "full").persist()
-    try:
-        return store.load(X.with_summary(found, began), namespace, repo, "typescript", mode, merge) | {"durationMs": int(1000 * (time.time() - began))}
-    finally:
-        found.unpersist()
+    """Extract a working copy and store it. With ``merge`` only files that have changed since are scanned; what is stored is
+    the same as without."""
+    began, root = time.time(), str(Path(repo).resolve())
+    ignore = ignore_files(repo)
+
+    def read(paths: DataFrame, n: int) -> DataFrame:
+        if n > I.NAMED:
+            return corpus.read_files(spark, root, hidden=True).join(paths, "path", "left_semi")
+        return corpus.read_files(spark, root, hidden=True, names=[r["path"] for r in paths.collect()])  # at most NAMED
+
+    with Kept() as keep:
+        listing = keep(corpus.list_files(spark, root, hidden=True).filter(~X.ignored(F.col("path"), ignore)))
+        relations = True if mode == "full" else X.small(listing)
+        old = {t: store.table(t, namespace) if merge else None for t in (FILES, FACTS)}
+        now = I.refresh(listing, read, old[FILES], old[FACTS], relations, mode == "full", keep)
+        facts, changes = keep(now.facts), {r["change"]: r["count"] for r in now.changes.groupBy("change").count().collect()}
+        found = keep(X.link(listing, facts, relations, keep))
+        counts = store.load(X.with_summary(found, began), namespace, repo, "typescript", mode, more={FACTS: facts, FILES: now.files})
+    return counts | {"scannedFiles": changes.get("scanned", 0), "goneFiles": changes.get("gone", 0), "durationMs": int(1000 * (time.time() - began))}
 
 
 def graph_tables(store: GraphStore, namespace: str) -> tuple[DataFrame | None, DataFrame | None]:
@@ -53,16 +70,23 @@ def graph_tables(store: GraphStore, namespace: str) -> tuple[DataFrame | None, D
 
 
 def tools(spark: SparkSession, store: GraphStore, repo: str, namespace: str) -> Tools:
-    """The tools over a stored namespace and the working copy."""
-    files, _ = tree(spark, repo)
-    nodes, edges = graph_tables(store, namespace)
-    return Tools(spark, T.scan_lines(files).persist(), nodes, edges, repo, lambda _: index(spark, store, repo, namespace), lambda: store.namespace(namespace))
+    """The tools over a stored namespace and the working copy. A rebuild scans what has changed, and the tools then serve
+    the new graph and the new text."""
+
+    def tables() -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        return T.scan_lines(tree(spark, repo)[0]).persist(), *graph_tables(store, namespace)
+
+    def rebuild(limit: int, mode: str = "") -> dict:
+        entry = store.namespace(namespace)
+        return index(spark, store, repo, namespace, mode or (entry["analysis_mode"] if entry else "fast"), merge=True)
+
+    return Tools(spark, *tables(), repo, rebuild, lambda: store.namespace(namespace), tables)
 
 
 def main(argv: list[str] | None = None) -> int:
     """Run a command."""
     p = argparse.ArgumentParser(prog="weftline", description=__doc__)
-    p.add_argument("command", choices=["doctor", "reset", "discover", "index", "update", "status", "namespaces", "export", "stdio", "serve", "extract"])
+    p.add_argument("command", choices=["doctor", "reset", "discover", "index", "update", "status", "namespaces", "export", "stdio", "serve", "extract", "vacuum"])
     p.add_argument("--repo", default=".")
     p.add_argument("--store", default=None)
     p.add_argument("--namespace", default="default")
@@ -71,6 +95,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--port", type=int, default=8765)
     p.add_argument("--all", action="store_true")
     p.add_argument("--master", default=None)
+    p.add_argument("--grace", type=float, default=GRACE)
     a = p.parse_args(argv)
     conf = A.settings(a.repo)
     spark = session(a.master or conf.get("master"))
@@ -80,6 +105,9 @@ def main(argv: list[str] | None = None) -> int:
         say({"spark": spark.version, "python": sys.version.split()[0], "store": store.root, "namespaces": store.namespaces().count()})
     elif a.command == "reset":
         store.reset_all() if a.all else store.reset(a.namespace)
+        store.vacuum(a.grace)
+    elif a.command == "vacuum":
+        say(store.vacuum(a.grace))
     elif a.command == "discover":
         say(corpus.discover(tree(spark, a.repo)[0]).first().asDict(True))
     elif a.command in ("index", "update"):
@@ -90,7 +118,8 @@ def main(argv: list[str] | None = None) -> int:
         say([r.asDict() for r in store.namespaces().collect()])
     elif a.command == "extract":
         began, (files, ignore) = time.time(), tree(spark, a.repo)
-        X.write_ndjson(X.with_summary(X.extract(files, ignore).persist(), began), a.out)
+        with Kept() as keep:
+            X.write_ndjson(X.with_summary(keep(X.extract(files, ignore, keep=keep)), began), a.out)
     elif a.command == "export":
         nodes, edges = graph_tables(store, a.namespace)
         if nodes is None:

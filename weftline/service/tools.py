@@ -53,11 +53,9 @@ def schema(names: tuple[str, ...], required: tuple[str, ...]) -> dict[str, Any]:
 class Tools:
     """The tools over one graph and one corpus. Without a graph the text side still answers."""
 
-    def __init__(self, spark: SparkSession, lines: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None, repo: str = ".", rebuild: Callable[[int], dict] | None = None, info: Callable[[], dict | None] | None = None) -> None:
-        self.spark, self.lines, self.repo, self.rebuild, self.info = spark, lines, repo, rebuild, info
-        self.has_graph = nodes is not None and edges is not None
-        self.nodes = nodes if self.has_graph else spark.createDataFrame([], EMPTY_NODES)
-        self.edges = edges if self.has_graph else spark.createDataFrame([], EMPTY_EDGES)
+    def __init__(self, spark: SparkSession, lines: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None, repo: str = ".", rebuild: Callable[..., dict] | None = None, info: Callable[[], dict | None] | None = None, reload: Callable[[], tuple[DataFrame, DataFrame | None, DataFrame | None]] | None = None) -> None:
+        self.spark, self.repo, self.rebuild, self.info, self.reload = spark, repo, rebuild, info, reload
+        self._serve(lines, nodes, edges)
         back = lambda a: self.relations(a | {"direction": "reverse"})
         trail = ("targetId", "depth", "limit", "minConfidence")
         #: function, description, arguments, required ones, whether advertised
@@ -89,6 +87,12 @@ class Tools:
             "get_namespace_info": (self.metadata, "The namespace's registry entry and counts", (), (), False),
         }
 
+    def _serve(self, lines: DataFrame, nodes: DataFrame | None, edges: DataFrame | None) -> None:
+        """Answer from these tables from now on."""
+        self.lines, self.has_graph = lines, nodes is not None and edges is not None
+        self.nodes = nodes if self.has_graph else self.spark.createDataFrame([], EMPTY_NODES)
+        self.edges = edges if self.has_graph else self.spark.createDataFrame([], EMPTY_EDGES)
+
     def listing(self) -> list[dict[str, Any]]:
         """Names, descriptions and argument schemas of the advertised tools."""
         return [{"name": n, "description": d, "inputSchema": schema(names, required)} for n, (_, d, names, required, shown) in self.table.items() if shown]
@@ -281,20 +285,26 @@ class Tools:
         limit = A.clamp_timeout(A.number(a, "timeoutSec", A.number(a, "timeoutSeconds", 300)))
         if self.rebuild is None:
             return {"ok": False, "error": "no rebuild is configured", "timeoutSec": limit}
-        out = self._within(limit) | {"timeoutSec": limit, "freshness": self.freshness({})}
+        mode = A.text(a, "analysisMode", "mode")
+        out = self._within(limit, *([mode] if mode else [])) | {"timeoutSec": limit}
+        if out["ok"] and self.reload is not None:
+            old = self.lines
+            self._serve(*self.reload())
+            old.unpersist()
+        out["freshness"] = self.freshness({})
         paths = A.strings(a, "paths") + (self._dirty() if A.flag(a, "useDirty") else [])
         if out["ok"] and paths and A.flag(a, "includeImpact", True):
             out["impact"] = self.path_set({"paths": paths[: H.MAX_SEEDS]})
         return out
 
-    def _within(self, limit: float) -> dict[str, Any]:
+    def _within(self, limit: float, *mode: str) -> dict[str, Any]:
         """The rebuild's answer, or an error when it fails or takes longer than ``limit`` seconds."""
         sc, group, answer, done = self.spark.sparkContext, f"rebuild-{uuid.uuid4().hex}", {}, threading.Event()
 
         def run() -> None:
             sc.setJobGroup(group, "rebuild", interruptOnCancel=True)
             try:
-                answer.update({"ok": True} | self.rebuild(limit))
+                answer.update({"ok": True} | self.rebuild(limit, *mode))
             except Exception as e:  # a failed rebuild is an answer, not a crash
                 answer.update({"ok": False, "error": str(e)[:500]})
             finally:

@@ -136,6 +136,13 @@ def attached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
+def marked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All edges, with ``attached``: whether both ends are stored."""
+    ids = lambda name: nodes.select(F.col("id").alias(name), F.lit(True).alias(f"_{name}"))
+    both = edges.join(ids("src"), "src", "left").join(ids("dst"), "dst", "left")
+    return both.select(*edges.columns, (F.col("_src").isNotNull() & F.col("_dst").isNotNull()).alias("attached"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``new`` over ``old``, property by property: a null leaves what was there."""
     cols = [c for c in old.columns if c not in keys]

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -20,3 +20,33 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` written to the shared folder and read back: computed once, and the plan ends there. A lost
+    executor costs a re-read. Deleted when the JVM ends."""
+    path = fresh_folder(df.sparkSession, "kept")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+class Kept:
+    """``written``, for a block: at its end all that was written in it is deleted."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(written(df))
+        return self.frames[-1]
+
+    def __enter__(self) -> Kept:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for df in self.frames:
+            place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_at)
+            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        self.frames.clear()
