@@ -14,7 +14,9 @@ that would overshoot the target is left out; what is then missing is filled in `
 that order that fit, ``NEXT`` a round, and at last with those whose size is nearest to it.
 
 Defined results: a null or empty text has size 0 and is never taken. A null source is a source of its own, last in order.
-Repeated rows (same id, source and text) share their hash and their number of copies. An empty table gives an empty
+Repeated rows
+(same id, source and text) are numbered and have hashes of their own, so each is dealt copies like any other row; which of
+them gets more makes no difference. An empty table gives an empty
 result. Only the id, text and source columns are read, and those to carry. Reruns agree, as nothing depends on partitions
 or time.
 """
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from weftline.llm.scratch import discard, keep
+from weftline.llm.scan import running
+from weftline.llm.scratch import apart, discard, keep
 
 WORD = r"[^\x20\x09-\x0D]+"
 BITS, LEVELS = 12, 3
@@ -98,15 +101,28 @@ def rate_of(size: Column, lam: Column, most: float) -> Column:
     return F.when(size > 0, F.round(F.least(F.lit(float(most)), F.exp(F.least(lam * gauge(size), F.lit(60.0)))), 9)).otherwise(0.0)
 
 
+def numbered(sized: DataFrame) -> DataFrame:
+    """``sized`` (a written table) with hashes ``h`` that no two rows share: those of rows that repeat one are made anew from
+    it and the row's number among them. Other rows aren't shuffled; one row may be repeated any number of times."""
+    spark = sized.sparkSession
+    again = keep(spark, sized.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "repeated")
+    if again.isEmpty():
+        return sized
+    rest, some = apart(sized, again, "h")
+    some = running(some.withColumn("_any", F.monotonically_increasing_id()), "h", [F.col("_any")], {"_number": ("sum", F.lit(1).cast("long"))})
+    some = some.withColumn("h", F.when(F.col("_number") > 1, F.xxhash64("h", "_number")).otherwise(F.col("h")))
+    return keep(spark, rest.unionByName(some.select(*sized.columns)), "numbered")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """Id, source, size, source_size, target, rate, copies and taken of every row, and the columns to carry."""
     spark = docs.sparkSession
     source = F.col(source_col).cast("string")
-    sized = keep(spark, docs.select(
+    sized = numbered(keep(spark, docs.select(
         F.col(id_col).alias("id"), source.alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col))), F.col(id_col), source).alias("h"), *(F.col(c) for c in carry),
-    ), "sizes")
+        F.xxhash64(F.col(id_col), source, F.xxhash64(F.col(text_col))).alias("h"), *(F.col(c) for c in carry),
+    ), "sizes"))
     counts = keep(spark, sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")), "size-counts")
     totals = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
     sources = ranked_sources(spark, totals)
