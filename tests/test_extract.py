@@ -78,7 +78,6 @@ def test_scan():
     assert len(mask(text)) == len(text) and "b(c)" not in mask(text) and "f(" in mask(text)
     assert File("a(b[c{d}])").pairs == {1: 9, 3: 8, 5: 7}
     assert facts("a.ts", "") == [] and facts("a.ts", "}}}((( 'unclosed") == []
-    assert X.ignore_regex("/a/*.ts", "x") == ("^x/a/[^/]*\\.ts(?:/|$)", False) and X.ignore_regex("!b")[1]
 
 
 def _stored(store, name):

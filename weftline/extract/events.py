@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.extract import ignore as IG
 from weftline.extract.scan import Fact, facts
 from weftline.functions import predicates as P
 from weftline.sources.events import PROTOCOL, union
@@ -21,31 +22,6 @@ SCHEMA = "path string, fact string, name string, kind string, owner string, spec
 SOURCE = r"\.(?:ts|tsx|js|jsx)$"
 #: Limits of the modes: relations are skipped above it unless forced.
 RELATION_FILES = 750
-# What is ignored besides the ignore files.
-IGNORED = ("node_modules/", ".git/", ".next/", "dist/", "coverage/", ".turbo/", "build/", "**/*.d.ts")
-
-
-def ignore_regex(pattern: str, folder: str = "") -> tuple[str, bool]:
-    """(regular expression, whether it takes back) of one line of an ignore file in a folder."""
-    negated = pattern.startswith("!")
-    p = pattern.lstrip("!").strip()
-    only_dir, anchored = p.endswith("/"), "/" in p.strip("/") or p.startswith("/")
-    body = re.escape(p.strip("/")).replace(r"\*\*/", "(?:.*/)?").replace(r"/\*\*", "/.*").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-    start = f"^{re.escape(folder + '/') if folder else ''}" + ("" if anchored else "(?:.*/)?")
-    return start + body + ("/" if only_dir else "(?:/|$)"), negated
-
-
-def ignored(path: Column, files: dict[str, str]) -> Column:
-    """Whether ignore files (path to content) leave a path out; the last line that fits decides."""
-    out = F.lit(False)
-    lines = [(x, "") for x in IGNORED]
-    for where in sorted(files, key=lambda p: p.count("/")):
-        lines += [(x.strip(), where.rpartition("/")[0]) for x in files[where].splitlines() if x.strip() and not x.startswith("#")]
-    for line, folder in lines:
-        regex, negated = ignore_regex(line, folder)
-        out = F.when(path.rlike(regex), F.lit(not negated)).otherwise(out)
-    return out
-
 
 def scan(files: DataFrame, relations: bool = True, identifiers: bool = False) -> DataFrame:
     """Facts of every source file; a file's content meets Python once."""
@@ -230,9 +206,12 @@ def layouts(sources: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(sources.select(F.col("path").alias("layout")), "layout", "left_semi")
 
 
-def extract(files: DataFrame, ignore: dict[str, str] | None = None, relations: bool | None = None, identifiers: bool = False, keep: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
-    """Graph events of a tree of (path, content). ``relations`` None: only where the tree is small enough."""
-    files = files.filter(~ignored(F.col("path"), ignore or {}))
+def extract(files: DataFrame, ignore: DataFrame | dict[str, str] | None = None, relations: bool | None = None, identifiers: bool = False, keep: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """Graph events of a tree of (path, content). ``ignore`` has its ignore files (path, content); ``relations`` None: only
+    where the tree is small enough."""
+    if not isinstance(ignore, DataFrame):
+        ignore = files.sparkSession.createDataFrame(list((ignore or {}).items()), "path string, content string")
+    files = IG.kept(files, keep(IG.rules(ignore)))
     paths = keep(files.select("path"))
     if relations is None:
         relations = small(paths)
@@ -349,12 +328,6 @@ def write_ndjson(events: DataFrame, path: str) -> None:
     events.select(F.col("raw").alias("value")).write.text(path)
 
 
-def ignore_files(rows: DataFrame) -> dict[str, str]:
-    """Ignore files of a tree (path, content); there is one a folder at most, and they are small."""
-    found = rows.filter(P.base_name(F.col("path")) == ".gitignore").select("path", "content")
-    return {r["path"]: r["content"] for r in found.toLocalIterator()}
-
-
 def parse_json(text: str) -> dict:
     """A JSON object, or an empty one."""
     try:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.functions import predicates as P
+from weftline.operators import literals as L
 
 CALL_KINDS = ("call", "method_call", "jsx")
 RANK_PARTS = 64
@@ -98,13 +99,53 @@ def with_owner(lines: DataFrame) -> DataFrame:
     return rows.select("path", "line_no", "text", "seg", after.alias("after_end"), owner.alias("owner"))
 
 
-def symbol_lines(lines: DataFrame, symbol: str) -> DataFrame:
+#: Lines of a bin of the span join.
+BIN = 64
+
+
+def owner_spans(lines: DataFrame) -> DataFrame:
+    """path, seg, first, last and owner of every function: the stretch of lines that ``with_owner`` gives to it.
+
+    A table to be stored with the corpus: a request then attributes the lines it has found, and reads no others. A span
+    that a following function cuts off ends before that one; one that is never closed ends with the file.
+    """
+    rows = with_owner(lines).filter("seg > 0")
+    inside = F.when(~F.col("after_end"), F.col("line_no"))
+    return rows.groupBy("path", "seg").agg(F.min("line_no").alias("first"), F.max(inside).alias("last"), F.max("owner").alias("owner"))
+
+
+def attributed(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``rows`` (path, line_no, text, ...) without comment lines, with seg, after_end and owner, as ``with_owner`` has them.
+
+    An equi-join on path and bin: a line looks for the spans of its bin, and for the last one that began in a bin before.
+    """
+    rows = rows.filter(~P.is_comment(F.col("text"), P.strip(F.col("text")))).withColumn("_bin", F.floor(F.col("line_no") / BIN))
+    # bins from a span's first line to that of the next span: where its lines, and those after its end, can be
+    following = F.lead("first").over(Window.partitionBy("path").orderBy("seg"))
+    starts = spans.withColumn("_until", following)
+    found = starts.select(F.col("path").alias("_p"), "seg", "first", "last", "owner", "_until")
+    tops = rows.groupBy(F.col("path").alias("_q")).agg(F.max("_bin").alias("_top"))
+    found = found.join(tops, F.col("_p") == F.col("_q")).withColumn("_to", F.coalesce(F.floor((F.col("_until") - 1) / BIN), F.col("_top")))
+    bins = F.sequence(F.floor(F.col("first") / BIN), F.greatest(F.floor(F.col("first") / BIN), F.least("_to", "_top")))
+    found = found.withColumn("_b", F.explode(bins))
+    here = (F.col("path") == F.col("_p")) & (F.col("_bin") == F.col("_b")) & (F.col("line_no") >= F.col("first")) & (F.col("_until").isNull() | (F.col("line_no") < F.col("_until")))
+    out = rows.join(found, here, "left")
+    after = F.coalesce(F.col("line_no") > F.col("last"), F.lit(False))
+    drop = ("_bin", "_p", "first", "last", "_until", "_q", "_top", "_to", "_b")
+    return out.withColumn("after_end", after).withColumn("owner", F.when(F.col("seg").isNull() | after, "").otherwise(F.col("owner"))).withColumn("seg", F.coalesce("seg", F.lit(0).cast("long"))).drop(*drop)
+
+
+def symbol_lines(lines: DataFrame, symbol: str, spans: DataFrame | None = None) -> DataFrame:
     """Every line that uses the symbol, with its owner, category, kind and bucket.
 
-    Only files that mention the symbol are attributed: a semi-join on paths comes before the windows.
+    With the stored ``spans`` only these lines are read and attributed. Without them the files that mention the symbol are:
+    a semi-join on paths comes before the windows.
     """
-    mentions = lines.filter(F.contains("text", F.lit(symbol))).select("path").distinct()
-    rows = with_owner(lines.join(mentions, "path", "left_semi")).filter(F.contains("text", F.lit(symbol)))
+    hit = F.contains("text", F.lit(symbol))
+    if spans is not None:
+        rows = attributed(lines.filter(hit), spans)
+    else:
+        rows = with_owner(lines.join(lines.filter(hit).select("path").distinct(), "path", "left_semi")).filter(hit)
     rows = rows.withColumn("stripped", P.strip(F.col("text"))).withColumn("kind", P.symbol_line_kind(symbol, F.col("text"), F.col("stripped"))).filter("kind IS NOT NULL").drop("stripped")
     return rows.withColumn("category", P.classify_path(F.col("path"))).withColumn("bucket", P.kind_bucket(F.col("kind")))
 
@@ -120,9 +161,9 @@ def symbol_buckets(lines: DataFrame, symbols: list[str]) -> DataFrame:
     return rows.select("path", F.explode(kinds).alias("kind")).filter("kind IS NOT NULL").select("path", P.kind_bucket(F.col("kind")).alias("bucket")).distinct()
 
 
-def function_impact(lines: DataFrame, symbol: str, *, prefix: str = "", package: str = "", per_file: int = 5, **switches: bool) -> DataFrame:
+def function_impact(lines: DataFrame, symbol: str, *, prefix: str = "", package: str = "", per_file: int = 5, spans: DataFrame | None = None, **switches: bool) -> DataFrame:
     """Per file and bucket: hit_count, owners in the order of their first use, kind counts and the first lines."""
-    rows = symbol_lines(lines.filter(P.is_searchable(F.col("path")) & ~P.skip_path(F.col("path")) & P.path_in_scope(F.col("path"), prefix, package)), symbol)
+    rows = symbol_lines(lines.filter(P.is_searchable(F.col("path")) & ~P.skip_path(F.col("path")) & P.path_in_scope(F.col("path"), prefix, package)), symbol, spans)
     rows = rows.filter(P.include_category(F.col("category"), **switches))
     part = Window.partitionBy("path", "bucket")
     rows = rows.withColumn("rank", F.row_number().over(part.orderBy("line_no"))).withColumn("first_of_owner", F.min("line_no").over(Window.partitionBy("path", "bucket", "owner")))
@@ -134,14 +175,19 @@ def function_impact(lines: DataFrame, symbol: str, *, prefix: str = "", package:
     )
 
 
-def callsites(lines: DataFrame, callee: str, required: str, *, tests: bool = True, scripts: bool = True, limit: int | None = None) -> DataFrame:
+def callsites(lines: DataFrame, callee: str, required: str, *, tests: bool = True, scripts: bool = True, limit: int | None = None, spans: DataFrame | None = None) -> DataFrame:
     """Every call of ``callee``: owner, line, and the line of the last ``required`` call before it in the same owner.
 
-    On a line with both, the offsets decide, and such a line does not count for later calls.
+    On a line with both, the offsets decide, and such a line does not count for later calls. With the stored ``spans`` only
+    lines with one of the names are read, and the order among them decides.
     """
     call, need = P.java_regex(P.call_pattern(callee)), P.java_regex(P.call_pattern(required))
-    mentions = lines.filter(F.contains("text", F.lit(callee))).select("path").distinct()
-    rows = with_owner(lines.join(mentions, "path", "left_semi")).withColumn("category", P.classify_path(F.col("path")))
+    if spans is not None:
+        rows = attributed(lines.filter(F.contains("text", F.lit(callee)) | F.contains("text", F.lit(required))), spans)
+    else:
+        mentions = lines.filter(F.contains("text", F.lit(callee))).select("path").distinct()
+        rows = with_owner(lines.join(mentions, "path", "left_semi"))
+    rows = rows.withColumn("category", P.classify_path(F.col("path")))
     rows = rows.filter(P.include_callsite_category(F.col("category"), tests=tests, scripts=scripts))
     calls = F.contains("text", F.lit(callee)) & F.col("text").rlike(call) & ~P.is_definition_or_import(callee, F.col("text"))
     needs = F.contains("text", F.lit(required)) & F.col("text").rlike(need) & ~P.is_definition_or_import(required, F.col("text"))
@@ -216,18 +262,10 @@ def import_terms(seeds: DataFrame) -> DataFrame:
     return seeds.select(F.col("path").alias("seed"), F.explode(F.array_distinct(F.filter(terms, lambda t: t.isNotNull()))).alias("term"))
 
 
-def path_set_importers(lines: DataFrame, seeds: DataFrame, most_terms: int = 200) -> DataFrame:
-    """Files whose lines hold a term of a seed: one scan for all terms, which become one alternation of literals.
-
-    The seeds of a request are at most 80 files, so the terms are bounded; ``most_terms`` guards that.
-    """
-    terms = sorted({r["term"] for r in import_terms(seeds).select("term").distinct().limit(most_terms + 1).collect()})
-    if len(terms) > most_terms:
-        raise ValueError(f"more than {most_terms} import terms; pass fewer seeds")
-    if not terms:
-        return lines.sparkSession.createDataFrame([], "path string, hits long, is_test boolean")
-    either = "|".join(f"\\Q{t}\\E" for t in terms)
-    hit = lines.filter(P.is_searchable(F.col("path")) & F.col("text").rlike(either)).join(seeds.select("path"), "path", "left_anti")
+def path_set_importers(lines: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Files with lines that hold a term of a seed, and how many such lines: one pass for any number of terms."""
+    rows = lines.filter(P.is_searchable(F.col("path"))).join(seeds.select("path"), "path", "left_anti")
+    hit = L.occurrences(rows, import_terms(seeds).select("term")).select("path", "line_no").distinct()
     return hit.groupBy("path").agg(F.count(F.lit(1)).alias("hits")).withColumn("is_test", P.classify_path(F.col("path")) == "test")
 
 

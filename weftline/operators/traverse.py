@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import MIN_CONFIDENCE, confidence
+from weftline.sources.shared import Kept
 
 MAX_DEPTH, MAX_LIMIT = 8, 200
 #: Synonyms of the directions.
@@ -69,26 +70,70 @@ def relations(edges: DataFrame, starts: DataFrame, **opts: object) -> DataFrame:
     return spark.createDataFrame(out, "start string, depth int, nodes array<string>, edges array<string>")
 
 
+class Meeting:
+    """The levels of a search from both ends: sets of nodes by their distance from the source and from the target."""
+
+    def __init__(self, moves: DataFrame, source: str, target: str, keep: Kept) -> None:
+        spark = moves.sparkSession
+        one = lambda x: spark.createDataFrame([(x,)], "here string")
+        self.moves, self.sides, self.sizes, self.expanded, self.keep = moves, ([one(source)], [one(target)]), [1, 1], 0, keep
+
+    def grow(self) -> bool:
+        """One more level on the side whose last level is smaller; false if there is none."""
+        k = 0 if self.sizes[0] <= self.sizes[1] else 1
+        levels = self.sides[k]
+        # a neighbour of a level is in the level before it, in it, or new
+        near = levels[-1] if len(levels) < 2 else levels[-1].unionByName(levels[-2])
+        wide = levels[-1].join(self.moves, F.col("here") == F.col("at")).select(F.col("to").alias("here")).distinct()
+        levels.append(self.keep(wide.join(near, "here", "left_anti")))
+        self.sizes[k] = levels[-1].count()
+        self.expanded += self.sizes[k]
+        return self.sizes[k] > 0
+
+    def met(self) -> DataFrame:
+        """Nodes in the last levels of both sides: as far from one end as was searched, and from the other."""
+        return self.sides[0][-1].join(self.sides[1][-1], "here", "left_semi")
+
+    def layers(self) -> list[DataFrame]:
+        """For each distance from the source the nodes that lie on a shortest path."""
+        middle, (there, back) = self.keep(self.met()), self.sides
+        beside = lambda level, layer: self.keep(level.join(layer.join(self.moves, F.col("here") == F.col("at")).select(F.col("to").alias("here")), "here", "left_semi"))
+        out = [middle]
+        for level in reversed(there[:-1]):
+            out.insert(0, beside(level, out[0]))
+        for level in reversed(back[:-1]):
+            out.append(beside(level, out[-1]))
+        return out
+
+
 def shortest_path(spark: SparkSession, edges: DataFrame, source: str, target: str, depth: int = 4, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """nodes and edges of one undirected shortest path of at most ``depth`` edges; no row if there is none.
+    """nodes and edges of one undirected shortest path of at most ``depth`` edges, that with the smallest edges in their
+    order; no row if there is none. Equal ends give no path."""
+    return search_path(spark, edges, source, target, depth, min_confidence)[0]
+
+
+def search_path(spark: SparkSession, edges: DataFrame, source: str, target: str, depth: int = 4, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, int]:
+    """``shortest_path``, and how many nodes were reached on the way.
 
-    Breadth first: a node is kept once, with its smallest parent edge, and never visited again. Equal ends give no path.
+    Breadth first from both ends, by levels of nodes alone; the side with the smaller level grows, until the levels meet or
+    their distances add up to ``depth``. The path is then put together along the nodes of shortest paths only.
     """
-    schema = "here string, nodes array<string>, edges array<string>"
-    found: list = []
-    if source != target:
-        moves = steps(edges, "both", min_confidence).persist()
-        front = spark.createDataFrame([(source, [source], [])], schema)
-        seen, held = front.select("here"), [moves]
-        for _ in range(min(max(depth, 1), MAX_DEPTH)):
-            wide = front.join(moves, F.col("here") == F.col("at")).join(seen.withColumnRenamed("here", "to"), "to", "left_anti")
-            best = F.min(F.struct(F.concat("edges", F.array("e")).alias("edges"), F.concat("nodes", F.array("to")).alias("nodes"))).alias("b")
-            front = wide.groupBy("to").agg(best).select(F.col("to").alias("here"), "b.nodes", "b.edges").persist()
-            held.append(front)
-            found = front.filter(F.col("here") == target).select("nodes", "edges").collect()  # one row at most
-            if found or front.isEmpty():
+    schema, found, expanded = "nodes array<string>, edges array<string>", [], 0
+    with Kept() as keep:
+        if source != target:
+            moves = keep(steps(edges, "both", min_confidence))
+            m = Meeting(moves, source, target, keep)
+            for _ in range(min(max(depth, 1), MAX_DEPTH)):
+                if not m.grow():
+                    break
+                if m.met().isEmpty():
+                    continue
+                paths = spark.createDataFrame([(source, [source], [])], "here string, nodes array<string>, edges array<string>")
+                for layer in m.layers()[1:]:
+                    wide = paths.join(moves, F.col("here") == F.col("at")).join(layer.select(F.col("here").alias("to")), "to", "left_semi")
+                    best = F.min(F.struct(F.concat("edges", F.array("e")).alias("edges"), F.concat("nodes", F.array("to")).alias("nodes"))).alias("b")
+                    paths = wide.groupBy("to").agg(best).select(F.col("to").alias("here"), "b.nodes", "b.edges")
+                found = paths.select("nodes", "edges").collect()  # the target's row
                 break
-            seen = seen.unionByName(front.select("here"))
-        for x in held:
-            x.unpersist()
-    return spark.createDataFrame(found, "nodes array<string>, edges array<string>")
+            expanded = m.expanded
+    return spark.createDataFrame(found, schema), expanded

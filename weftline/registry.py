@@ -11,15 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.extract import events as X
+from weftline.extract import incremental as I
 from weftline.fixtures import VIEWS, view
 from weftline.functions import predicates as P
 from weftline.operators import graph as G
 from weftline.operators import text as T
 from weftline.operators import traverse as V
+from weftline.operators.textindex import TextIndex
 from weftline.plans import hybrid as H
 from weftline.service import export
 from weftline.sources import events as E
-from weftline.sources.shared import fresh_folder
+from weftline.sources.shared import Kept, fresh_folder
 from weftline.sources.store import GraphStore
 from weftline.streaming import ingest
 
@@ -29,6 +31,23 @@ ORACLES: dict[str, str] = {}
 SYMBOL = "red_plate"
 
 
+_MADE: dict[tuple[str, str, str], str] = {}
+
+
+def _made_once(t: Tables, name: str, write: Callable[[str], object]) -> str:
+    """The path of a table or index that is written once a session: it stands for a stored one."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _MADE:
+        path = fresh_folder(t.spark, name)
+        write(path)
+        _MADE[key] = path
+    return _MADE[key]
+
+
+def _once(t: Tables, name: str, write: Callable[[str], object]) -> DataFrame:
+    return t.spark.read.parquet(_made_once(t, name, write))
+
+
 class Tables:
     """The derived tables of one folder."""
 
@@ -60,6 +79,17 @@ class Tables:
         docs = self.raw("documents").select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), F.col("text").alias("content"))
         return T.scan_lines(docs)
 
+    @property
+    def spans(self) -> DataFrame:
+        """The owner spans of the lines, stored once a session."""
+        return _once(self, "spans", lambda path: T.owner_spans(self.lines).write.parquet(path))
+
+    @property
+    def text_index(self) -> TextIndex:
+        """An index of the documents, as files, made once a session."""
+        docs = self.raw("documents").select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), F.col("text").alias("content"))
+        return TextIndex(self.spark, _made_once(self, "text-index", lambda path: TextIndex.build(docs, path)))
+
     @property
     def odd_files(self) -> DataFrame:
         """File paths with endings that the search takes, and others that it doesn't."""
@@ -222,6 +252,11 @@ SELECT path, category, match_count, env_reads, assignments, "references", list_t
 query("t1_search_prose", """
 WITH d AS (SELECT concat(source, '/', lang, '/', doc_id, '.md') AS path, unnest(string_split(text, chr(10))) AS line FROM documents),
 f AS (SELECT path, 'docs' AS category, count(*) AS match_count FROM d WHERE contains(line, 'é') GROUP BY path) SELECT * FROM f ORDER BY path LIMIT 40""", fixture=False)(lambda t: T.count_literal_files(t.prose, "é"))
+_PLACE = "concat(source, '/', lang, '/', doc_id, '.md')"
+query("s16_candidates", f"SELECT {_PLACE} AS path FROM documents WHERE contains(text, 'Apache License')", fixture=False)(lambda t: t.text_index.holding("Apache License"))
+query("t1_indexed", f"""
+WITH d AS (SELECT {_PLACE} AS path, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT path, 'docs' AS category, count(*) AS match_count FROM d WHERE contains(line, 'licensed under') GROUP BY path""", fixture=False)(lambda t: T.search_literal(t.text_index.lines("licensed under"), "licensed under", limit=None).select("path", "category", "match_count"))
 query("t2_count_files", f"SELECT path, {_CATEGORY} AS category, count(*) AS match_count FROM c_lines WHERE contains(text, '<red_') GROUP BY path ORDER BY path LIMIT 40")(lambda t: T.count_literal_files(t.lines, "<red_"))
 query("t3_env_usages", f"""
 SELECT path, {_CATEGORY} AS category, count(*) AS env_reads FROM c_lines WHERE contains(text, 'process.env.KEY_3') AND {_CATEGORY} IN ('runtime', 'script') GROUP BY path ORDER BY path LIMIT 40""")(lambda t: T.find_env_usages(t.lines, "KEY_3"))
@@ -246,19 +281,24 @@ o3 AS (SELECT *, sum(delta) OVER (PARTITION BY path, seg ORDER BY line_no) AS cu
 o4 AS (SELECT *, min(CASE WHEN seg > 0 AND cum <= 0 AND contains(text, '}') THEN line_no END) OVER (PARTITION BY path, seg) AS fin, first_value(own) OVER (PARTITION BY path, seg ORDER BY line_no) AS head FROM o3),
 ow AS (SELECT path, line_no, text, seg, coalesce(line_no > fin, false) AS after_end, CASE WHEN seg = 0 OR coalesce(line_no > fin, false) THEN '' ELSE head END AS owner FROM o4)"""
 query("w1_owner", f"WITH {_OWNER.strip()} SELECT path, line_no, CAST(seg AS BIGINT) AS seg, after_end, owner FROM ow")(lambda t: T.with_owner(t.lines).drop("text"))
+query("w1_spans", f"WITH {_OWNER.strip()} SELECT path, line_no, CAST(seg AS BIGINT) AS seg, after_end, owner FROM ow")(lambda t: T.attributed(t.lines, t.spans).drop("text"))
 query("w3_first_k", "SELECT path, line_no FROM (SELECT path, line_no, row_number() OVER (PARTITION BY path ORDER BY line_no) AS r FROM c_lines WHERE contains(text, 'assertAllowed')) WHERE r <= 3")(lambda t: T.search_literal(t.lines, "assertAllowed", limit=None).select("path", F.explode("matches").alias("m")).select("path", "m.line_no"))
-query("t8_function_impact", f"""
+_T8 = f"""
 WITH {_OWNER.strip()}, k AS (SELECT *, {_KIND} AS kind FROM ow WHERE contains(text, '{SYMBOL}')),
 b AS (SELECT *, CASE WHEN kind IN ('definition', 'import', 'reference') THEN kind ELSE 'call' END AS bucket, {_CATEGORY} AS category FROM k WHERE kind IS NOT NULL),
 f AS (SELECT path, bucket, owner, min(line_no) AS pos FROM b WHERE owner <> '' GROUP BY ALL)
 SELECT path, bucket, any_value(category) AS category, count(*) AS hit_count, coalesce((SELECT list(owner ORDER BY pos) FROM f WHERE f.path = b.path AND f.bucket = b.bucket), []) AS owners,
        count(*) FILTER (kind = 'definition') AS n_definition, count(*) FILTER (kind = 'import') AS n_import, count(*) FILTER (kind = 'method_call') AS n_method_call, count(*) FILTER (kind = 'call') AS n_call,
        count(*) FILTER (kind = 'jsx') AS n_jsx, count(*) FILTER (kind = 'reference') AS n_reference, list_slice(list(line_no ORDER BY line_no), 1, 5) AS lines
-FROM b WHERE category NOT IN ('docs', 'config') GROUP BY path, bucket""")(lambda t: T.function_impact(t.lines, SYMBOL, docs=False, config=False))
-query("t9_callsites", rf"""
+FROM b WHERE category NOT IN ('docs', 'config') GROUP BY path, bucket"""
+query("t8_function_impact", _T8)(lambda t: T.function_impact(t.lines, SYMBOL, docs=False, config=False))
+query("t8_spans", _T8)(lambda t: T.function_impact(t.lines, SYMBOL, spans=t.spans, docs=False, config=False))
+_T9 = rf"""
 WITH {_OWNER.strip()}, c AS (SELECT *, {_CATEGORY} AS category, regexp_matches(text, '(?:^|[^.\w$]){SYMBOL}\s*\(|\.{SYMBOL}\s*\(') AS calls, regexp_matches(text, '(?:^|[^.\w$])assertAllowed\s*\(') AS needs FROM ow),
 q AS (SELECT *, max(CASE WHEN needs AND NOT calls THEN line_no END) OVER (PARTITION BY path, seg, after_end ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS req FROM c)
-SELECT path, category, owner, line_no AS line, CAST(strpos(text, '{SYMBOL}') - 2 AS INT) AS at, req AS required_line, req IS NOT NULL AS has_required FROM q WHERE calls AND category NOT IN ('docs', 'config')""")(lambda t: T.callsites(t.lines, SYMBOL, "assertAllowed"))
+SELECT path, category, owner, line_no AS line, CAST(strpos(text, '{SYMBOL}') - 2 AS INT) AS at, req AS required_line, req IS NOT NULL AS has_required FROM q WHERE calls AND category NOT IN ('docs', 'config')"""
+query("t9_callsites", _T9)(lambda t: T.callsites(t.lines, SYMBOL, "assertAllowed"))
+query("t9_spans", _T9)(lambda t: T.callsites(t.lines, SYMBOL, "assertAllowed", spans=t.spans))
 query("t13_rename_impact", f"""
 WITH f AS (SELECT path, {_CATEGORY} AS category, count(*) AS match_count, bool_or(contains(text, 'process.env.KEY_9')) AS env_read FROM c_lines WHERE contains(text, 'KEY_9') GROUP BY path),
 g AS (SELECT *, CASE category WHEN 'test' THEN 'tests' WHEN 'docs' THEN 'docs' WHEN 'config' THEN 'config' ELSE CASE WHEN env_read THEN 'runtimeReads' WHEN category = 'script' THEN 'scripts' ELSE 'other' END END AS bucket FROM f)
@@ -400,6 +440,42 @@ def streaming(t: Tables) -> DataFrame:
     return _last_values(ingest.current(t.spark, root)[0])
 
 
+
+@query("streaming_late_edges", """
+WITH e AS (SELECT *, row_number() OVER (ORDER BY event_id) AS r, count(*) OVER () AS n FROM events),
+u AS (SELECT DISTINCT user_id FROM e WHERE event_id % 3 = 0)
+SELECT 'TRIED' AS type, 'ns:u' || user_id AS src, 'ns:k' || event_type AS dst, count(*) AS n FROM e WHERE event_id % 3 <> 0 AND user_id IN (SELECT user_id FROM u) GROUP BY ALL""", fixture=False)
+def late_edges(t: Tables) -> DataFrame:
+    """Every event is an edge or a node, ends come before or after their edges, many batches are merged on the way."""
+    e, none = t.raw("events"), F.lit(None).cast("string")
+    node, late = F.col("event_id") % 3 == 0, F.create_map(F.lit("startLine"), F.col("event_id").cast("string"))
+    user, kind = F.concat(F.lit("u"), F.col("user_id").cast("string")), F.concat(F.lit("k"), "event_type")
+    cols = {"protocol": F.lit(E.PROTOCOL), "type": F.when(node, "node").otherwise("edge"), "label": F.when(node, "User"), "id": F.when(node, user), "rel": F.when(~node, "TRIED"), "from": F.when(~node, user), "to": F.when(~node, kind), "source": F.lit("events"), "message": none, "props": F.when(~node, late)}
+    rows = e.select(*(c.alias(k) for k, c in cols.items()))
+    kinds = e.select(kind.alias("id")).distinct().select(F.lit(E.PROTOCOL).alias("protocol"), F.lit("node").alias("type"), F.lit("Kind").alias("label"), "id", *(none.alias(c) for c in ("rel", "from", "to")), F.lit("events").alias("source"), none.alias("message"), F.lit(None).cast("map<string,string>").alias("props"))
+    source, root = fresh_folder(t.spark, "events"), fresh_folder(t.spark, "ingest")
+    rows.repartition(8).unionByName(kinds).select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in cols))).alias("value")).write.text(source)
+    ingest.start(t.spark, source, root, "ns", f"{root}/checkpoint", fan=3, files_per_batch=1).awaitTermination()
+    return ingest.current(t.spark, root)[1].groupBy("type", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s10_removed", """
+WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS r FROM (SELECT DISTINCT event_type FROM events))
+SELECT k.event_type AS namespace, count(DISTINCT user_id) AS stored FROM events JOIN k ON k.event_type = events.event_type WHERE r % 2 = 0 AND event_id % 50 <> 0 GROUP BY k.event_type""", fixture=False)
+def removed(t: Tables) -> DataFrame:
+    """A namespace for each type of event, each loaded twice, every other one reset; then what files are left."""
+    store, rows = GraphStore(t.spark, fresh_folder(t.spark, "store")), _event_rows(t).filter("type = 'node'").withColumn("label", F.lit("User"))
+    kinds = [r["name"] for r in rows.select(F.col("props")["name"].alias("name")).distinct().orderBy("name").collect()]  # a handful
+    for i, kind in enumerate(kinds):
+        for _ in range(2):
+            store.load(rows.filter(F.col("props")["name"] == kind), kind)
+        if i % 2 == 0:
+            store.reset(kind)
+    store.vacuum(0)
+    left = t.spark.read.option("recursiveFileLookup", "true").parquet(f"{store.root}/nodes")
+    return left.groupBy("namespace").agg(F.count(F.lit(1)).alias("stored"))
+
+
 @query("s8_meta", "SELECT 'Meta' AS label, 'note ' || event_type AS name, count(*) > 0 AS some FROM events WHERE event_id % 2 = 0 GROUP BY event_type", fixture=False)
 def meta(t: Tables) -> DataFrame:
     """Warnings as nodes, one a message."""
@@ -472,20 +548,18 @@ x_pages AS (SELECT concat('packages/', nat, '/app/p', CAST(k AS STRING), '/page.
 x_types AS (SELECT concat('packages/', nat, '/lib/t', CAST(k AS STRING), '.d.ts') AS path, k, nat, 'declare const t: number;' AS content FROM x_files WHERE k % 5 = 0),
 x_manifests AS (SELECT concat('packages/', lower(n_name), '/package.json') AS path, n_nationkey AS k, lower(n_name) AS nat, concat('{"name": "@acme/', lower(n_name), '", "dependencies": {"react": "1"', CASE WHEN n_nationkey > 0 THEN ', "@acme/nation_0": "2"' ELSE '' END, '}}') AS content FROM nation),
 x_tree AS (SELECT * FROM x_files UNION ALL SELECT * FROM x_tests UNION ALL SELECT * FROM x_pages UNION ALL SELECT * FROM x_types UNION ALL SELECT * FROM x_manifests)"""
-_EXTRACTED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _extract(t: Tables, sql: str, path: str) -> None:
+    for name in ("supplier", "nation"):
+        t.raw(name).createOrReplaceTempView(name)
+    with Kept() as keep:
+        X.extract(t.spark.sql(sql), relations=True, keep=keep).write.parquet(path)
 
 
 def _extracted(t: Tables) -> DataFrame:
     """Events of a source tree made of the suppliers and nations, written once a session."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _EXTRACTED:
-        for name in ("supplier", "nation"):
-            t.raw(name).createOrReplaceTempView(name)
-        files = t.spark.sql(f"WITH {_TREE} SELECT path, content FROM x_tree")
-        path = fresh_folder(t.spark, "extracted")
-        X.extract(files, relations=True).write.parquet(path)
-        _EXTRACTED[key] = t.spark.read.parquet(path)
-    return _EXTRACTED[key]
+    return _once(t, "extracted", lambda path: _extract(t, f"WITH {_TREE} SELECT path, content FROM x_tree", path))
 
 
 def _tree_query(name: str, sql: str) -> Callable:
@@ -511,3 +585,74 @@ _tree_query("x14_config_keys", "SELECT 'USES_CONFIG_KEY' AS rel, 'file:' || path
 _tree_query("x15_tests", "SELECT 'TESTS_FILE' AS rel, 'test:' || path || '#case ' || k AS src, 'file:' || path AS dst FROM x_tests")(lambda t: _edges_of(t, "TESTS_FILE"))
 _tree_query("x16_routes", "SELECT path, '/p' || k AS route FROM x_pages")(lambda t: _extracted(t).filter("label = 'Route'").select(F.col("props")["filePath"].alias("path"), F.col("props")["routePath"].alias("route")))
 _tree_query("x17_validation_warning", "SELECT 'warning' AS type, count(*) > 0 AS some FROM x_tree")(lambda t: _extracted(t).filter("type = 'warning'").groupBy("type").agg((F.count(F.lit(1)) > 0).alias("some")))
+
+
+# ---- what symbols do with each other, and names through several files --------------------------------------------
+
+_USES = """
+u_leaf AS (
+  SELECT concat('lib/', lower(n_name), '/k', CAST(s_suppkey AS STRING), '.tsx') AS path, s_suppkey AS k, lower(n_name) AS nat,
+         concat('export function f', CAST(s_suppkey AS STRING), '() {', chr(10), '  return 1;', chr(10), '}', chr(10), 'export class C', CAST(s_suppkey AS STRING), ' {', chr(10), '}', chr(10), 'export type T', CAST(s_suppkey AS STRING), ' = { id: number };', chr(10),
+                'export default function P', CAST(s_suppkey AS STRING), '() {', chr(10), '  return null;', chr(10), '}', chr(10)) AS content FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+u_chain AS (
+  SELECT concat('lib/', nat, '/r', CAST(k AS STRING), '_', CAST(i AS STRING), '.ts') AS path, k, nat, i,
+         CASE WHEN i = 4 THEN concat('export { f', CAST(k AS STRING), ' as g4, C', CAST(k AS STRING), ' as D, default as Q } from "./k', CAST(k AS STRING), '";', chr(10), 'export * from "./k', CAST(k AS STRING), '";', chr(10))
+              WHEN i % 2 = 1 THEN concat('export { g', CAST(i + 1 AS STRING), ' as g', CAST(i AS STRING), ', D, Q } from "./r', CAST(k AS STRING), '_', CAST(i + 1 AS STRING), '";', chr(10), 'export * from "./r', CAST(k AS STRING), '_', CAST(i + 1 AS STRING), '";', chr(10))
+              ELSE concat('import { g', CAST(i + 1 AS STRING), ' as h } from "./r', CAST(k AS STRING), '_', CAST(i + 1 AS STRING), '";', chr(10), 'export { h as g', CAST(i AS STRING), ' };', chr(10), 'export * from "./r', CAST(k AS STRING), '_', CAST(i + 1 AS STRING), '";', chr(10)) END AS content
+  FROM u_leaf CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4)),
+u_use AS (
+  SELECT concat('app/', nat, '/u', CAST(k AS STRING), '.tsx') AS path, k, nat,
+         concat('import { g0, D as E, Q, T', CAST(k AS STRING), ' } from "../../lib/', nat, '/r', CAST(k AS STRING), '_0";', chr(10), 'export function use', CAST(k AS STRING), '(a: T', CAST(k AS STRING), ') {', chr(10), '  g0();', chr(10), '  const e = new E();', chr(10), '  return <Q e={e} />;', chr(10), '}', chr(10)) AS content FROM u_leaf),
+u_tree AS (SELECT path, content FROM u_leaf UNION ALL SELECT path, content FROM u_chain UNION ALL SELECT path, content FROM u_use)"""
+
+
+def _linked(t: Tables) -> DataFrame:
+    """Events of a second tree: every supplier has a file of symbols, five files that pass them on, and one that uses them."""
+    return _once(t, "linked", lambda path: _extract(t, f"WITH {_USES} SELECT path, content FROM u_tree", path))
+
+
+def _linked_edges(t: Tables, *rels: str) -> DataFrame:
+    return _linked(t).filter(F.col("type") == "edge").filter(F.col("rel").isin(*rels)).select("rel", F.col("from").alias("src"), F.col("to").alias("dst")).distinct()
+
+
+#: Alias rows of the second tree: a file's name, the file and the name behind it.
+_ALIASES = """
+u_alias AS (
+  SELECT path, 'g' || i AS name, i AS at, k, nat, CASE WHEN i = 4 THEN 'f' || k ELSE 'g' || (i + 1) END AS next_name FROM u_chain
+  UNION ALL SELECT path, 'D', i, k, nat, CASE WHEN i = 4 THEN 'C' || k ELSE 'D' END FROM u_chain
+  UNION ALL SELECT path, 'Q', i, k, nat, CASE WHEN i = 4 THEN 'P' || k ELSE 'Q' END FROM u_chain
+  UNION ALL SELECT path, 'T' || k, i, k, nat, 'T' || k FROM u_chain),
+u_walk AS (
+  SELECT path, name, at, k, nat, next_name, at + 1 AS here FROM u_alias
+  UNION ALL SELECT w.path, w.name, w.at, w.k, w.nat, a.next_name, w.here + 1 FROM u_walk w JOIN u_alias a ON a.k = w.k AND a.at = w.here AND a.name = w.next_name WHERE w.here <= 4),
+u_found AS (SELECT path, name, at, k, 'symbol:lib/' || nat || '/k' || k || '.tsx#' || next_name AS target FROM u_walk WHERE here = 5)"""
+
+query("x12_reexports", f"WITH RECURSIVE {_USES}, {_ALIASES} SELECT 'IMPORTS_SYMBOL' AS rel, 'file:' || u.path AS src, target AS dst FROM u_use u JOIN u_found f ON f.k = u.k AND f.at = 0 WHERE f.name IN ('g0', 'D', 'Q') OR f.name LIKE 'T%' UNION SELECT 'IMPORTS_SYMBOL', 'file:' || c.path, target FROM u_chain c JOIN u_found f ON f.k = c.k AND f.at = c.i + 1 AND f.name = 'g' || (c.i + 1) WHERE c.i % 2 = 0", fixture=False)(
+    lambda t: _linked_edges(t, "IMPORTS_SYMBOL"))
+query("x12_relations", f"""
+WITH RECURSIVE {_USES}, {_ALIASES}
+SELECT CASE f.name WHEN 'g0' THEN 'CALLS' WHEN 'D' THEN 'INSTANTIATES' WHEN 'Q' THEN 'RENDERS' ELSE 'USES_TYPE' END AS rel, 'symbol:' || u.path || '#use' || u.k AS src, target AS dst
+FROM u_use u JOIN u_found f ON f.k = u.k AND f.at = 0""", fixture=False)(lambda t: _linked_edges(t, "CALLS", "INSTANTIATES", "RENDERS", "USES_TYPE"))
+query("x7_reexports", f"WITH {_USES} SELECT 'RE_EXPORTS_FILE' AS rel, 'file:' || c.path AS src, CASE WHEN i = 4 THEN 'file:lib/' || nat || '/k' || k || '.tsx' ELSE 'file:lib/' || nat || '/r' || k || '_' || (i + 1) || '.ts' END AS dst FROM u_chain c", fixture=False)(lambda t: _linked_edges(t, "RE_EXPORTS_FILE"))
+
+
+@query("r9_update", f"""
+WITH {_TREE},
+y AS (SELECT path, k, nat, CASE WHEN k % 7 = 0 THEN 'g' ELSE 'f' END || k AS name FROM x_files WHERE k % 11 <> 0)
+SELECT 'DEFINES' AS rel, 'file:' || path AS src, 'symbol:' || path || '#' || name AS dst FROM y
+UNION ALL SELECT DISTINCT 'IMPORTS_SYMBOL', 'file:' || a.path, 'symbol:' || b.path || '#' || b.name FROM y a JOIN y b ON b.nat = a.nat AND b.k = a.k + 1 WHERE b.k % 7 <> 0""", fixture=False)
+def updated(t: Tables) -> DataFrame:
+    """A tree is extracted; then some files change and some are deleted, and only the changed ones are scanned."""
+    for name in ("supplier", "nation"):
+        t.raw(name).createOrReplaceTempView(name)
+    tree = t.spark.sql(f"WITH {_TREE} SELECT path, content, k FROM x_files")
+    listed = lambda df: df.select("path", F.length("content").cast("long").alias("size"), F.to_timestamp(F.lit("2024-01-01")).alias("modified"))
+    later = tree.filter("k % 11 <> 0").withColumn("content", F.when(F.col("k") % 7 == 0, F.regexp_replace("content", r"function f(\d+)", r"function  g$1")).otherwise(F.col("content")))
+    with Kept() as keep:
+        first = I.refresh(listed(tree), lambda paths, n: tree.select("path", "content").join(paths, "path", "left_semi"), None, None, False, False, keep)
+        files, facts = keep(first.files), keep(first.facts)
+        now = I.refresh(listed(later), lambda paths, n: later.select("path", "content").join(paths, "path", "left_semi"), files, facts, False, False, keep)
+        events = X.link(later.select("path"), keep(now.facts), False, keep)
+        path = fresh_folder(t.spark, "updated")
+        events.filter("rel IN ('DEFINES', 'IMPORTS_SYMBOL')").select("rel", F.col("from").alias("src"), F.col("to").alias("dst")).distinct().write.parquet(path)
+    return t.spark.read.parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.extract import events as X
+from weftline.extract import ignore as IG
 from weftline.extract import incremental as I
 from weftline.operators import text as T
 from weftline.service import args as A
@@ -27,21 +28,20 @@ def session(master: str | None = None) -> SparkSession:
     return (b.master(master) if master else b).getOrCreate()
 
 
-def ignore_files(repo: str) -> dict[str, str]:
-    """The ignore files of a working copy, by path."""
-    return {str(p.relative_to(repo)): p.read_text(encoding="utf-8") for p in Path(repo).rglob(".gitignore") if "node_modules" not in p.parts}
+def tree(spark: SparkSession, repo: str) -> DataFrame:
+    """(path, content) of a working copy."""
+    return corpus.read_files(spark, str(Path(repo).resolve()), hidden=True)
 
 
-def tree(spark: SparkSession, repo: str) -> tuple[DataFrame, dict[str, str]]:
-    """(path, content) of a working copy, and its ignore files."""
-    return corpus.read_files(spark, str(Path(repo).resolve()), hidden=True), ignore_files(repo)
+def ignore_rules(spark: SparkSession, repo: str) -> DataFrame:
+    """The rules of a working copy's ignore files."""
+    return IG.rules(IG.ignore_files(corpus.ignore_texts(spark, str(Path(repo).resolve()))))
 
 
 def index(spark: SparkSession, store: GraphStore, repo: str, namespace: str, mode: str = "fast", merge: bool = False) -> dict:
     """Extract a working copy and store it. With ``merge`` only files that have changed since are scanned; what is stored is
     the same as without."""
     began, root = time.time(), str(Path(repo).resolve())
-    ignore = ignore_files(repo)
 
     def read(paths: DataFrame, n: int) -> DataFrame:
         if n > I.NAMED:
@@ -49,7 +49,7 @@ def index(spark: SparkSession, store: GraphStore, repo: str, namespace: str, mod
         return corpus.read_files(spark, root, hidden=True, names=[r["path"] for r in paths.collect()])  # at most NAMED
 
     with Kept() as keep:
-        listing = keep(corpus.list_files(spark, root, hidden=True).filter(~X.ignored(F.col("path"), ignore)))
+        listing = keep(IG.kept(corpus.list_files(spark, root, hidden=True), keep(ignore_rules(spark, repo))))
         relations = True if mode == "full" else X.small(listing)
         old = {t: store.table(t, namespace) if merge else None for t in (FILES, FACTS)}
         now = I.refresh(listing, read, old[FILES], old[FACTS], relations, mode == "full", keep)
@@ -74,7 +74,7 @@ def tools(spark: SparkSession, store: GraphStore, repo: str, namespace: str) ->
     the new graph and the new text."""
 
     def tables() -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-        return T.scan_lines(tree(spark, repo)[0]).persist(), *graph_tables(store, namespace)
+        return T.scan_lines(tree(spark, repo)).persist(), *graph_tables(store, namespace)
 
     def rebuild(limit: int, mode: str = "") -> dict:
         entry = store.namespace(namespace)
@@ -109,7 +109,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "vacuum":
         say(store.vacuum(a.grace))
     elif a.command == "discover":
-        say(corpus.discover(tree(spark, a.repo)[0]).first().asDict(True))
+        say(corpus.discover(tree(spark, a.repo)).first().asDict(True))
     elif a.command in ("index", "update"):
         say(index(spark, store, a.repo, a.namespace, a.mode, merge=a.command == "update"))
     elif a.command == "status":
@@ -117,9 +117,10 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "namespaces":
         say([r.asDict() for r in store.namespaces().collect()])
     elif a.command == "extract":
-        began, (files, ignore) = time.time(), tree(spark, a.repo)
+        began = time.time()
+        ignore = IG.ignore_files(corpus.ignore_texts(spark, str(Path(a.repo).resolve())))
         with Kept() as keep:
-            X.write_ndjson(X.with_summary(keep(X.extract(files, ignore, keep=keep)), began), a.out)
+            X.write_ndjson(X.with_summary(keep(X.extract(tree(spark, a.repo), ignore, keep=keep)), began), a.out)
     elif a.command == "export":
         nodes, edges = graph_tables(store, a.namespace)
         if nodes is None:
