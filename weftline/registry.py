@@ -454,7 +454,7 @@ def late_edges(t: Tables) -> DataFrame:
     rows = e.select(*(c.alias(k) for k, c in cols.items()))
     kinds = e.select(kind.alias("id")).distinct().select(F.lit(E.PROTOCOL).alias("protocol"), F.lit("node").alias("type"), F.lit("Kind").alias("label"), "id", *(none.alias(c) for c in ("rel", "from", "to")), F.lit("events").alias("source"), none.alias("message"), F.lit(None).cast("map<string,string>").alias("props"))
     source, root = fresh_folder(t.spark, "events"), fresh_folder(t.spark, "ingest")
-    rows.repartition(8).unionByName(kinds).select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in cols))).alias("value")).write.text(source)
+    rows.repartition(5).unionByName(kinds.coalesce(1)).select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in cols))).alias("value")).write.text(source)
     ingest.start(t.spark, source, root, "ns", f"{root}/checkpoint", fan=3, files_per_batch=1).awaitTermination()
     return ingest.current(t.spark, root)[1].groupBy("type", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
@@ -618,21 +618,21 @@ def _linked_edges(t: Tables, *rels: str) -> DataFrame:
 #: Alias rows of the second tree: a file's name, the file and the name behind it.
 _ALIASES = """
 u_alias AS (
-  SELECT path, 'g' || i AS name, i AS at, k, nat, CASE WHEN i = 4 THEN 'f' || k ELSE 'g' || (i + 1) END AS next_name FROM u_chain
+  SELECT path, 'g' || i AS name, i AS pos, k, nat, CASE WHEN i = 4 THEN 'f' || k ELSE 'g' || (i + 1) END AS next_name FROM u_chain
   UNION ALL SELECT path, 'D', i, k, nat, CASE WHEN i = 4 THEN 'C' || k ELSE 'D' END FROM u_chain
   UNION ALL SELECT path, 'Q', i, k, nat, CASE WHEN i = 4 THEN 'P' || k ELSE 'Q' END FROM u_chain
   UNION ALL SELECT path, 'T' || k, i, k, nat, 'T' || k FROM u_chain),
 u_walk AS (
-  SELECT path, name, at, k, nat, next_name, at + 1 AS here FROM u_alias
-  UNION ALL SELECT w.path, w.name, w.at, w.k, w.nat, a.next_name, w.here + 1 FROM u_walk w JOIN u_alias a ON a.k = w.k AND a.at = w.here AND a.name = w.next_name WHERE w.here <= 4),
-u_found AS (SELECT path, name, at, k, 'symbol:lib/' || nat || '/k' || k || '.tsx#' || next_name AS target FROM u_walk WHERE here = 5)"""
+  SELECT path, name, pos, k, nat, next_name, pos + 1 AS here FROM u_alias
+  UNION ALL SELECT w.path, w.name, w.pos, w.k, w.nat, a.next_name, w.here + 1 FROM u_walk w JOIN u_alias a ON a.k = w.k AND a.pos = w.here AND a.name = w.next_name WHERE w.here <= 4),
+u_found AS (SELECT path, name, pos, k, 'symbol:lib/' || nat || '/k' || k || '.tsx#' || next_name AS target FROM u_walk WHERE here = 5)"""
 
-query("x12_reexports", f"WITH RECURSIVE {_USES}, {_ALIASES} SELECT 'IMPORTS_SYMBOL' AS rel, 'file:' || u.path AS src, target AS dst FROM u_use u JOIN u_found f ON f.k = u.k AND f.at = 0 WHERE f.name IN ('g0', 'D', 'Q') OR f.name LIKE 'T%' UNION SELECT 'IMPORTS_SYMBOL', 'file:' || c.path, target FROM u_chain c JOIN u_found f ON f.k = c.k AND f.at = c.i + 1 AND f.name = 'g' || (c.i + 1) WHERE c.i % 2 = 0", fixture=False)(
+query("x12_reexports", f"WITH RECURSIVE {_USES}, {_ALIASES} SELECT 'IMPORTS_SYMBOL' AS rel, 'file:' || u.path AS src, target AS dst FROM u_use u JOIN u_found f ON f.k = u.k AND f.pos = 0 WHERE f.name IN ('g0', 'D', 'Q') OR f.name LIKE 'T%' UNION SELECT 'IMPORTS_SYMBOL', 'file:' || c.path, target FROM u_chain c JOIN u_found f ON f.k = c.k AND f.pos = c.i + 1 AND f.name = 'g' || (c.i + 1) WHERE c.i % 2 = 0", fixture=False)(
     lambda t: _linked_edges(t, "IMPORTS_SYMBOL"))
 query("x12_relations", f"""
 WITH RECURSIVE {_USES}, {_ALIASES}
 SELECT CASE f.name WHEN 'g0' THEN 'CALLS' WHEN 'D' THEN 'INSTANTIATES' WHEN 'Q' THEN 'RENDERS' ELSE 'USES_TYPE' END AS rel, 'symbol:' || u.path || '#use' || u.k AS src, target AS dst
-FROM u_use u JOIN u_found f ON f.k = u.k AND f.at = 0""", fixture=False)(lambda t: _linked_edges(t, "CALLS", "INSTANTIATES", "RENDERS", "USES_TYPE"))
+FROM u_use u JOIN u_found f ON f.k = u.k AND f.pos = 0""", fixture=False)(lambda t: _linked_edges(t, "CALLS", "INSTANTIATES", "RENDERS", "USES_TYPE"))
 query("x7_reexports", f"WITH {_USES} SELECT 'RE_EXPORTS_FILE' AS rel, 'file:' || c.path AS src, CASE WHEN i = 4 THEN 'file:lib/' || nat || '/k' || k || '.tsx' ELSE 'file:lib/' || nat || '/r' || k || '_' || (i + 1) || '.ts' END AS dst FROM u_chain c", fixture=False)(lambda t: _linked_edges(t, "RE_EXPORTS_FILE"))
 
 
