@@ -102,6 +102,23 @@ def test_scope_and_limits(spark, tools):
     assert kinds["analyze_callsite_contract"]["required"] == ["callee", "requiredBeforeCall"] and kinds["prepare_change_plan"]["required"] == []
 
 
+def test_reindex_serves_the_new_graph(spark, tmp_path):
+    """After a rebuild the tools answer from the new graph and the new text; only the changed files were scanned."""
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.ts").write_text("export function one() {\n  return 1;\n}\n")
+    (tmp_path / "src/b.ts").write_text("export function two() {\n  return 2;\n}\n")
+    store = GraphStore(spark, str(tmp_path / "store"))
+    cli.index(spark, store, str(tmp_path), "n", "full")
+    t = cli.tools(spark, store, str(tmp_path), "n")
+    (tmp_path / "src/b.ts").write_text("export function three() {\n  return 3;\n}\n")
+    done = t.call("reindex", {"analysisMode": "full"})
+    assert done["ok"] and (done["scannedFiles"], done["goneFiles"]) == (1, 0)
+    names = lambda q: [r["name"] for r in t.call("find_symbol", {"name": q})["symbols"]]
+    assert names("three") == ["three"] and names("two") == [] and names("one") == ["one"]
+    assert t.call("count_literal_files", {"query": "three"})["returned"] == 1 and t.call("count_literal_files", {"query": "two"})["returned"] == 0
+    assert store.namespace("n")["analysis_mode"] == "full"
+
+
 def test_format():
     assert format.options({"raw": True, "detail": "summary"}) == {"detail": "summary", "json": True, "items": 20} and format.options({"format": "json"})["detail"] == "summary" and format.options({"detail": "files", "raw": True})["detail"] == "files"
     text = format.render("t", {"files": [{"path": f"f{i}"} for i in range(50)]}, {"maxItems": 5})

@@ -67,7 +67,7 @@ def test_registry_is_shared(spark, store):
 
     store._commit(slow)
     assert [e["name"] for e in store.entries()] == ["a", "b"] and [r.name for r in store.namespaces().collect()] == ["a", "b"]
-    store.folders.create("registry/99999999999999999999.json", "[{")
+    store.folders.create("registry/99999999999999999999.snapshot", "[{")
     assert [e["name"] for e in store.entries()] == ["a", "b"]
     store.reset("a")
     assert [e["name"] for e in store.entries()] == ["b"]

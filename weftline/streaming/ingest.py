@@ -41,7 +41,7 @@ def _listed(folders: Folders) -> tuple[int, dict[str, Any]]:
 
 
 def _list(folders: Folders, number: int, state: dict[str, Any]) -> int:
-    if not folders.create(f"versions/{number + 1:020d}.json", json.dumps(state)):
+    if not folders.create(f"versions/{number + 1:020d}.snapshot", json.dumps(state)):
         raise RuntimeError("another stream writes to this folder")
     return number + 1
 
