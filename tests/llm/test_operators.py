@@ -122,6 +122,23 @@ def test_mixing_misses_by_a_small_document(spark):
     assert all(abs(sum(v) - t) <= 0.005 * t for (_, t), v in taken.items())
 
 
+def test_mixing_of_repeated_rows(spark):
+    """A row that is 40 in 100 of its source, and different texts under one id: each row is dealt copies of its own, and the
+    outcome doesn't depend on partitions."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(["w"] * n)
+    rows = [(1, text(100), "a")] * 40 + [(100 + i, text(rng.randint(20, 180)), "a") for i in range(60)] + [(7, text(rng.randint(1, 90)), "b") for _ in range(80)] + [(None, text(50), "c")] * 100 + [(900 + i, text(rng.randint(30, 60)), "c") for i in range(100)]
+    got = mixing.mix(documents(spark, rows).repartition(5)).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.source, r.target), []).append(r)
+        assert r.taken <= 3 * r.size
+    for (_, target), own in by.items():
+        assert abs(sum(r.taken for r in own) - target) <= max(0.01 * target, min(r.size for r in own) / 2)
+    once = lambda rs: sorted(str((r.doc_id, r.source, r.size, r.copies)) for r in rs)
+    assert len(got) == len(rows) and once(got) == once(mixing.mix(documents(spark, rows).coalesce(1)).collect())
+
+
 def test_mixing(spark, odd, empty):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randint(1, 60)), f"s{i % 7 if i % 3 else 0}") for i in range(3000)] + [(5000, None, None), (5001, "a b", None)]
