@@ -12,6 +12,10 @@ from weftline.operators import text as T
 
 MAX_SEEDS, MAX_SYMBOLS, MAX_PATHS, MAX_IDENTITIES = 80, 8, 60, 7
 
+#: Changed files that freshness names, and its fields that other answers repeat.
+DIRTY = 10
+SLIM = ("namespace", "repo", "language", "analysisMode", "nodes", "relationships", "localHead", "localBranch", "updatedAt", "dirtyFileCount", "graphReliable", "stale", "symbolRelationCount", "callRelationCount", "recommendedAction")
+
 
 def method(in_graph: Column, in_text: Column) -> Column:
     """hybrid, graph, text or none."""
@@ -162,9 +166,21 @@ def feature_context(nodes: DataFrame, lines: DataFrame, query: str, limit: int =
     return rows.orderBy("grp", F.desc("match_count"), "path").limit(limit)
 
 
-def freshness(counts: dict[str, int], call_edges: int, dirty: list[str]) -> dict:
-    """Whether the graph can be relied on."""
-    stale = bool(dirty)
-    reliable = counts["nodes"] > 0 and call_edges > 0 and not stale
-    notes = ["working copy has changes that are not indexed"] * stale + ["no call edges are stored"] * (call_edges == 0)
-    return counts | {"callEdges": call_edges, "dirtyFiles": dirty, "stale": stale, "graphReliable": reliable, "notes": notes}
+def freshness(counts: dict[str, int], call_edges: int, import_edges: int, git: dict, entry: dict | None, has_graph: bool) -> dict:
+    """Whether the graph can be relied on, and why not. At most ``DIRTY`` changed files are named."""
+    dirty, entry = git["dirty"], entry or {}
+    mode = (entry.get("analysis_mode") or "unknown").lower()
+    reliable = has_graph and call_edges > 0 and not dirty
+    notes = (
+        ["no graph is stored; impact comes from the text alone"] * (not has_graph) + ["working copy has changes that are not indexed"] * bool(dirty) + ["no call edges are stored"] * (call_edges == 0)
+        + ["no symbol imports are stored; who imports comes from the text"] * (has_graph and import_edges == 0) + ["a fast analysis leaves out the relations of symbols in a large tree"] * (mode == "fast" and call_edges == 0)
+    )
+    out = {"nodes": counts["nodes"], "relationships": counts["edges"], "analysisMode": mode, "localHead": git["head"], "localBranch": git["branch"], "dirtyFileCount": len(dirty), "dirtySample": dirty[:DIRTY]}
+    out |= {"callRelationCount": call_edges, "importSymbolRelationCount": import_edges, "symbolRelationCount": call_edges + import_edges, "graphReliable": reliable, "stale": bool(dirty), "freshnessNotes": notes}
+    out |= {k: str(entry[c]) for k, c in (("namespace", "name"), ("repo", "repo"), ("language", "language"), ("createdAt", "created_at"), ("updatedAt", "updated_at")) if entry.get(c) is not None}
+    return out if reliable else out | {"recommendedAction": "Trust what the text shows over the graph, and rebuild with reindex after large edits."}
+
+
+def slim_index(index: dict) -> dict:
+    """The part of ``freshness`` that other answers carry."""
+    return {k: index[k] for k in SLIM if index.get(k) is not None}

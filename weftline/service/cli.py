@@ -1,4 +1,4 @@
-"""Command line: doctor, reset, vacuum, discover, index, update, status, namespaces, export, stdio, serve, extract."""
+"""Command line: doctor, reset, vacuum, discover, index, update, status, namespaces, export, stdio, serve, extract, validate."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from weftline.service import args as A
 from weftline.service import export, rpc
 from weftline.service.tools import Tools
 from weftline.sources import corpus
+from weftline.sources import events as E
 from weftline.sources.shared import Kept
 from weftline.sources.store import FACTS, FILES, GRACE, GraphStore
 
@@ -86,7 +87,7 @@ def tools(spark: SparkSession, store: GraphStore, repo: str, namespace: str) ->
 def main(argv: list[str] | None = None) -> int:
     """Run a command."""
     p = argparse.ArgumentParser(prog="weftline", description=__doc__)
-    p.add_argument("command", choices=["doctor", "reset", "discover", "index", "update", "status", "namespaces", "export", "stdio", "serve", "extract", "vacuum"])
+    p.add_argument("command", choices=["doctor", "reset", "discover", "index", "update", "status", "namespaces", "export", "stdio", "serve", "extract", "validate", "vacuum"])
     p.add_argument("--repo", default=".")
     p.add_argument("--store", default=None)
     p.add_argument("--namespace", default="default")
@@ -121,6 +122,9 @@ def main(argv: list[str] | None = None) -> int:
         ignore = IG.ignore_files(corpus.ignore_texts(spark, str(Path(a.repo).resolve())))
         with Kept() as keep:
             X.write_ndjson(X.with_summary(keep(X.extract(tree(spark, a.repo), ignore, keep=keep)), began), a.out)
+    elif a.command == "validate":  # all events are made and checked, none is stored
+        with Kept() as keep:
+            say(E.discarded(keep(X.extract(tree(spark, a.repo), IG.ignore_files(corpus.ignore_texts(spark, str(Path(a.repo).resolve()))), keep=keep))))
     elif a.command == "export":
         nodes, edges = graph_tables(store, a.namespace)
         if nodes is None:

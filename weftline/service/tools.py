@@ -113,9 +113,12 @@ class Tools:
         return {"help": HELP}
 
     def freshness(self, a: dict) -> dict:
+        """Counts, modes, times and the working copy, and whether the graph is to be relied on."""
         counts = G.status(self.nodes, self.edges).first().asDict()
         calls = G.count_relationships(self.edges, G.CALLS).first()["n"]
-        return H.freshness(counts, calls, corpus.git_state(self.repo)["dirty"]) | {"graphAvailable": self.has_graph}
+        imports = G.count_relationships(self.edges, ("IMPORTS_SYMBOL",)).first()["n"]
+        entry = self.info() if self.info else None
+        return H.freshness(counts, calls, imports, corpus.git_state(self.repo), entry, self.has_graph) | {"graphAvailable": self.has_graph}
 
     def metadata(self, a: dict) -> dict:
         """The registry's entry, with the analysis mode (full if none is stored), and counts."""
@@ -291,7 +294,7 @@ class Tools:
             old = self.lines
             self._serve(*self.reload())
             old.unpersist()
-        out["freshness"] = self.freshness({})
+        out["freshness"] = H.slim_index(self.freshness({}))
         paths = A.strings(a, "paths") + (self._dirty() if A.flag(a, "useDirty") else [])
         if out["ok"] and paths and A.flag(a, "includeImpact", True):
             out["impact"] = self.path_set({"paths": paths[: H.MAX_SEEDS]})

@@ -68,6 +68,11 @@ def require_valid(events: DataFrame, protocol: str = PROTOCOL) -> DataFrame:
     return events.filter(F.when(e.isNotNull(), F.raise_error(F.concat(F.lit("bad event: "), e)).cast("boolean")).otherwise(True))
 
 
+def discarded(events: DataFrame, protocol: str = PROTOCOL) -> dict[str, int]:
+    """A sink that stores nothing: checks every event, fails on a bad one, and tells how many there are of each type."""
+    return {r["type"]: r["count"] for r in require_valid(events, protocol).groupBy("type").count().collect()}  # at most four rows
+
+
 def ordered(events: DataFrame) -> DataFrame:
     """The first of equal events, nodes before edges before warnings before summaries; ``rank`` and ``raw`` give the order."""
     key = F.when(F.col("type") == "node", F.concat_ws("|", F.lit("n"), "id")).when(F.col("type") == "edge", F.concat_ws("|", F.lit("e"), identity())).otherwise(F.col("raw"))
