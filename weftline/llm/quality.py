@@ -118,8 +118,8 @@ def fit_posteriors(counts: dict[int, int], rounds: int = 200, prior_bad: float =
 def _measured(batches: Iterator[pa.RecordBatch], carry: list[str], text_col: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         base, codes = [], []
-        for text in batch.column(text_col).to_pylist():
-            counts, features = measure(text)
+        for text in batch.column(text_col):  # one text in Python at a time, not all of a batch
+            counts, features = measure(text.as_py())
             base.append(counts)
             codes.append(vote(features))
         cols = list(zip(*base, strict=True)) if base else [()] * len(BASE)
