@@ -44,6 +44,16 @@ def test_fifty_thousand_terms(spark):
     assert found.filter("term = 'term_7;'").count() == 3000 and found.filter("term <> 'term_7;'").count() == sum(i * 37 < 50_000 and i * 37 != 7 for i in range(3000))
 
 
+def test_importers_by_expression_and_by_automaton(spark, monkeypatch):
+    """Few terms and many give the same files and counts."""
+    lines = spark.createDataFrame([(f"src/f{i}.ts", j, f"import x from 'lib/mod{(i * j) % 9}';") for i in range(20) for j in range(6)] + [("src/img.png", 1, "lib/mod1"), ("lib/mod1.ts", 1, "lib/mod2")], "path string, line_no long, text string")
+    seeds = spark.createDataFrame([(f"lib/mod{i}.ts",) for i in range(4)], "path string")
+    few = sorted(map(tuple, T.path_set_importers(lines, seeds).collect()))
+    monkeypatch.setattr(T, "FEW_TERMS", 2)
+    assert few and sorted(map(tuple, T.path_set_importers(lines, seeds).collect())) == few
+    assert T.path_set_importers(lines, seeds.limit(0)).count() == 0
+
+
 def test_spans_equal_the_windows(spark):
     """Every line gets the owner that the windows give, for nested, unclosed and cut-off functions and long files."""
     rng, rows = random.Random(3), []

@@ -15,6 +15,8 @@ from weftline.operators import literals as L
 
 CALL_KINDS = ("call", "method_call", "jsx")
 RANK_PARTS = 64
+#: Up to so many literals are one expression.
+FEW_TERMS = 64
 
 
 def scan_lines(files: DataFrame) -> DataFrame:
@@ -263,9 +265,17 @@ def import_terms(seeds: DataFrame) -> DataFrame:
 
 
 def path_set_importers(lines: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Files with lines that hold a term of a seed, and how many such lines: one pass for any number of terms."""
+    """Files with lines that hold a term of a seed, and how many such lines: one pass for any number of terms.
+
+    Few terms are one alternation of literals inside the scan's own stage, more of them an automaton.
+    """
     rows = lines.filter(P.is_searchable(F.col("path"))).join(seeds.select("path"), "path", "left_anti")
-    hit = L.occurrences(rows, import_terms(seeds).select("term")).select("path", "line_no").distinct()
+    terms = import_terms(seeds).select("term").distinct()
+    few = sorted(r["term"] for r in terms.limit(FEW_TERMS + 1).collect())
+    if len(few) <= FEW_TERMS:
+        hit = rows.filter(F.col("text").rlike("|".join(f"\\Q{t}\\E" for t in few)) if few else F.lit(False))
+    else:
+        hit = L.occurrences(rows, terms).select("path", "line_no").distinct()
     return hit.groupBy("path").agg(F.count(F.lit(1)).alias("hits")).withColumn("is_test", P.classify_path(F.col("path")) == "test")
 
 
