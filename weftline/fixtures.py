@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.sources.shared import fresh_folder, there
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 #: Common table expressions g_files, g_nodes, g_edges and c_lines, without the leading WITH.
 VIEWS = """g_files AS (
@@ -54,14 +56,17 @@ c_raw AS (
   UNION ALL SELECT path, o_orderkey, 2, 0, 0, '}' FROM g_order),
 c_lines AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY ok, seq, k1, k2, text) AS line_no, text FROM c_raw)"""
 
-_CACHE: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the derived views, cached for the session: it stands for a stored table."""
+    """One of the derived views, written once a session: it stands for a stored table. As compressed columns it takes a
+    fraction of the disk that blocks of a cache take which don't fit the memory."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _CACHE:
+    if key not in _STORED or not there(spark, _STORED[key]):
         for t in TABLES:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        _CACHE[key] = spark.sql(f"WITH {VIEWS} SELECT * FROM {name}").cache()
-    return _CACHE[key]
+        path = fresh_folder(spark, name)
+        spark.sql(f"WITH {VIEWS} SELECT * FROM {name}").write.option("compression", "zstd").parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])

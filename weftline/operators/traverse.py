@@ -1,7 +1,9 @@
 """Bounded traversal: trails, and one shortest path.
 
-Trails are unrolled equi-joins (the depth is at most 8 and known when planned): a level is one shuffle on the frontier
-node, and filters on confidence and direction are in every level. No edge occurs twice in a trail; nodes may.
+Trails are unrolled equi-joins (the depth is at most 8 and known when planned), and filters on confidence and direction are
+in every level. A level is written before the next is made: Spark knows the size of a written table and sends a small one to
+the edges, so edges are neither shuffled nor told apart but for those that leave the level. A large one is a plain shuffle.
+No edge occurs twice in a trail; nodes may.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import MIN_CONFIDENCE, confidence
-from weftline.sources.shared import Kept
+from weftline.sources.shared import Kept, written
 
 MAX_DEPTH, MAX_LIMIT = 8, 200
 #: Synonyms of the directions.
@@ -28,21 +30,37 @@ def edge_id() -> Column:
 
 
 def steps(edges: DataFrame, direction: str, min_confidence: float) -> DataFrame:
-    """at, to, e: every allowed move along an edge."""
-    sure = edges.filter(confidence() >= min_confidence).withColumn("e", edge_id()).select("src", "dst", "e").dropDuplicates(["e"])
+    """at, to, e: every allowed move along an edge, as often as the edge is there."""
+    sure = edges.filter(confidence() >= min_confidence).withColumn("e", edge_id()).select("src", "dst", "e")
     forward = sure.select(F.col("src").alias("at"), F.col("dst").alias("to"), "e")
     reverse = sure.select(F.col("dst").alias("at"), F.col("src").alias("to"), "e")
     return forward if direction == "forward" else reverse if direction == "reverse" else forward.unionByName(reverse.filter("at <> to"))
 
 
+def _begun(starts: DataFrame) -> DataFrame:
+    """The trails without an edge."""
+    return starts.select(F.col("id").alias("start"), F.col("id").alias("here"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edges"))
+
+
+def _leaving(moves: DataFrame, level: DataFrame) -> DataFrame:
+    """The moves from where a written level is."""
+    return moves.join(level.select(F.col("here").alias("at")), "at", "left_semi")
+
+
+def _onward(level: DataFrame, moves: DataFrame) -> DataFrame:
+    """The trails of a written level with one edge more; an edge that is there twice counts once."""
+    wide = level.join(_leaving(moves, level).distinct(), F.col("here") == F.col("at")).filter(~F.array_contains("edges", F.col("e")))
+    return wide.select("start", F.col("to").alias("here"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("edges", F.array("e")).alias("edges"))
+
+
 def trails(edges: DataFrame, starts: DataFrame, depth: int = 1, direction: str = "both", min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """start, depth, nodes, edges: every trail of 1 to ``depth`` edges from the ids in ``starts``."""
     moves = steps(edges, direction, min_confidence)
-    level = starts.select(F.col("id").alias("start"), F.col("id").alias("here"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edges"))
-    out = None
+    level, out = written(_begun(starts)), None
     for d in range(1, depth + 1):
-        level = level.join(moves, F.col("here") == F.col("at")).filter(~F.array_contains("edges", F.col("e")))
-        level = level.select("start", F.col("to").alias("here"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("edges", F.array("e")).alias("edges"))
+        level = _onward(level, moves)
+        if d < depth:
+            level = written(level)
         found = level.select("start", F.lit(d).alias("depth"), "nodes", "edges")
         out = found if out is None else out.unionByName(found)
     return out
@@ -56,7 +74,7 @@ def relations(edges: DataFrame, starts: DataFrame, **opts: object) -> DataFrame:
     """
     o, spark, out = options(**opts), edges.sparkSession, []
     schema = "start string, here string, nodes array<string>, edges array<string>"
-    moves = steps(edges, o["direction"], o["min_confidence"])
+    moves = steps(edges, o["direction"], o["min_confidence"]).distinct()
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("here"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edges"))
     for d in range(1, o["depth"] + 1):
         wide = front.join(moves, F.col("here") == F.col("at")).filter(~F.array_contains("edges", F.col("e")))
@@ -121,7 +139,7 @@ def search_path(spark: SparkSession, edges: DataFrame, source: str, target: str,
     schema, found, expanded = "nodes array<string>, edges array<string>", [], 0
     with Kept() as keep:
         if source != target:
-            moves = keep(steps(edges, "both", min_confidence))
+            moves = keep(steps(edges, "both", min_confidence).distinct())
             m = Meeting(moves, source, target, keep)
             for _ in range(min(max(depth, 1), MAX_DEPTH)):
                 if not m.grow():

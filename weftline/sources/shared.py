@@ -22,6 +22,12 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written to the shared folder and read back: computed once, and the plan ends there. A lost
     executor costs a re-read. Deleted when the JVM ends."""
