@@ -93,7 +93,7 @@ class Meeting:
 
     def __init__(self, moves: DataFrame, source: str, target: str, keep: Kept) -> None:
         spark = moves.sparkSession
-        one = lambda x: spark.createDataFrame([(x,)], "here string")
+        one = lambda x: keep(spark.createDataFrame([(x,)], "here string"))
         self.moves, self.sides, self.sizes, self.expanded, self.keep = moves, ([one(source)], [one(target)]), [1, 1], 0, keep
 
     def grow(self) -> bool:
@@ -102,7 +102,7 @@ class Meeting:
         levels = self.sides[k]
         # a neighbour of a level is in the level before it, in it, or new
         near = levels[-1] if len(levels) < 2 else levels[-1].unionByName(levels[-2])
-        wide = levels[-1].join(self.moves, F.col("here") == F.col("at")).select(F.col("to").alias("here")).distinct()
+        wide = _leaving(self.moves, levels[-1]).select(F.col("to").alias("here")).distinct()
         levels.append(self.keep(wide.join(near, "here", "left_anti")))
         self.sizes[k] = levels[-1].count()
         self.expanded += self.sizes[k]
@@ -115,7 +115,7 @@ class Meeting:
     def layers(self) -> list[DataFrame]:
         """For each distance from the source the nodes that lie on a shortest path."""
         middle, (there, back) = self.keep(self.met()), self.sides
-        beside = lambda level, layer: self.keep(level.join(layer.join(self.moves, F.col("here") == F.col("at")).select(F.col("to").alias("here")), "here", "left_semi"))
+        beside = lambda level, layer: self.keep(level.join(_leaving(self.moves, layer).select(F.col("to").alias("here")), "here", "left_semi"))
         out = [middle]
         for level in reversed(there[:-1]):
             out.insert(0, beside(level, out[0]))
@@ -139,7 +139,7 @@ def search_path(spark: SparkSession, edges: DataFrame, source: str, target: str,
     schema, found, expanded = "nodes array<string>, edges array<string>", [], 0
     with Kept() as keep:
         if source != target:
-            moves = keep(steps(edges, "both", min_confidence).distinct())
+            moves = steps(edges, "both", min_confidence)
             m = Meeting(moves, source, target, keep)
             for _ in range(min(max(depth, 1), MAX_DEPTH)):
                 if not m.grow():
@@ -148,7 +148,8 @@ def search_path(spark: SparkSession, edges: DataFrame, source: str, target: str,
                     continue
                 paths = spark.createDataFrame([(source, [source], [])], "here string, nodes array<string>, edges array<string>")
                 for layer in m.layers()[1:]:
-                    wide = paths.join(moves, F.col("here") == F.col("at")).join(layer.select(F.col("here").alias("to")), "to", "left_semi")
+                    paths = keep(paths)  # a row for each node of a layer
+                    wide = paths.join(_leaving(moves, paths).join(layer.select(F.col("here").alias("to")), "to", "left_semi"), F.col("here") == F.col("at"))
                     best = F.min(F.struct(F.concat("edges", F.array("e")).alias("edges"), F.concat("nodes", F.array("to")).alias("nodes"))).alias("b")
                     paths = wide.groupBy("to").agg(best).select(F.col("to").alias("here"), "b.nodes", "b.edges")
                 found = paths.select("nodes", "edges").collect()  # the target's row
