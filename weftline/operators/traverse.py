@@ -74,17 +74,16 @@ def relations(edges: DataFrame, starts: DataFrame, **opts: object) -> DataFrame:
     """
     o, spark, out = options(**opts), edges.sparkSession, []
     schema = "start string, here string, nodes array<string>, edges array<string>"
-    moves = steps(edges, o["direction"], o["min_confidence"]).distinct()
-    front = starts.select(F.col("id").alias("start"), F.col("id").alias("here"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edges"))
-    for d in range(1, o["depth"] + 1):
-        wide = front.join(moves, F.col("here") == F.col("at")).filter(~F.array_contains("edges", F.col("e")))
-        wide = wide.select("start", F.col("to").alias("here"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("edges", F.array("e")).alias("edges"))
-        room = o["limit"] + 1 - len(out)
-        rows = wide.orderBy("edges", "start").limit(room).collect()  # at most the limit and one
-        out += [(r["start"], d, r["nodes"], r["edges"]) for r in rows]
-        if not rows or len(rows) == room:
-            break
-        front = spark.createDataFrame(rows, schema)
+    moves = steps(edges, o["direction"], o["min_confidence"])
+    with Kept() as keep:
+        front = _begun(starts)
+        for d in range(1, o["depth"] + 1):
+            room = o["limit"] + 1 - len(out)
+            rows = _onward(keep(front), moves).orderBy("edges", "start").limit(room).collect()  # at most the limit and one
+            out += [(r["start"], d, r["nodes"], r["edges"]) for r in rows]
+            if not rows or len(rows) == room:
+                break
+            front = spark.createDataFrame(rows, schema)
     return spark.createDataFrame(out, "start string, depth int, nodes array<string>, edges array<string>")
 
 
