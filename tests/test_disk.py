@@ -38,3 +38,30 @@ def test_views_are_compressed_tables(spark):
     found = view(spark, "/root/testdata/sf0.001", "g_nodes")
     assert not found.storageLevel.useMemory and all(".zstd." in f for f in found.inputFiles()) and found.inputFiles()
     assert view(spark, "/root/testdata/sf0.001", "g_nodes").inputFiles() == found.inputFiles()
+
+
+@pytest.mark.parametrize(("direction", "many"), [("forward", 2), ("both", 4)])
+def test_trails_shuffle_only_edges_of_the_front(spark, chain, direction, many):
+    start, got = spark.createDataFrame([("n0900",)], "id string"), []
+    assert shuffled(spark, lambda: got.extend(V.trails(chain, start, 2, direction).collect())) < 60
+    assert len(got) == len({(r.start, *r.edges) for r in got}) == many
+
+
+def test_trails_of_repeated_starts_and_loops(spark):
+    """A start that is there twice has its trails twice; a loop is one move, an edge that is there twice one edge."""
+    edges = spark.createDataFrame([("CALLS", "a", "a", "f", 1, None), ("CALLS", "a", "b", "f", 1, None), ("CALLS", "a", "b", "f", 1, None)], EDGES)
+    start = spark.createDataFrame([("a",), ("a",)], "id string")
+    got = sorted(r.nodes for r in V.trails(edges, start, 2, "forward").collect())
+    assert got == sorted(2 * [["a", "a"], ["a", "b"], ["a", "a", "b"]])
+
+
+def test_relations_shuffle_only_edges_of_the_front(spark, chain):
+    start, got = spark.createDataFrame([("n0900",)], "id string"), []
+    assert shuffled(spark, lambda: got.extend(V.relations(chain, start, depth=3, limit=50, direction="out").collect())) < 60
+    assert [r.nodes[-1] for r in got] == ["n0901", "n0902", "n0903"]
+
+
+def test_shortest_path_shuffles_only_edges_of_the_levels(spark, chain):
+    got = []
+    assert shuffled(spark, lambda: got.extend(V.shortest_path(spark, chain, "n0900", "n0904", 4).collect())) < 120
+    assert [r.nodes for r in got] == [["n0900", "n0901", "n0902", "n0903", "n0904"]]
