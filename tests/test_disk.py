@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
 from weftline.fixtures import view
 from weftline.operators import traverse as V
+from weftline.service.export import export
 
 EDGES = "type string, src string, dst string, source_file string, start_line long, confidence double"
 
@@ -65,3 +68,12 @@ def test_shortest_path_shuffles_only_edges_of_the_levels(spark, chain):
     got = []
     assert shuffled(spark, lambda: got.extend(V.shortest_path(spark, chain, "n0900", "n0904", 4).collect())) < 120
     assert [r.nodes for r in got] == [["n0900", "n0901", "n0902", "n0903", "n0904"]]
+
+
+def test_export_is_compressed(spark, chain, tmp_path):
+    nodes = chain.selectExpr("'Symbol' AS label", "src AS id").distinct()
+    export(nodes, chain, str(tmp_path / "e"))
+    files = [f for f in Path(tmp_path / "e/edges").iterdir() if f.name.startswith("part-")]
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    back = [(r.src, r.dst) for f in sorted(files) for r in spark.read.json(str(f)).collect()]
+    assert back == sorted((r.src, r.dst) for r in chain.collect())
