@@ -149,7 +149,7 @@ def similar_components(spark: SparkSession, keyed: DataFrame, fetch: Callable[[D
     rows = keep(spark, rows.select("pivot", "cls", "n", F.coalesce("_c", "cls").alias("comp"), F.when(stray, BOTH).otherwise(MEMBER).alias("role"), *more), "members")
     # pairs of a pivot and one other are verified already
     open_ = rows.groupBy(F.col("pivot").alias("o")).agg(F.count(F.lit(1)).alias("k"), F.max("role").alias("most")).filter(f"k > 2 AND most = {BOTH}").select("o")
-    rows = rows.join(open_, F.col("pivot") == F.col("o")).drop("o")
+    rows = rows.join(open_, F.col("pivot") == F.col("o"), "left_semi")
     if sketched:
         block = _dealt(spark, rows, False).groupBy("pivot", "i", "j")
         may = block.applyInPandas(lambda pdf: possible_block(pdf, percent), "pivot long, cls long, as_stray boolean, as_member boolean")
