@@ -625,6 +625,14 @@ def test_quality_stage(spark, odd):
     assert all(r.kept == (r.p_good >= 0.5) for r in got)
 
 
+def test_quality_sends_texts_alone(spark, odd):
+    """Only texts go to Python, and once for the verdicts though these are filtered."""
+    import corpus_pipeline
+
+    plan = corpus_pipeline.quality_rules(spark, odd, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_sketches_keep_linked_sets():
     """Linked sets differ in no more bits than the bound, so a block of sketches keeps both."""
     rng, np = random.Random(12), ngram_join.np

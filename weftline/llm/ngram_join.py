@@ -103,8 +103,8 @@ def _heads(batches: Iterator[pa.RecordBatch], size: int, seed: int, percent: int
             part = batch.slice(at, len(rows))
             return pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(n, long), pa.array(cls, long), pa.array(second, long), pa.array(keys, pa.list_(long)), pa.array(sketch, pa.list_(long))], names=names)
 
-        for t in batch.column("text").to_pylist():
-            items = text_set(t, size, memory)
+        for t in batch.column("text"):  # one text in Python at a time, not all of a batch
+            items = text_set(t.as_py(), size, memory)
             cls, second, keys, bits = None, None, None, None
             if len(items):
                 cls, second = set_key(items, seed), set_key(items, seed + 1_000_003)
@@ -122,7 +122,7 @@ def _heads(batches: Iterator[pa.RecordBatch], size: int, seed: int, percent: int
 def _items(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
     memory = Words()
     for batch in batches:
-        rows = [(set_key(x, seed), x.view(np.int64)) for t in batch.column("text").to_pylist() if len(x := text_set(t, size, memory))]
+        rows = [(set_key(x, seed), x.view(np.int64)) for t in batch.column("text") if len(x := text_set(t.as_py(), size, memory))]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["cls", "items"])
 

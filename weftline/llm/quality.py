@@ -115,22 +115,22 @@ def fit_posteriors(counts: dict[int, int], rounds: int = 200, prior_bad: float =
     return {int(c): float(p) for c, p in zip(codes, post[:, 1], strict=True)}
 
 
-def _measured(batches: Iterator[pa.RecordBatch], carry: list[str], text_col: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        base, codes = [], []
-        for text in batch.column(text_col):  # one text in Python at a time, not all of a batch
-            counts, features = measure(text.as_py())
-            base.append(counts)
-            codes.append(vote(features))
-        cols = list(zip(*base, strict=True)) if base else [()] * len(BASE)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(pa.array(x, pa.int64()) for x in cols), pa.array(codes, pa.int32())], names=[*carry, *BASE, "_votes"])
+def _measured(texts: pa.Array) -> pa.Array:
+    base, codes = [], []
+    for text in texts:  # one text in Python at a time, not all of a batch
+        counts, features = measure(text.as_py())
+        base.append(counts)
+        codes.append(vote(features))
+    cols = list(zip(*base, strict=True)) if base else [()] * len(BASE)
+    return pa.StructArray.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array(codes, pa.int32())], names=[*BASE, "_votes"])
 
 
 def with_votes(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
-    """The carried columns, the base counts and the votes of each row."""
-    read = list(dict.fromkeys([*carry, text_col]))
-    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in carry), *(T.StructField(c, T.LongType()) for c in BASE), T.StructField("_votes", T.IntegerType())])
-    return docs.select(*(F.col(c) for c in read)).mapInArrow(lambda it: _measured(it, carry, text_col), schema)
+    """The carried columns, the base counts and the votes of each row. Only texts go to Python and only numbers come back."""
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in BASE), T.StructField("_votes", T.IntegerType())])
+    # not called deterministic, as the optimizer would run it once more below a filter
+    counted = F.arrow_udf(_measured, schema).asNondeterministic()
+    return docs.select(*(F.col(c) for c in carry), counted(F.col(text_col)).alias("_counted")).select(*carry, "_counted.*")
 
 
 def learn(docs: DataFrame, text_col: str = "text") -> dict[int, float]:
