@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from pathlib import Path
 
 import pytest
 
-from weftline.fixtures import view
+from weftline.fixtures import TABLES, VIEWS, view
 from weftline.operators import traverse as V
 from weftline.service.export import export
 
@@ -43,6 +44,24 @@ def test_views_are_compressed_tables(spark):
     assert view(spark, "/root/testdata/sf0.001", "g_nodes").inputFiles() == found.inputFiles()
 
 
+def test_edges_are_written_in_parts(spark):
+    """The parts make up the view, row for row, and nothing that was shuffled for them is left."""
+
+    def left():
+        return {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before, folder = left(), "/root/testdata/./sf0.001"  # another name, so the view is made here
+    found = view(spark, folder, "g_edges")
+    end = time.time() + 20
+    while left() - before and time.time() < end:
+        time.sleep(0.5)
+    assert not left() - before
+    for t in TABLES:
+        spark.read.parquet(f"{folder}/{t}.parquet").createOrReplaceTempView(t)
+    want = spark.sql(f"WITH {VIEWS} SELECT * FROM g_edges")
+    assert found.columns == want.columns and found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+
+
 @pytest.mark.parametrize(("direction", "many"), [("forward", 2), ("both", 4)])
 def test_trails_shuffle_only_edges_of_the_front(spark, chain, direction, many):
     start, got = spark.createDataFrame([("n0900",)], "id string"), []

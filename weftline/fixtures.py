@@ -56,6 +56,12 @@ c_raw AS (
   UNION ALL SELECT path, o_orderkey, 2, 0, 0, '}' FROM g_order),
 c_lines AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY ok, seq, k1, k2, text) AS line_no, text FROM c_raw)"""
 
+_USES = "type IN ('CALLS', 'RENDERS', 'INSTANTIATES')"
+#: Conditions that each row of a view meets one of. They are known below the joins (a type belongs to one part of the union, a
+#: line to one supplier), so what is shuffled for one of them is a part of what all take, and it is deleted before the next.
+PARTS = {"g_edges": [*(f"{_USES} AND coalesce(pmod(start_line, 2), 0) = {k}" for k in range(2)), "type = 'IMPORTS_SYMBOL'", "type = 'IMPORTS_FILE'", f"NOT ({_USES}) AND type NOT IN ('IMPORTS_SYMBOL', 'IMPORTS_FILE')"]}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
@@ -67,6 +73,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         for t in TABLES:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         path = fresh_folder(spark, name)
-        spark.sql(f"WITH {VIEWS} SELECT * FROM {name}").write.option("compression", "zstd").parquet(path)
+        before = spark.conf.get(CLEANUP, None)
+        spark.conf.set(CLEANUP, "true")  # shuffle files go when a part is written, not when the driver's memory is full
+        try:
+            for part in PARTS.get(name, ["true"]):
+                spark.sql(f"WITH {VIEWS} SELECT * FROM {name} WHERE {part}").write.mode("append").option("compression", "zstd").parquet(path)
+        finally:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
