@@ -633,6 +633,19 @@ def test_quality_sends_texts_alone(spark, odd):
     assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
 
 
+def test_open_groups_are_joined_once(spark, monkeypatch):
+    """What is dealt into blocks is a written table, as it is read several times; near sets that don't link are dealt."""
+    rng, base, dealt = random.Random(14), [f"w{i}" for i in range(200)], []
+    changed = lambda: [f"x{rng.randrange(10**9)}" if i in some else w for some in [rng.sample(range(200), 3)] for i, w in enumerate(base)]
+    rows = [(i, " ".join(changed())) for i in range(40)]
+    rows += [(40, rows[7][1] + " end"), (41, rows[9][1])]
+    real = simjoin._dealt
+    monkeypatch.setattr(simjoin, "_dealt", lambda spark, rows, weigh: dealt.append((hasattr(rows, "_kept_at"), rows.count())) or real(spark, rows, weigh))
+    got = {r.doc_id: r.component_id for r in ngram_join.join(documents(spark, [(*r, "s") for r in rows])).collect()}
+    assert dealt and all(kept and n for kept, n in dealt)
+    assert got == {i: c for i, (_, c) in brute.components(rows).items()}
+
+
 def test_sketches_keep_linked_sets():
     """Linked sets differ in no more bits than the bound, so a block of sketches keeps both."""
     rng, np = random.Random(12), ngram_join.np

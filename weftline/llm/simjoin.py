@@ -146,17 +146,20 @@ def similar_components(spark: SparkSession, keyed: DataFrame, fetch: Callable[[D
     rows = cand.join(of("cls", "_c"), "cls", "left").join(of("pivot", "_p"), "pivot", "left")
     stray = F.coalesce("_c", "cls") != F.coalesce("_p", "pivot")
     more = ["sketch"] if sketched else []
-    rows = keep(spark, rows.select("pivot", "cls", "n", F.coalesce("_c", "cls").alias("comp"), F.when(stray, BOTH).otherwise(MEMBER).alias("role"), *more), "members")
+    members = keep(spark, rows.select("pivot", "cls", "n", F.coalesce("_c", "cls").alias("comp"), F.when(stray, BOTH).otherwise(MEMBER).alias("role"), *more), "members")
     # pairs of a pivot and one other are verified already
-    open_ = rows.groupBy(F.col("pivot").alias("o")).agg(F.count(F.lit(1)).alias("k"), F.max("role").alias("most")).filter(f"k > 2 AND most = {BOTH}").select("o")
-    rows = rows.join(open_, F.col("pivot") == F.col("o"), "left_semi")
+    open_ = members.groupBy(F.col("pivot").alias("o")).agg(F.count(F.lit(1)).alias("k"), F.max("role").alias("most")).filter(f"k > 2 AND most = {BOTH}").select("o")
+    rows = members.join(open_, F.col("pivot") == F.col("o"), "left_semi")
     if sketched:
-        block = _dealt(spark, rows, False).groupBy("pivot", "i", "j")
+        open_rows = keep(spark, rows, "open-members")  # read several times, so the join is not repeated
+        discard(members)
+        block = _dealt(spark, open_rows, False).groupBy("pivot", "i", "j")
         may = block.applyInPandas(lambda pdf: possible_block(pdf, percent), "pivot long, cls long, as_stray boolean, as_member boolean")
         may = may.groupBy("pivot", "cls").agg(F.max("as_stray").alias("as_stray"), F.max("as_member").alias("as_member"))
         role = F.when(F.col("as_stray") & F.col("as_member"), BOTH).when(F.col("as_stray"), STRAY).otherwise(MEMBER)
-        rows = rows.drop("role", "sketch").join(may.withColumn("role", role).drop("as_stray", "as_member"), ["pivot", "cls"])
+        rows = open_rows.drop("role", "sketch").join(may.withColumn("role", role).drop("as_stray", "as_member"), ["pivot", "cls"])
     rows = keep(spark, rows, "may-link")
+    discard(open_rows if sketched else members)
     if rows.isEmpty():
         discard(cand, sets, links, rows)
         return comps
